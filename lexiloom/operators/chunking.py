@@ -11,12 +11,11 @@ compose the pages of each run, carry the state over the runs, replay the pages o
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import LESSON_PATTERN, LESSON_MAX, SPACE_CLASS, clean_text, detect_lesson, js_trim
+from .folds import fold_sorted
 from .ordered import fill_forward
 
 # Default chunk size, sentence marks, and the share of a line a cut must keep.
@@ -118,28 +117,6 @@ _CUTS = pa.schema([
 ])
 
 
-def _ddl(schema: pa.Schema) -> str:
-    names = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int",
-             pa.list_(pa.int32()): "array<int>", pa.list_(pa.int64()): "array<long>"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns])
-
-
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    buffer: list[tuple] = []
-    for row in rows:
-        buffer.append(row)
-        if len(buffer) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer), schema.types)], schema=schema)
-            buffer = []
-    if buffer:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer), schema.types)], schema=schema)
-
-
 def _compose_runs(limit: int):
     """Fold the pages of each run, streamed in order, into one step function."""
 
@@ -177,7 +154,7 @@ def _compose_runs(limit: int):
         if key is not None:
             yield (*key, limits, [e[0] for e in exits], [e[1] for e in exits], [e[2] for e in exits], total, lesson)
 
-    return lambda batches: _batches(fold(_rows(batches)), _RUN)
+    return fold
 
 
 def _enter_runs(limit: int):
@@ -193,7 +170,7 @@ def _enter_runs(limit: int):
             state = (used[b], page[b], piece[b]) if b < len(limits) else (state[0] + total, state[1], state[2])
             lesson = run_lesson if run_lesson is not None else lesson
 
-    return lambda batches: _batches(fold(_rows(batches)), _ENTRY)
+    return fold
 
 
 def _cut_pages(limit: int):
@@ -210,7 +187,7 @@ def _cut_pages(limit: int):
             if starts:
                 page, piece = num, starts[-1]
 
-    return lambda batches: _batches(fold(_rows(batches)), _CUTS)
+    return fold
 
 
 def pages_to_chunks(pages: DataFrame, max_chars: int = CHUNK_CHARS, run_pages: int = RUN_PAGES) -> DataFrame:
@@ -230,17 +207,12 @@ def pages_to_chunks(pages: DataFrame, max_chars: int = CHUNK_CHARS, run_pages: i
         "doc", F.floor(F.col("num") / run_pages).alias("run"), "num",
         F.transform("pieces", lambda p: F.length(p) + 1).alias("costs"), "lesson",
     )
-    by_run = lengths.repartition("doc", "run").sortWithinPartitions("doc", "run", "num")
-    runs = by_run.mapInArrow(_compose_runs(max_chars), _ddl(_RUN))
-    entries = (
-        runs.repartition("doc").sortWithinPartitions("doc", "run").mapInArrow(_enter_runs(max_chars), _ddl(_ENTRY))
-        .withColumnsRenamed({"used": "e_used", "page": "e_page", "piece": "e_piece", "lesson": "e_lesson"})
-    )
-    cuts = (
-        lengths.join(entries, ["doc", "run"])
-        .repartition("doc", "run").sortWithinPartitions("doc", "run", "num")
-        .select("doc", "run", "num", "costs", "lesson", "e_used", "e_page", "e_piece", "e_lesson")
-        .mapInArrow(_cut_pages(max_chars), _ddl(_CUTS))
+    runs = fold_sorted(lengths, ["doc", "run"], ["num"], _compose_runs(max_chars), _RUN)
+    entries = fold_sorted(runs, ["doc"], ["run"], _enter_runs(max_chars), _ENTRY).withColumnsRenamed(
+        {"used": "e_used", "page": "e_page", "piece": "e_piece", "lesson": "e_lesson"})
+    cuts = fold_sorted(
+        lengths.join(entries, ["doc", "run"]).select(*lengths.columns, "e_used", "e_page", "e_piece", "e_lesson"),
+        ["doc", "run"], ["num"], _cut_pages(max_chars), _CUTS,
     )
     joined = clean.drop("lesson").join(cuts, ["doc", "num"])
     opens_at = F.when(F.get("starts", F.lit(0)) == 0, F.col("starts")).otherwise(F.concat(F.array(F.lit(0)), "starts"))

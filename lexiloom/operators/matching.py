@@ -201,7 +201,11 @@ def decide(incoming: DataFrame, vocab: DataFrame, big_block: int = BIG_BLOCK, ex
     score, distance, similarity and, unless told otherwise, reasons and explanation.
     """
     rows = stored_keys(vocab).select("id", "stored_key", "surface_key", "reading_key", "meaning_key")
-    words = incoming_keys(incoming)
+    return decide_keyed(incoming_keys(incoming), rows, big_block, explained)
+
+
+def decide_keyed(words: DataFrame, rows: DataFrame, big_block: int = BIG_BLOCK, explained: bool = True) -> DataFrame:
+    """``decide`` for words and rows that carry their keys."""
     by_key, by_reading = lookups(rows)
     one_bare = (F.col("surface_key") == "") | (F.col("only_surface") == "")
     looked_up = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions.text import SPACE_CLASS
@@ -11,7 +11,7 @@ from ..functions.text import SPACE_CLASS
 MAX_BYTES = 25 * 1024 * 1024
 MAX_PAGES = 250
 
-MANIFEST_SCHEMA = T.StructType.fromDDL("""
+MANIFEST_SCHEMA = """
   matchCases array<struct<id string,
     incoming struct<kanji string, kana string, romaji string, burmese_meaning string, jlpt_level string,
       part_of_speech string, lesson string, example_sentence_jp string, example_sentence_mm string>,
@@ -22,7 +22,7 @@ MANIFEST_SCHEMA = T.StructType.fromDDL("""
     expectedJlpt string, expectedLesson int, expectNoSelectableText boolean,
     ocr struct<languages string, requiredText array<string>, expectedJlpt string,
       expectedLesson int, minimumCharacters int>>>
-""")
+"""
 
 
 def list_files(spark: SparkSession, path: str, ext: str = "pdf") -> DataFrame:
