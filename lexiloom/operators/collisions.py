@@ -106,8 +106,8 @@ def apply_merges(outcomes: DataFrame, vocab: DataFrame, progress: DataFrame, rev
     donors = ok.join(vocab.withColumnRenamed("id", "source_id"), "source_id")
     offers = donors.groupBy(F.col("target_id").alias("id")).agg(
         F.first("identity_key").alias("_key"),
-        *[F.min_by(c, "position").filter(F.col(c).isNotNull()).alias(f"_{c}") for c in FILL_NULL],
-        *[F.min_by(c, "position").filter(F.col(c) != "").alias(f"_{c}") for c in FILL_EMPTY],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("position"))).alias(f"_{c}") for c in FILL_NULL],
+        *[F.min_by(c, F.when(F.col(c) != "", F.col("position"))).alias(f"_{c}") for c in FILL_EMPTY],
     )
     merged = F.col("_key").isNotNull()
     changes = {c: F.when(merged, F.coalesce(F.col(c), F.col(f"_{c}"))).otherwise(F.col(c)) for c in FILL_NULL}

@@ -103,7 +103,7 @@ def add_words(
         .otherwise(F.col("outcome"))).drop("_creator")
     done = judged.filter("outcome = 'completed'").groupBy(F.col("existing_id").alias("id")).agg(
         F.max_by("identity_key", "position").alias("_key"),
-        F.max_by("surface", "position").filter("surface != ''").alias("_surface"))
+        F.max_by("surface", F.when(F.col("surface") != "", F.col("position"))).alias("_surface"))
     filled = vocab.join(done, "id", "left").withColumns({
         "canonical_key": F.coalesce("_key", "canonical_key"), "kanji": F.coalesce("_surface", "kanji"),
     }).select(*vocab.columns)

@@ -52,12 +52,13 @@ def _settle(words: DataFrame, edges: DataFrame) -> DataFrame:
             "apart",
             F.when(near, "review").when(F.coalesce("beside_open", F.lit(False)), "unknown").otherwise("new"))
         # The row a reading group may enrich: its only stored row, or its first insert.
+        lead = F.when(new | (open_ & (F.col("apart") != "review")), F.col("pos"))
         first = known.filter("store_n = 0").groupBy("reading_key").agg(
-            F.min(F.when(new | (open_ & (F.col("apart") != "review")), F.col("pos"))).alias("first_pos"),
-            F.min_by("status", "pos").filter(new | (open_ & (F.col("apart") != "review"))).alias("first_status"),
-            F.min_by("apart", "pos").filter(new | (open_ & (F.col("apart") != "review"))).alias("first_apart"),
-            F.min_by("surface_key", "pos").filter(new | (open_ & (F.col("apart") != "review"))).alias("x_surface"),
-            F.min_by("meaning_key", "pos").filter(new | (open_ & (F.col("apart") != "review"))).alias("x_meaning"),
+            F.min(lead).alias("first_pos"),
+            F.min_by("status", lead).alias("first_status"),
+            F.min_by("apart", lead).alias("first_apart"),
+            F.min_by("surface_key", lead).alias("x_surface"),
+            F.min_by("meaning_key", lead).alias("x_meaning"),
         )
         sure = (F.col("first_status") == "new") | (F.col("first_apart") == "new")
         grouped = known.join(first, "reading_key", "left").withColumns({
@@ -129,7 +130,7 @@ def ingest(
 
     new_id = _new_id(vocab)
     inserted = state.filter("status = 'new'").select("pos")
-    id_of = inserted.join(batch.select(F.col("position").alias("pos"), "identity_key", "reading_key"), "pos").select(
+    id_of = inserted.join(batch.select(F.col("position").alias("pos"), "position", "identity_key", "reading_key"), "pos").select(
         "pos", "reading_key", new_id.alias("new_id"))
     first_insert = id_of.groupBy("reading_key").agg(F.min_by("new_id", "pos").alias("first_new_id"))
     fuzzy = lambda c: F.col(f"fuzzy.{c}").alias(c)
@@ -188,9 +189,8 @@ def _new_id(vocab: DataFrame) -> Column:
     """Repeatable id of an inserted word: a digest for text ids, the next numbers otherwise."""
     if isinstance(vocab.schema["id"].dataType, T.StringType):
         return F.sha2("identity_key", 256)
-    pos = "position"
     top = vocab.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    return top + 1 + F.coalesce(F.col(pos), F.lit(0))
+    return top + 1 + F.col("position")
 
 
 def ingest_totals(decisions: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ def enrich(vocab: DataFrame, updates: DataFrame) -> DataFrame:
         return value != (0 if c == "lesson" else "")
 
     filled = updates.groupBy(F.col("existing_id").alias("id")).agg(*[
-        F.max_by("identity_key" if c == "canonical_key" else c, "position").filter(usable(c)).alias(f"_{c}")
+        F.max_by("identity_key" if c == "canonical_key" else c, F.when(usable(c), F.col("position"))).alias(f"_{c}")
         for c in ENRICH_FIELDS
     ])
     joined = vocab.join(filled, "id", "left")

@@ -62,8 +62,8 @@ def apply_review_decisions(
     fill = ("romaji", "part_of_speech", "example_sentence_jp", "example_sentence_mm", "lesson")
     changes = accepted.groupBy(F.col("candidate_id").alias("id")).agg(
         F.max_by("identity_key", "position").alias("_key"), F.max_by("reading_key", "position").alias("_kana"),
-        F.max_by("kanji", "position").filter(F.col("kanji").isNotNull()).alias("_kanji"),
-        *[F.min_by(c, "position").filter(F.col(c).isNotNull()).alias(f"_{c}") for c in fill],
+        F.max_by("kanji", F.when(F.col("kanji").isNotNull(), F.col("position"))).alias("_kanji"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("position"))).alias(f"_{c}") for c in fill],
     )
     vocab_out = vocab.join(changes, "id", "left").withColumns({
         "canonical_key": F.coalesce("_key", "canonical_key"), "kana": F.coalesce("_kana", "kana"),
