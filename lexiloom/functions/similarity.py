@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import MEANING_PUNCTUATION, _col, drop_space, nfkc
+from .text import MEANING_PUNCTUATION, _col, drop_space, let, nfkc
 
 MIN_SIMILARITY = 0.45
 
@@ -15,11 +15,13 @@ def meaning_key(col: Column | str) -> Column:
 
 def key_bigrams(key: Column | str) -> Column:
     """Distinct neighbouring character pairs of a meaning key."""
-    k = _col(key)
-    return F.when(
-        F.length(k) >= 2,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - 1), lambda i: F.substr(k, i, F.lit(2)))),
-    ).otherwise(F.array().cast("array<string>"))
+    def pairs(k: Column) -> Column:
+        return F.when(
+            F.length(k) >= 2,
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - 1), lambda i: F.substr(k, i, F.lit(2)))),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(_col(key), pairs)
 
 
 def bigrams(col: Column | str) -> Column:
@@ -39,8 +41,12 @@ def key_similarity(left: Column, right: Column, left_grams: Column, right_grams:
 
 
 def jaccard_bigrams(left: Column | str, right: Column | str) -> Column:
-    a, b = meaning_key(left), meaning_key(right)
-    return key_similarity(a, b, key_bigrams(a), key_bigrams(b))
+    def both(m: Column) -> Column:
+        return let(
+            F.struct(m["a"].alias("a"), m["b"].alias("b"), key_bigrams(m["a"]).alias("x"), key_bigrams(m["b"]).alias("y")),
+            lambda s: key_similarity(s["a"], s["b"], s["x"], s["y"]))
+
+    return let(F.struct(meaning_key(left).alias("a"), meaning_key(right).alias("b")), both)
 
 
 def compatible(left: Column | str, right: Column | str) -> Column:
@@ -60,9 +66,11 @@ def deletion_variants(reading: Column | str) -> Column:
     Two readings within edit distance 1 always share a variant, so equality of variants
     replaces a comparison of all pairs.
     """
-    r = _col(reading)
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length(r)),
-        lambda i: F.concat(F.substr(r, F.lit(1), i - 1), F.substr(r, i + 1)),
-    )
-    return F.when(F.length(r) > 0, F.array_distinct(F.concat(F.array(r), cut))).otherwise(F.array(r))
+    def variants(r: Column) -> Column:
+        cut = F.transform(
+            F.sequence(F.lit(1), F.length(r)),
+            lambda i: F.concat(F.substr(r, F.lit(1), i - 1), F.substr(r, i + 1)),
+        )
+        return F.when(F.length(r) > 0, F.array_distinct(F.concat(F.array(r), cut))).otherwise(F.array(r))
+
+    return let(_col(reading), variants)

@@ -23,8 +23,9 @@ def iso(col: Column | str) -> Column:
 
 def in_range(df: DataFrame, col: str, from_day: str | None = None, to_day: str | None = None) -> DataFrame:
     """Rows of the inclusive day range; plain comparisons, so the bounds reach the scan."""
+    kind = df.schema[col].dataType
     if from_day:
-        df = df.filter(F.col(col) >= F.lit(f"{from_day} 00:00:00").cast("timestamp"))
+        df = df.filter(F.col(col) >= F.lit(f"{from_day} 00:00:00").cast(kind))
     if to_day:
-        df = df.filter(F.col(col) <= F.lit(f"{to_day} 23:59:59.999").cast("timestamp"))
+        df = df.filter(F.col(col) <= F.lit(f"{to_day} 23:59:59.999").cast(kind))
     return df

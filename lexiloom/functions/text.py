@@ -63,6 +63,11 @@ def _col(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, for bodies that use it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfkc(col: Column | str) -> Column:
     """Unicode NFKC.
 
@@ -108,7 +113,10 @@ def fold_kana(col: Column | str) -> Column:
 
 def simple_romaji(col: Column | str) -> Column:
     """Letter-by-letter romaji of a kana word; letters outside the table pass through."""
-    h = to_hiragana(col)
+    return let(to_hiragana(col), _romaji)
+
+
+def _romaji(h: Column) -> Column:
     letters = F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(1), F.length(h)), lambda i: F.substr(h, i, F.lit(1)))
                      ).otherwise(F.array().cast("array<string>"))
     table = F.create_map(*[F.lit(x) for pair in _ROMAJI.items() for x in pair])

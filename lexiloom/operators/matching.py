@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import with_identity
+from ..functions.text import let
 from ..functions.similarity import (
     MIN_SIMILARITY, deletion_variants, key_bigrams, key_similarity, meaning_key,
 )
@@ -190,8 +191,9 @@ def lookups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def meanings_agree(left: str, right: str) -> Column:
-    """Compatible meaning keys; the bigrams are only built when the keys differ."""
-    return key_similarity(F.col(left), F.col(right), key_bigrams(left), key_bigrams(right)) >= MIN_SIMILARITY
+    """Compatible meaning keys."""
+    grams = F.struct(key_bigrams(left).alias("x"), key_bigrams(right).alias("y"))
+    return let(grams, lambda g: key_similarity(F.col(left), F.col(right), g["x"], g["y"])) >= MIN_SIMILARITY
 
 
 def decide(incoming: DataFrame, vocab: DataFrame, big_block: int = BIG_BLOCK, explained: bool = True) -> DataFrame:
