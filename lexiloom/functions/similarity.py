@@ -18,7 +18,8 @@ def key_bigrams(key: Column | str) -> Column:
     def pairs(k: Column) -> Column:
         return F.when(
             F.length(k) >= 2,
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - 1), lambda i: F.substr(k, i, F.lit(2)))),
+            let(F.split(k, ""), lambda c: F.array_distinct(F.zip_with(
+                F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))),
         ).otherwise(F.array().cast("array<string>"))
 
     return let(_col(key), pairs)

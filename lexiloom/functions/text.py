@@ -8,6 +8,9 @@ from pyspark.sql import Column, functions as F
 SPACE_CLASS = (
     r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+# The same characters themselves, for functions that take a set of characters.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+ASCII_SPACE = r"[\t\n\x0B\f\r ]+"
 # Script ranges of the two languages.
 BURMESE = r"[\u1000-\u109f\uaa60-\uaa7f]"
 KANA = r"[\u3041-\u3096\u30a1-\u30fa\u30fc]"
@@ -84,22 +87,20 @@ def nfkc(col: Column | str) -> Column:
 
 def js_trim(col: Column | str) -> Column:
     """Trim every ECMAScript white space character from both ends."""
-    return F.regexp_replace(_col(col), rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", "")
+    return F.btrim(_col(col), F.lit(SPACES))
 
 
 def drop_space(col: Column | str) -> Column:
-    return F.regexp_replace(_col(col), rf"[{SPACE_CLASS}]+", "")
+    return F.regexp_replace(F.regexp_replace(_col(col), ASCII_SPACE, ""), rf"[\P{{ASCII}}&&[{SPACE_CLASS}]]+", "")
 
 
 def clean_text(col: Column | str) -> Column:
     """Page text with uniform line ends, single spaces, no invisible marks, no blank runs."""
-    blank = SPACE_CLASS.replace(r"\n", "")
     c = F.regexp_replace(nfkc(col), r"[\u00ad\u200b-\u200d\ufeff]", "")
     c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"[ \t\f\x0B]+", " ")
-    c = F.regexp_replace(c, rf"[{blank}]*\n[{blank}]*", "\n")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return js_trim(c)
+    c = F.array_join(F.transform(F.split(c, "\n"), js_trim), "\n")
+    return js_trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
 def to_hiragana(col: Column | str) -> Column:

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import with_identity
-from ..functions.text import let
 from ..functions.similarity import (
     MIN_SIMILARITY, deletion_variants, key_bigrams, key_similarity, meaning_key,
 )
+from ..functions.text import let
+from ..session import cut_lineage
 
 # Weights of a review score, its bands, and the explanation texts.
 SURFACE_WEIGHT, READING_WEIGHT, MEANING_WEIGHT = 0.55, 0.25, 0.2
@@ -100,6 +101,9 @@ def fuzzy_pairs(words: DataFrame, rows: DataFrame, big_block: int = BIG_BLOCK) -
     rows = _variants(rows.withColumn("grams", key_bigrams("meaning_key")))
     block = ["surface_key", "variant"]
     big = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > big_block).select(*block)
+    # One pass over the stored keys decides whether any block needs the finer split at all.
+    big = cut_lineage(big)
+    split = not big.isEmpty()
 
     def named(df: DataFrame) -> DataFrame:
         return df.select(
@@ -108,14 +112,9 @@ def fuzzy_pairs(words: DataFrame, rows: DataFrame, big_block: int = BIG_BLOCK) -
             F.col("grams").alias("ex_grams"),
         )
 
-    plain = words.join(named(rows.join(big, block, "left_anti")), block)
-    hot_rows = rows.join(big, block, "left_semi")
-    hot_words = words.join(big, block, "left_semi")
-    frequency = hot_rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    token_keys = [*keys, "variant"]
-    hot = _rare_tokens(hot_words, frequency, token_keys).join(
-        named(_rare_tokens(hot_rows, frequency, token_keys)), [*block, "token"])
-    pairs = plain.unionByName(hot.drop("token"))
+    pairs = words.join(named(rows.join(big, block, "left_anti") if split else rows), block)
+    if split:
+        pairs = pairs.unionByName(_split_pairs(words, rows, big, named))
     similarity = key_similarity(F.col("meaning_key"), F.col("ex_meaning"), F.col("grams"), F.col("ex_grams"))
     return (
         pairs.withColumn("distance", F.levenshtein("reading_key", "ex_reading", 1))
@@ -126,6 +125,18 @@ def fuzzy_pairs(words: DataFrame, rows: DataFrame, big_block: int = BIG_BLOCK) -
     )
 
 
+def _split_pairs(words: DataFrame, rows: DataFrame, big: DataFrame, named) -> DataFrame:
+    """Pairs of the big blocks: members that also share a rare token of their meanings."""
+    block = ["surface_key", "variant"]
+    hot_rows = rows.join(big, block, "left_semi")
+    hot_words = words.join(big, block, "left_semi")
+    frequency = hot_rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    token_keys = ["surface_key", "reading_key", "meaning_key", "variant"]
+    hot = _rare_tokens(hot_words, frequency, token_keys).join(
+        named(_rare_tokens(hot_rows, frequency, token_keys)), [*block, "token"])
+    return hot.drop("token")
+
+
 def review_score(distance: Column, similarity: Column) -> Column:
     agree = F.when(distance == 0, F.lit(READING_WEIGHT)).otherwise(F.lit(0.0))
     return F.round(F.lit(SURFACE_WEIGHT) + agree + F.lit(MEANING_WEIGHT) * similarity, 3)

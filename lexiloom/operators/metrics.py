@@ -87,17 +87,14 @@ def rank_percentiles(df: DataFrame, col: str, shares: dict[str, float] | None =
     values = df.filter(F.col(col).isNotNull()).select(
         F.floor(F.col(col) / 65536).alias("high"), F.pmod(F.col(col), F.lit(65536)).cast("long").alias("low"))
     highs = values.groupBy("high").agg(F.count(F.lit(1)).alias("n"))
-    wanted = []
-    for name, share in shares.items():
-        # Bounded by the 65,536 buckets, so this list of counts fits one row.
-        ladder = highs.agg(F.array_sort(F.collect_list(F.struct("high", "n"))).alias("steps"), F.sum("n").alias("total"))
-        index = F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(share)).cast("long"))
-        picked = ladder.withColumn("index", index).withColumn("hit", _step_at("steps", "high", "index"))
-        wanted.append(picked.filter("total > 0").select(
-            F.lit(name).alias("name"), F.col("hit.key").alias("high"), F.col("hit.rest").alias("rest")))
-    targets = wanted[0]
-    for w in wanted[1:]:
-        targets = targets.unionByName(w)
+    # Bounded by the 65,536 buckets, so this list of counts fits one row.
+    ladder = highs.agg(F.array_sort(F.collect_list(F.struct("high", "n"))).alias("steps"), F.sum("n").alias("total"))
+    index = lambda s: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(s)).cast("long"))
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), index(s).alias("index")) for n, s in shares.items()])
+    targets = (
+        ladder.filter("total > 0").select("steps", F.inline(wanted)).withColumn("hit", _step_at("steps", "high", "index"))
+        .select("name", F.col("hit.key").alias("high"), F.col("hit.rest").alias("rest"))
+    )
     lows = values.join(F.broadcast(targets), "high").groupBy("name", "high", "rest", "low").agg(F.count(F.lit(1)).alias("n"))
     found = lows.groupBy("name", "high", "rest").agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("steps"))
     exact = found.withColumn("hit", _step_at("steps", "low", "rest")).select(

@@ -209,7 +209,7 @@ def reprocess(
     a valid word fails.  Returns (pages, candidates).
     """
     texts = pages.withColumn("normalized_text", clean_text(F.coalesce("raw_text", F.lit(""))))
-    words = parse_lines(texts.select("page_id", "batch_id", F.col("raw_text").alias("text")), "text", scripts)
+    words = parse_lines(texts.select("page_id", "batch_id", F.col("normalized_text").alias("text")), "text", scripts, cleaned=True)
     found = match_exact(words.withColumn("canonical_key", word_key()), vocab)
     fresh = found.select(
         F.concat_ws("-", "page_id", "position").alias("candidate_id"), "batch_id", "page_id",

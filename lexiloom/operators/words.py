@@ -121,12 +121,14 @@ def parse_responses(
     return dedupe_first(words, [by, "identity_key"], [F.col("position")])
 
 
-def line_records(pages: DataFrame, text: str = "text") -> DataFrame:
+def line_records(pages: DataFrame, text: str = "text", cleaned: bool = False) -> DataFrame:
     """Records of delimited page text: one per line or ``;`` part, fields split by white space.
 
     A part keeps its leading blank, which makes its first field empty.
     """
-    parts = F.split(clean_text(F.coalesce(F.col(text), F.lit(""))), r"[\n;]")
+    if not cleaned:
+        pages = pages.withColumn(text, clean_text(F.coalesce(F.col(text), F.lit(""))))
+    parts = F.split(text, r"[\n;]")
     rows = pages.select(*[c for c in pages.columns if c != text], F.posexplode(parts).alias("position", "_part"))
     fields = F.split("_part", rf"[{SPACE_CLASS}]+")
     return rows.withColumn("_fields", fields).withColumns({
@@ -135,6 +137,8 @@ def line_records(pages: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_part", "_fields")
 
 
-def parse_lines(pages: DataFrame, text: str = "text", scripts: Scripts = Scripts()) -> DataFrame:
+def parse_lines(
+    pages: DataFrame, text: str = "text", scripts: Scripts = Scripts(), cleaned: bool = False
+) -> DataFrame:
     """Valid words of delimited page text."""
-    return checked_words(line_records(pages, text), "N5", None, scripts).filter("valid").drop("valid")
+    return checked_words(line_records(pages, text, cleaned), "N5", None, scripts).filter("valid").drop("valid")

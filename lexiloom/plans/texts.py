@@ -21,8 +21,8 @@ def clean_text(spark, sf):
     """Documents with injected carriage returns, soft hyphens, tabs and blank runs."""
     t = F.regexp_replace("text", r"\n", "\t \r\n\n\n\n ​")
     dirty = F.concat(F.lit(" 　"), F.regexp_replace(t, " ", "  ­"))
-    cleaned = text.clean_text(dirty)
-    return v.plain(v.table(spark, sf, "documents").select("doc_id", F.md5(cleaned).alias("digest"), F.length(cleaned).alias("chars")))
+    cleaned = v.table(spark, sf, "documents").select("doc_id", text.clean_text(dirty).alias("t"))
+    return v.plain(cleaned.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("chars")))
 
 
 def keys(spark, sf):
@@ -71,9 +71,8 @@ def clean_fields(spark, sf):
 
 
 def meaning_keys(spark, sf):
-    c = v.table(spark, sf, "conversations")
-    key = similarity.meaning_key("text")
-    return v.plain(c.select("conv_id", "turn", F.md5(key).alias("digest"), F.size(similarity.key_bigrams(key)).alias("bigrams")))
+    c = v.table(spark, sf, "conversations").withColumn("key", similarity.meaning_key("text"))
+    return v.plain(c.select("conv_id", "turn", F.md5("key").alias("digest"), F.size(similarity.key_bigrams("key")).alias("bigrams")))
 
 
 def similarities(spark, sf):

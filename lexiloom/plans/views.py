@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.identity import join_keys, surface_key
+from ..sources.files import spread
 
 NOW = "2024-01-20 12:00:00"
 EPOCH = "2024-01-01 00:00:00"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations", "pages") else df
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         SparkSession.builder.master(f"local[{cpus}]").appName("lexiloom")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     )
     for key, value in SETTINGS.items():

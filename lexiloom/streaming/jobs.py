@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.temporal import add_days
+from ..functions.text import js_trim
 from ..operators.ingest import IngestResult, ingest
 from ..operators.learning import START_EASE, sm2_step, valid_ratings
 from ..operators.pages import step
@@ -28,18 +28,17 @@ class _Cards(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.card = handle.getValueState("card", "ease int, interval long, repetitions int, ratings long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        batch = sorted((r.ts, r.event_id, r.grade) for r in rows)
         ease, interval, repetitions, ratings = self.card.get() or (START_EASE, 0, 0, 0)
         status = "learning"
-        for grade in pdf["grade"]:
-            ease, interval, repetitions, status = sm2_step(int(grade), ease, interval, repetitions)
-        ratings += len(pdf)
+        for _, _, grade in batch:
+            ease, interval, repetitions, status = sm2_step(grade, ease, interval, repetitions)
+        ratings += len(batch)
         self.card.update((ease, interval, repetitions, ratings))
-        yield pd.DataFrame({
-            "user_id": [key[0]], "vocab_id": [key[1]], "ease_factor": [ease / 100], "interval": [interval],
-            "repetitions": [repetitions], "status": [status], "rated_at": [pdf["ts"].iloc[-1]], "ratings": [ratings],
-        })
+        yield Row(
+            user_id=key[0], vocab_id=key[1], ease_factor=ease / 100, interval=interval, repetitions=repetitions,
+            status=status, rated_at=batch[-1][0], ratings=ratings)
 
     def close(self) -> None:
         pass
@@ -54,7 +53,7 @@ CARD_SCHEMA = (
 def stream_sm2(ratings: DataFrame) -> DataFrame:
     """State of each rated card after every micro-batch (update mode)."""
     good, _ = valid_ratings(ratings)
-    states = good.groupBy("user_id", "vocab_id").transformWithStateInPandas(
+    states = good.groupBy("user_id", "vocab_id").transformWithState(
         statefulProcessor=_Cards(), outputStructType=CARD_SCHEMA, outputMode="Update", timeMode="None")
     return states.withColumn("next_review_date", add_days("rated_at", F.col("interval")))
 
@@ -73,24 +72,17 @@ class _Revisions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.page = handle.getValueState("page", "revision long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("position")
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         state = self.page.get()
         revision = state[0] if state else 0
-        outcomes, revisions = [], []
-        for base, text in zip(pdf["base_revision"], pdf["corrected_text"]):
-            if pd.isna(base) or base < 0 or not str(text or "").strip():
-                outcomes.append("invalid")
-                revisions.append(None)
+        for r in sorted(rows, key=lambda r: r.position):
+            if r.base_revision is None or r.base_revision < 0 or not r.sound:
+                yield Row(page_id=key[0], position=r.position, outcome="invalid", revision=None)
                 continue
-            accepted, revision = step(revision, int(base))
-            outcomes.append("accepted" if accepted else "stale")
-            revisions.append(revision)
+            accepted, revision = step(revision, r.base_revision)
+            outcome = "accepted" if accepted else "stale"
+            yield Row(page_id=key[0], position=r.position, outcome=outcome, revision=revision)
         self.page.update((revision,))
-        yield pd.DataFrame({
-            "page_id": key[0], "position": pdf["position"].to_numpy(), "outcome": outcomes,
-            "revision": pd.array(revisions, dtype="Int64"),
-        })
 
     def close(self) -> None:
         pass
@@ -98,7 +90,9 @@ class _Revisions(StatefulProcessor):
 
 def stream_corrections(submissions: DataFrame) -> DataFrame:
     """Outcome and page revision of every submission, pages starting at revision 0."""
-    return submissions.groupBy("page_id").transformWithStateInPandas(
+    sound = js_trim(F.coalesce("corrected_text", F.lit(""))) != ""
+    judged = submissions.select("page_id", "position", "base_revision", sound.alias("sound"))
+    return judged.groupBy("page_id").transformWithState(
         statefulProcessor=_Revisions(), outputStructType="page_id long, position long, outcome string, revision long",
         outputMode="Append", timeMode="None")
 
