@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.identity import reading_key, with_identity
+from ..session import cut_lineage
 from .ordered import split_rank
 
 # Limits of one merge request.
 MAX_GROUPS, MAX_ROWS = 100, 500
 
+ID_RANGE = 65536
+
 
 def _filled(c: str):
     return F.coalesce(F.col(c) != "", F.lit(False)).cast("int")
@@ -22,7 +24,7 @@ def collision_groups(vocab: DataFrame, progress: DataFrame) -> DataFrame:
     """Rows of every identity held by more than one row, best survivor first.
 
     Adds identity_key, group_size, score (surface + example + progress) and rank.  Sizes come
-    from a plain aggregate, and ranks split a group by score and creation day.
+    from a plain aggregate, and ranks split a group by score and minute, then by time and id.
     """
     keyed = with_identity(vocab)
     sizes = keyed.groupBy("identity_key").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
@@ -32,8 +34,11 @@ def collision_groups(vocab: DataFrame, progress: DataFrame) -> DataFrame:
         .withColumn("score", _filled("kanji") + _filled("example_sentence_jp") + F.coalesce("_studied", F.lit(0)))
         .drop("_studied", "surface_key", "reading_key")
     )
+    text_id = isinstance(vocab.schema["id"].dataType, T.StringType)
+    id_range = F.substring("id", 1, 3) if text_id else F.floor(F.col("id") / ID_RANGE)
     return split_rank(
-        rows, ["identity_key"], [-F.col("score"), F.to_date("created_at")],
+        rows, ["identity_key"],
+        [[-F.col("score"), F.date_trunc("minute", "created_at")], [F.col("created_at"), id_range]],
         [F.col("score").desc(), F.col("created_at"), F.col("id")],
     )
 
@@ -137,8 +142,11 @@ def apply_merges(outcomes: DataFrame, vocab: DataFrame, progress: DataFrame, rev
 
 
 def merge_collisions(pairs: DataFrame, vocab: DataFrame, progress: DataFrame, reviews: DataFrame) -> MergeResult:
-    """Merge pairs (position, source_id, target_id) in order; a failing pair changes nothing."""
-    return apply_merges(judge_pairs(pairs, vocab), vocab, progress, reviews)
+    """Merge pairs (position, source_id, target_id) in order; a failing pair changes nothing.
+
+    The outcomes feed all three tables, so they are computed once, into the checkpoint folder.
+    """
+    return apply_merges(cut_lineage(judge_pairs(pairs, vocab)), vocab, progress, reviews)
 
 
 def merge_collision_batch(
@@ -163,7 +171,7 @@ def merge_collision_batch(
     final = judged.withColumn(
         "outcome", F.when(~fits, "request_over_limit").when(~clean & (F.col("outcome") == "ok"), "rolled_back")
         .otherwise(F.col("outcome")))
-    return apply_merges(final, vocab, progress, reviews)
+    return apply_merges(cut_lineage(final), vocab, progress, reviews)
 
 
 def backfill_keys(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:

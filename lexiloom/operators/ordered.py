@@ -23,24 +23,34 @@ def dedupe_first(df: DataFrame, key: Sequence[str | Column], order: Sequence[Col
 
 
 def split_rank(
-    df: DataFrame, part: Sequence[str], bucket: Sequence[Column], order: Sequence[Column], out: str = "rank"
+    df: DataFrame, part: Sequence[str], levels: Sequence[Sequence[Column]], order: Sequence[Column], out: str = "rank"
 ) -> DataFrame:
     """1-based rank of every row in its group, with the group split over many tasks.
 
-    ``bucket`` lists sort expressions over named columns that are a coarser form of ``order``:
-    rows of an earlier bucket must sort before rows of a later one.  A row's rank is its rank
-    in the bucket plus the size of the earlier buckets of its group.
+    ``levels`` are lists of ascending sort expressions, each a finer form of ``order`` than the
+    one before: rows of an earlier bucket must sort before rows of a later one.  A row's rank is
+    its rank in the finest bucket plus the sizes of the earlier buckets of every level, so a
+    window holds the rows of one bucket or the bucket sizes of one coarser bucket.
     """
-    names = [f"_b{i}" for i in range(len(bucket))]
-    keyed = df.withColumns(dict(zip(names, bucket)))
-    sizes = keyed.groupBy(*part, *names).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*part).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*part, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*part, *names).orderBy(*order)
+    names, keyed = [], df
+    for i, level in enumerate(levels):
+        names.append([f"_b{i}_{j}" for j in range(len(level))])
+        keyed = keyed.withColumns(dict(zip(names[-1], level)))
+    finest = [*part, *(n for level in names for n in level)]
+    sizes = offsets = keyed.groupBy(*finest).agg(F.count(F.lit(1)).alias("_n"))
+    total, outer = F.lit(0), list(part)
+    for i, level in enumerate(names):
+        inner = [*outer, *level]
+        bucket = sizes if inner == finest else sizes.groupBy(*inner).agg(F.sum("_n").alias("_n"))
+        before = Window.partitionBy(*outer).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
+        earlier = bucket.select(*inner, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_o{i}"))
+        offsets = offsets.join(earlier, inner)
+        total, outer = total + F.col(f"_o{i}"), inner
+    local = Window.partitionBy(*finest).orderBy(*order)
     return (
-        keyed.join(offsets, [*part, *names])
+        keyed.join(offsets.select(*finest, total.alias("_offset")), finest)
         .withColumn(out, F.row_number().over(local) + F.col("_offset"))
-        .drop("_offset", *names)
+        .drop("_offset", *finest[len(part):])
     )
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import temporal
 from ..operators import metrics, ordered, pages
+from ..sources import files
 from . import views as v
 
 
@@ -38,6 +40,30 @@ def top_k_per_group(spark, sf):
     return v.plain(ordered.top_k(events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 20))
 
 
+def newest_metrics(spark, sf):
+    """Metrics: order lines by supplier, the 100 newest of each."""
+    m = v.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("batch_id"), F.col("l_shipdate").alias("created_at"),
+        (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("metric_id"), F.col("l_quantity").alias("value"))
+    return v.plain(metrics.newest_metrics(m.groupBy("batch_id", "created_at", "metric_id").agg(F.max("value").alias("value"))))
+
+
+def batch_times(spark, sf):
+    """Serialised batches: ISO start, next review day by interval, and UTC day."""
+    o = v.table(spark, sf, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderkey") % 40).alias("days"))
+    return v.plain(o.select(
+        "o_orderkey", temporal.iso("o_orderdate").alias("started"), temporal.iso(temporal.add_days("o_orderdate", F.col("days"))).alias("next"),
+        temporal.day("o_orderdate").alias("day")))
+
+
+def metric_dimensions(spark, sf):
+    """JSON dimensions of every event; every third is cut off and falls back to the default."""
+    e = v.table(spark, sf, "events")
+    cut = F.when(F.col("event_id") % 3 == 0, F.substring("props", 1, 4)).when(F.col("event_id") % 3 == 1, F.col("props"))
+    parsed = files.safe_json(cut, "struct<k: bigint>", F.struct(F.lit(-1).cast("long").alias("k")))
+    return v.plain(e.select("event_id", parsed["k"].alias("k")))
+
+
 def attention_pages(spark, sf):
     rows = pages.attention_pages(v.batch_pages(spark, sf))
     return v.plain(rows.groupBy("page_number").agg(F.count(F.lit(1)).alias("pages")))
@@ -95,7 +121,22 @@ TOP_K = """
 ATTENTION = """
     SELECT page_number, count(*) AS pages FROM batch_pages WHERE status = 'needs_review' GROUP BY 1"""
 
+METRICS = """
+    SELECT l_suppkey AS batch_id, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS created_at, metric_id, max(l_quantity) AS value
+    FROM (SELECT *, l_orderkey * 100000000 + l_partkey * 100 + l_linenumber AS metric_id FROM lineitem) GROUP BY l_suppkey, l_shipdate, metric_id
+    QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, metric_id DESC) <= 100"""
+
+TIMES = """
+    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS started,
+      strftime(o_orderdate + to_days(CAST(o_orderkey % 40 AS INTEGER)), '%Y-%m-%dT%H:%M:%S.000Z') AS next, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders"""
+
+DIMENSIONS = """
+    SELECT event_id, CASE WHEN event_id % 3 = 1 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) ELSE -1 END AS k FROM events"""
+
 QUERIES = {
+    "newest_metrics": (newest_metrics, METRICS.strip()),
+    "batch_times": (batch_times, TIMES.strip()),
+    "metric_dimensions": (metric_dimensions, DIMENSIONS.strip()),
     "batch_trends": (batch_trends, v.with_views(TRENDS, "batches")),
     "batch_summary": (batch_summary, v.with_views(SUMMARY, "batches", "batch_pages", "batch_candidates")),
     "rank_percentiles": (rank_percentiles, v.with_views(PERCENTILES, "batches")),

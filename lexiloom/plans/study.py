@@ -31,7 +31,7 @@ def due_queue(spark, sf):
 
 
 def due_queue_lesson(spark, sf):
-    out = learning.due_queue(v.progress(spark, sf), v.vocab(spark, sf), v.NOW, lesson=3, k=5)
+    out = learning.due_queue(v.progress(spark, sf), v.vocab(spark, sf), v.NOW, lesson=7, k=5)
     return v.plain(out.select("user_id", "vocab_id", "repetitions", "lesson"))
 
 
@@ -136,6 +136,13 @@ def gloss_reader(spark, sf):
         F.count(F.lit(1)).alias("tokens"), F.sum("occurrences").alias("occurrences"), F.sum("word_id").alias("ids")))
 
 
+def token_requests(spark, sf):
+    """Add-word requests for every document token, with an ideograph put before each longer one."""
+    t = _tokens(spark, sf)
+    t = t.withColumn("surface", F.when(F.length("surface") > 6, F.concat(F.lit("字"), "surface")).otherwise(F.col("surface")))
+    return v.plain(glosses.token_requests(t).select("surface", "kanji", "kana", "burmese_meaning", "jlpt_level", "part_of_speech"))
+
+
 def _requests(spark, sf):
     return v.words(spark, sf).select("position", "kanji", "kana", "romaji", "burmese_meaning", "jlpt_level", "part_of_speech")
 
@@ -184,7 +191,7 @@ DUE = f"""
 
 DUE_LESSON = f"""
     SELECT user_id, vocab_id, repetitions, lesson FROM progress JOIN vocab ON id = vocab_id
-    WHERE (next_review_date <= TIMESTAMP '{v.NOW}' OR repetitions = 0) AND lesson = 3
+    WHERE (next_review_date <= TIMESTAMP '{v.NOW}' OR repetitions = 0) AND lesson = 7
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY repetitions, next_review_date, vocab_id) <= 5"""
 
 ENSURE = f"""
@@ -267,6 +274,11 @@ GLOSS = "WITH " + TOKENS.strip() + """,
       coalesce(CASE WHEN s.id IS NOT NULL THEN s.romaji ELSE r.romaji END, s.kana, r.kana, reading, surface) AS romaji, CAST(coalesce(s.id, r.id) IS NOT NULL AS BIGINT) AS covered
     FROM tokens LEFT JOIN dict s ON s.key = surface LEFT JOIN dict r ON r.key = reading"""
 
+REQUESTS = "WITH " + TOKENS.strip() + """
+    SELECT CASE WHEN length(surface) > 6 THEN '字' || surface ELSE surface END AS surface, CASE WHEN length(surface) > 6 THEN '字' || surface END AS kanji,
+      coalesce(reading, CASE WHEN length(surface) > 6 THEN '字' || surface ELSE surface END) AS kana, '（未翻訳）' AS burmese_meaning, 'N5' AS jlpt_level, '不明' AS part_of_speech
+    FROM tokens"""
+
 READER = "WITH " + TOKENS.strip() + """,
     first AS (SELECT * FROM words ORDER BY id LIMIT 800),
     keys AS (SELECT kana AS key, * FROM first UNION ALL SELECT kanji, * FROM first WHERE kanji IS NOT NULL),
@@ -310,6 +322,7 @@ QUERIES = {
     "lesson_options": (lesson_options, v.with_views(OPTIONS, "vocab")),
     "gloss": (gloss, GLOSS.strip()),
     "gloss_reader": (gloss_reader, READER.strip()),
+    "token_requests": (token_requests, REQUESTS.strip()),
     "add_words": (add_words, v.with_views(ADDED, "vocab", "words")),
     "add_words_vocabulary": (add_words_vocabulary, v.with_views(ADDED_VOCAB, "vocab", "words")),
     "quiz": (quiz, None),

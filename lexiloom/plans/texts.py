@@ -25,6 +25,16 @@ def clean_text(spark, sf):
     return v.plain(cleaned.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("chars")))
 
 
+WIDE = {c: chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz"}
+
+
+def nfkc(spark, sf):
+    """Documents typed in full-width letters, normalised back."""
+    wide = F.translate("text", "".join(WIDE), "".join(WIDE.values()))
+    t = v.table(spark, sf, "documents").select("doc_id", text.nfkc(wide).alias("t"))
+    return v.plain(t.select("doc_id", F.md5("t").alias("digest")))
+
+
 def keys(spark, sf):
     """Reading, surface and canonical keys of names with kana, full-width blanks and brackets."""
     p = _parts(spark, sf).select(
@@ -340,6 +350,7 @@ CHECKS = f"""
       CAST(pages >= 90 AND characters >= 1000 AND len(missing) = 0 AND coalesce(lesson = 7, FALSE) AS BIGINT) AS passed FROM m"""
 
 QUERIES = {
+    "nfkc": (nfkc, "SELECT doc_id, md5(text) AS digest FROM documents"),
     "clean_text": (clean_text, CLEAN.strip()),
     "identity_keys": (keys, KEYS.strip()),
     "kana_forms": (kana, KANA.strip()),

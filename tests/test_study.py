@@ -129,7 +129,7 @@ def test_metrics(spark):
 def test_ordered(spark):
     rows = [("hot", i % 4, i) for i in range(60)] + [("b", 1, 1)]
     df = spark.createDataFrame(rows, "k string, s int, i int").repartition(3)
-    got = {r.i: r["rank"] for r in ordered.split_rank(df, ["k"], [-F.col("s"), F.floor(F.col("i") / 10)], [F.col("s").desc(), F.col("i")]).filter("k = 'hot'").collect()}
+    got = {r.i: r["rank"] for r in ordered.split_rank(df, ["k"], [[-F.col("s")], [F.floor(F.col("i") / 10)]], [F.col("s").desc(), F.col("i")]).filter("k = 'hot'").collect()}
     want = {i: n + 1 for n, (_, i) in enumerate(sorted((-(i % 4), i) for i in range(60)))}
     assert got == want
     assert {r.k: r.i for r in ordered.dedupe_first(df, ["k"], [F.col("i").desc()]).collect()} == {"hot": 59, "b": 1}
