@@ -109,3 +109,20 @@ def test_list_files(spark, tmp_path):
     rows = files.list_files(spark, str(tmp_path)).collect()
     assert [r.path.rsplit("/", 1)[1] for r in rows] == ["a.pdf", "b.PDF"]
     assert files.list_files(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_report_and_failed_files(spark, tmp_path):
+    from lexiloom.operators.ingest import failed_files
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "doc string, n long")
+    files.write_report(df, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
+    assert [r.doc for r in failed_files(df, df.filter("n = 1")).collect()] == ["b"]
+
+
+def test_safe_json(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, '{"k": 1}'), (1, "{bad"), (2, ""), (3, None)], "i int, t string")
+    out = df.select("i", files.safe_json("t", "struct<k: int>", F.struct(F.lit(0).alias("k"))).alias("v")).orderBy("i").collect()
+    assert [r.v.k for r in out] == [1, 0, 0, 0]
