@@ -113,6 +113,7 @@ def add_words(
         "kanji": F.nullif("surface", F.lit("")), "kana": F.col("reading_key"),
         "burmese_meaning": F.coalesce(F.nullif(meaning, F.lit("")), F.col("reading_key")),
         "jlpt_level": F.when(F.col("jlpt_level") == "N4", "N4").otherwise("N5"),
+        **{c: F.nullif(c, F.lit("")) for c in ("romaji", "part_of_speech") if c in judged.columns},
         "pdf_source": F.lit(READER_SOURCE), "created_at": F.lit(now).cast("timestamp"),
     })
     fresh = fresh.select(*[

@@ -42,13 +42,14 @@ def _settle(words: DataFrame, edges: DataFrame) -> DataFrame:
     ``edges``: pos, other (both positions, other < pos).
     """
     open_, new = F.col("status") == "open", F.col("status") == "new"
-    state = words.select("pos", F.lit("open").alias("status"))
+    keys = words.columns
+    active, settled = words.withColumn("status", F.lit("open")), None
     while True:
-        status = words.join(state, "pos")
-        seen = edges.join(state.withColumnRenamed("pos", "other"), "other").groupBy("pos").agg(
+        others = active.select(F.col("pos").alias("other"), "status")
+        seen = edges.join(others, "other").groupBy("pos").agg(
             F.bool_or(new).alias("beside_new"), F.bool_or(open_).alias("beside_open"))
         near = F.col("near_store") | F.coalesce("beside_new", F.lit(False))
-        known = status.join(seen, "pos", "left").withColumn(
+        known = active.join(seen, "pos", "left").withColumn(
             "apart",
             F.when(near, "review").when(F.coalesce("beside_open", F.lit(False)), "unknown").otherwise("new"))
         # The row a reading group may enrich: its only stored row, or its first insert.
@@ -87,9 +88,18 @@ def _settle(words: DataFrame, edges: DataFrame) -> DataFrame:
             .when(F.col("has_x") & F.col("fits") & ~waits, "enrich")
             .otherwise("open")
         )
-        state = cut_lineage(judged.join(later, "reading_key", "left").select("pos", decided.alias("status")))
-        if state.filter(open_).isEmpty():
-            return state
+        result = cut_lineage(judged.join(later, "reading_key", "left").select(
+            *keys, decided.alias("status"), (open_ & (decided != "open")).alias("newly")))
+        done = result.filter("newly").select("pos", "status")
+        settled = done if settled is None else settled.unionByName(done)
+        rest = result.filter(open_)
+        if rest.isEmpty():
+            return settled
+        # The next round needs the open words, their reading groups and their edge neighbours.
+        groups = rest.select("reading_key").distinct()
+        beside = edges.join(rest.select("pos"), "pos", "left_semi").select(F.col("other").alias("pos"))
+        needed = result.join(groups, "reading_key", "left_semi").select("pos").unionByName(beside).distinct()
+        active = result.join(needed, "pos", "left_semi").select(*keys, "status")
 
 
 def ingest(

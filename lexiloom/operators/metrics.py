@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.temporal import day, in_range
@@ -125,7 +127,8 @@ def batch_history(
     if status:
         df = df.filter(F.col("status") == status)
     if source:
-        df = df.filter(F.contains(F.lower("source_name"), F.lit(source.lower())))
+        folded = F.translate("source_name", ascii_uppercase, ascii_lowercase)
+        df = df.filter(F.contains(folded, F.lit(source.translate(str.maketrans(ascii_uppercase, ascii_lowercase)))))
     k = min(limit, HISTORY_MAX) if limit and limit > 0 else HISTORY_DEFAULT
     return df.orderBy(F.col("created_at").desc(), F.col("batch_id").desc()).limit(k)
 

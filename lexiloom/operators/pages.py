@@ -314,8 +314,11 @@ def approve(
 
 
 def reject(pages: DataFrame, candidates: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reject pages: ``requests`` has page_id and reason.  Returns (pages, candidates)."""
-    asked = requests.groupBy("page_id").agg(F.max(F.substring("reason", 1, REASON_CHARS)).alias("_reason"))
+    """Reject pages: ``requests`` has page_id, position and reason; the last one of a page counts.
+
+    Returns (pages, candidates).
+    """
+    asked = requests.groupBy("page_id").agg(F.substring(F.max_by("reason", "position"), 1, REASON_CHARS).alias("_reason"))
     asked = asked.withColumn("_asked", F.lit(True))
     hit = F.col("_asked").isNotNull()
     pages_out = pages.join(asked, "page_id", "left").withColumns({

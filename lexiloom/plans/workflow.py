@@ -98,7 +98,7 @@ def approve_vocabulary(spark, sf):
 
 
 def reject(spark, sf):
-    req = v.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("page_id"), F.repeat(F.lit("toxic "), 100).alias("reason"))
+    req = v.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("position"), F.repeat(F.lit("toxic "), 100).alias("reason"))
     p, c = pages.reject(v.text_pages(spark, sf), v.candidates(spark, sf), req)
     mine = c.groupBy("page_id").agg(F.count_if(F.col("status") == "rejected").alias("rejected"))
     return v.plain(p.join(mine, "page_id", "left").select("page_id", "status", "error_category", F.length("error_message").alias("reason_chars"), "rejected"))

@@ -103,3 +103,28 @@ def test_hot_token_and_percentile(spark):
     s = sorted(7 if i % 3 == 0 else i for i in range(90_001))
     r = metrics.rank_percentiles(d, "d").collect()[0]
     assert (r.median, r.p95) == (s[45_000], s[85_500])
+
+
+def test_hot_reading_and_surface_are_ingested_exactly(spark, monkeypatch):
+    """A third of a batch shares one reading, a third one surface; rounds stay few."""
+    from test_matching import REVIEWS, as_dicts
+
+    from lexiloom.operators import ingest
+
+    rows = []
+    for i in range(360):
+        if i % 3 == 0:
+            rows.append(word_row(i, None if i == 150 else f"s{i}", "hot", f"meaning {i % 7}"))
+        elif i % 3 == 1:
+            rows.append(word_row(i, "hot", f"r{i % 40:02d}{'ab'[i % 2]}", f"meaning {i % 5}"))
+        else:
+            rows.append(word_row(i, f"s{i % 90}", f"q{i % 50}", f"meaning {i % 11}"))
+    rounds = []
+    cut = ingest.cut_lineage
+    monkeypatch.setattr(ingest, "cut_lineage", lambda df: (rounds.append("newly" in df.columns), cut(df))[1])
+    vocab = [vocab_row(1, "hot", "r00", "meaning 1"), vocab_row(2, "x", "q7", "meaning 2")]
+    result = ingest.ingest(spark.createDataFrame(rows, WORDS), spark.createDataFrame(vocab, VOCAB), spark.createDataFrame([], REVIEWS))
+    got = {r.position: (r.kind, r.existing_id, r.score) for r in result.decisions.collect()}
+    assert got == plain.ingest(as_dicts(rows, WORDS), as_dicts(vocab, VOCAB))
+    assert sum(rounds) <= 12
+    print("rounds", sum(rounds))

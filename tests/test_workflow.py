@@ -175,7 +175,7 @@ def test_approve_and_reject(spark):
     assert {(r.id, r.pdf_source) for r in v2.collect()} == {(1, None), (102, "ingestion-page:1")}
     row = r2.collect()[0]
     assert (row.status, row.candidate_id, row.score) == ("pending", 102, 0.9)
-    req = spark.createDataFrame([(2, "r" * 600)], "page_id long, reason string")
+    req = spark.createDataFrame([(2, 1, "r" * 600), (2, 0, "z")], "page_id long, position long, reason string")
     p3, c3 = pages.reject(p, c, req)
     assert {r.page_id: (r.status, len(r.error_message or "")) for r in p3.collect()} == {1: ("needs_review", 0), 2: ("rejected", 500)}
     assert {r.candidate_id for r in c3.filter("status = 'rejected'").collect()} == {"c5"}
