@@ -111,8 +111,9 @@ def ingest(
     Exact and enrich fill empty fields of a stored row, review adds a pending review unless
     one with its key exists, new inserts the word.
     """
-    batch = dedupe_first(incoming_keys(words), ["identity_key"], [F.col("position")])
-    rows = stored_keys(vocab).select("id", "stored_key", *TRIPLE)
+    # Keys are computed once per side; everything below reads these two.
+    batch = cut_lineage(dedupe_first(incoming_keys(words), ["identity_key"], [F.col("position")]))
+    rows = cut_lineage(stored_keys(vocab).select("id", "stored_key", *TRIPLE))
     by_key, by_reading = lookups(rows)
     counts = rows.groupBy("reading_key").agg(F.count(F.lit(1)).alias("store_n"))
     keyed = (

@@ -213,7 +213,8 @@ def decide(incoming: DataFrame, vocab: DataFrame, big_block: int = BIG_BLOCK, ex
     ``vocab`` has id, canonical_key, kanji, kana and burmese_meaning.  Adds kind, existing_id,
     score, distance, similarity and, unless told otherwise, reasons and explanation.
     """
-    rows = stored_keys(vocab).select("id", "stored_key", "surface_key", "reading_key", "meaning_key")
+    # Four aggregates read the stored keys; they are computed once, into the checkpoint folder.
+    rows = cut_lineage(stored_keys(vocab).select("id", "stored_key", "surface_key", "reading_key", "meaning_key"))
     return decide_keyed(incoming_keys(incoming), rows, big_block, explained)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.identity import with_identity
-from .words import WORD_FIELDS, Scripts, checked_words, json_fields
+from .words import Scripts, checked_words, json_fields
 
 
 def review_queue(reviews: DataFrame, vocab: DataFrame, k: int = 200) -> DataFrame:

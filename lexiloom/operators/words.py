@@ -22,8 +22,6 @@ WORD_FIELDS = (
     "kanji", "kana", "romaji", "burmese_meaning", "jlpt_level", "part_of_speech", "lesson",
     "example_sentence_jp", "example_sentence_mm",
 )
-# Records arrive as JSON, so every field is read as text.
-RECORD_SCHEMA = ", ".join(f"{f} string" for f in WORD_FIELDS)
 
 
 @dataclass(frozen=True)

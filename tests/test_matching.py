@@ -166,8 +166,12 @@ def test_manifest_cases(spark, tmp_path):
          "existing": [stored("c", "箸", "はし", "တူ"), stored("d", "橋", "はし", "တံတား")], "expectedKind": "new"},
     ]
     path = tmp_path / "m.json"
-    path.write_text(json.dumps({"matchCases": cases}, ensure_ascii=False), encoding="utf8")
-    from lexiloom.sources.files import read_manifest
+    samples = [{"id": "s1", "path": "a.pdf", "minimumPages": 1, "requiredText": ["x"], "ocr": {"minimumCharacters": 5}}]
+    path.write_text(json.dumps({"matchCases": cases, "pdfSamples": samples}, ensure_ascii=False), encoding="utf8")
+    from lexiloom.sources.files import read_manifest, read_samples
+
+    sample = read_samples(spark, str(path)).collect()[0]
+    assert (sample.id, sample.requiredText, sample.ocr.minimumCharacters) == ("s1", ["x"], 5)
 
     manifest = read_manifest(spark, str(path))
     labelled = manifest.select("id", F.col("expectedKind").alias("expected_kind"), F.col("minimumScore").alias("minimum_score"))
