@@ -119,7 +119,7 @@ TOP_K = """
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY events.ts DESC, event_id DESC) <= 20"""
 
 ATTENTION = """
-    SELECT page_number, count(*) AS pages FROM batch_pages WHERE status = 'needs_review' GROUP BY 1"""
+    SELECT CAST(page_number AS BIGINT) AS page_number, count(*) AS pages FROM batch_pages WHERE status = 'needs_review' GROUP BY 1"""
 
 METRICS = """
     SELECT l_suppkey AS batch_id, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS created_at, metric_id, max(l_quantity) AS value

@@ -238,7 +238,7 @@ DELETE = """
 
 GROUPED = """
     grouped AS (SELECT *, count(*) OVER (PARTITION BY identity_key) AS group_size,
-      CAST(kanji IS NOT NULL AS INTEGER) + CAST(example_sentence_jp IS NOT NULL AS INTEGER) + CAST(id IN (SELECT vocab_id FROM word_progress) AS INTEGER) AS score FROM vocab),
+      CAST(kanji IS NOT NULL AS BIGINT) + CAST(example_sentence_jp IS NOT NULL AS BIGINT) + CAST(id IN (SELECT vocab_id FROM word_progress) AS BIGINT) AS score FROM vocab),
     placed AS (SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY score DESC, created_at, id) AS place FROM grouped WHERE group_size > 1)"""
 
 GROUPS = "WITH " + GROUPED.strip() + " SELECT id, replace(identity_key, chr(0), '|') AS identity_key, group_size, score, place FROM placed"

@@ -180,7 +180,7 @@ SM2 = """
       CASE WHEN reps = 0 THEN 'learning' WHEN iv >= 21 THEN 'mastered' ELSE 'reviewing' END AS status, i AS ratings{more} FROM last"""
 
 SM2_CARD = SM2.format(card="vocab_id", more=", strftime(ts + to_days(CAST(iv AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS next_review_date")
-SM2_LEARNER = SM2.format(card="0", more="")
+SM2_LEARNER = SM2.format(card="CAST(0 AS BIGINT)", more="")
 
 REJECTED = "SELECT user_id, count(*) AS rejected FROM ratings WHERE grade NOT IN (0, 3, 4, 5) GROUP BY 1"
 
@@ -219,7 +219,7 @@ LOG = """
 LOG_ROWS = "WITH " + LOG.strip() + " SELECT user_id, CAST(day AS VARCHAR) AS day, words_reviewed, quizzes_completed, round(accuracy_score, 6) AS accuracy_score FROM log"
 
 STREAK = f"""
-    walk AS (SELECT user_id, CASE WHEN bool_or(day = DATE '{TODAY}') THEN DATE '{TODAY}' ELSE DATE '{TODAY}' - 1 END AS day, 0 AS n FROM log GROUP BY 1
+    walk AS (SELECT user_id, CASE WHEN bool_or(day = DATE '{TODAY}') THEN DATE '{TODAY}' ELSE DATE '{TODAY}' - 1 END AS day, CAST(0 AS BIGINT) AS n FROM log GROUP BY 1
       UNION ALL SELECT w.user_id, w.day - 1, n + 1 FROM walk w JOIN log l ON l.user_id = w.user_id AND l.day = w.day),
     streak AS (SELECT user_id, max(n) AS streak FROM walk GROUP BY 1)"""
 

@@ -208,7 +208,7 @@ def _values(*columns):
 
 KANA = f"""
     WITH w(i, w, folded, romaji) AS (VALUES {_values(WORDS, FOLDED, ROMAJI)})
-    SELECT p_partkey, w, folded, romaji, 1 AS kana, 0 AS cjk FROM part JOIN w ON p_partkey % {len(WORDS)} = i"""
+    SELECT p_partkey, w, folded, romaji, CAST(1 AS BIGINT) AS kana, CAST(0 AS BIGINT) AS cjk FROM part JOIN w ON p_partkey % {len(WORDS)} = i"""
 
 HEADERS = """
     WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '第 ' || (doc_id % 40) || '課 N5' || chr(10) WHEN 1 THEN 'UNIT' || (doc_id % 300) || ' n4,'
@@ -219,9 +219,9 @@ HEADERS = """
     SELECT doc_id, CASE WHEN n BETWEEN 1 AND 25 THEN n END AS lesson, nullif(l, '') AS level FROM n"""
 
 FIELDS = """
-    SELECT p_partkey, substr(p_type || ' ' || p_name, 1, 12) AS field, NULL AS empty,
+    SELECT p_partkey, substr(p_type || ' ' || p_name, 1, 12) AS field, CAST(NULL AS VARCHAR) AS empty,
       CASE WHEN p_partkey % 3 < 2 AND p_partkey % 40 BETWEEN 1 AND 25 THEN p_partkey % 40 ELSE 7 END AS lesson,
-      CASE WHEN p_partkey % 6 IN (4, 5) THEN 'N' || (p_partkey % 6) ELSE 'N5' END AS level, least(100, p_size * 3) AS share FROM part"""
+      CASE WHEN p_partkey % 6 IN (4, 5) THEN 'N' || (p_partkey % 6) ELSE 'N5' END AS level, CAST(least(100, p_size * 3) AS BIGINT) AS share FROM part"""
 
 MEANING = """
     WITH k AS (SELECT conv_id, turn, regexp_replace(regexp_replace(lower(text), '\\s+', '', 'g'), '[၊။!?！？。、,.]', '', 'g') AS k FROM conversations)
@@ -252,7 +252,7 @@ REJECTS = """
 
 RESPONSES = f"""
     WITH items AS (
-      SELECT position AS response_id, 0 AS position, kanji, kana, burmese_meaning, lesson AS l,
+      SELECT position AS response_id, CAST(0 AS BIGINT) AS position, kanji, kana, burmese_meaning, lesson AS l,
         CASE WHEN position % 2 = 0 THEN 'N4' END AS level FROM words
       UNION ALL SELECT position, 1, kanji, kana || CASE WHEN position % 3 = 0 THEN '' ELSE 'z' END, burmese_meaning, NULL, NULL FROM words),
     valid AS (SELECT *, {v.key_sql('kanji', 'kana')} AS k FROM items WHERE response_id % 6 NOT IN (3, 4))
@@ -284,7 +284,7 @@ CUT = """CASE WHEN length(rest) <= {n} THEN length(rest)
 
 SPLIT = f"""
     cut AS (
-      SELECT doc_id, -1 AS piece_no, '' AS piece, trim(regexp_replace(replace(replace(text, chr(10), ' '), ',', ';'), ' +', ' ', 'g')) AS rest FROM documents
+      SELECT doc_id, CAST(-1 AS BIGINT) AS piece_no, '' AS piece, trim(regexp_replace(replace(replace(text, chr(10), ' '), ',', ';'), ' +', ' ', 'g')) AS rest FROM documents
       UNION ALL
       SELECT doc_id, piece_no + 1, trim(left(rest, n)), ltrim(substr(rest, n + 1))
       FROM (SELECT *, {CUT.format(n=500, least=225)} AS n FROM cut WHERE rest <> ''))

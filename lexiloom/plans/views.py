@@ -258,7 +258,7 @@ SQL = {
           CASE id % 3 WHEN 0 THEN 'N5' WHEN 1 THEN 'N4' ELSE 'N3' END AS jlpt_level,
           CASE WHEN id % 3 <> 0 THEN p_type END AS part_of_speech,
           CASE WHEN id % 2 = 1 THEN 'ex ' || p_name END AS example_sentence_jp, CAST(NULL AS VARCHAR) AS example_sentence_mm,
-          'File' || (id % 20) || '.pdf' AS pdf_source, CASE WHEN p_size BETWEEN 1 AND 25 THEN p_size END AS lesson,
+          'File' || (id % 20) || '.pdf' AS pdf_source, CASE WHEN p_size BETWEEN 1 AND 25 THEN CAST(p_size AS BIGINT) END AS lesson,
           TIMESTAMP '{EPOCH}' + to_minutes(id) AS created_at,
           replace(coalesce(kanji, ''), ' ', '') AS surface_key, {key_sql('kanji', 'kana')} AS identity_key
         FROM (SELECT *, p_partkey AS id, CASE WHEN p_size % 7 <> 0 THEN p_name END AS kanji,
@@ -273,7 +273,7 @@ SQL = {
                WHEN 4 THEN p_brand || '-' || (p_partkey % 50)
                ELSE p_brand || '-' || (p_size % 10) || '-' || (p_partkey // 1000) END AS kana,
           CASE WHEN p_partkey % 5 = 3 THEN lower(p_name) ELSE lower(p_type || ' ' || p_name) END AS burmese_meaning,
-          'N5' AS jlpt_level, 'noun' AS part_of_speech, CASE WHEN p_size BETWEEN 1 AND 25 THEN p_size END AS lesson,
+          'N5' AS jlpt_level, 'noun' AS part_of_speech, CASE WHEN p_size BETWEEN 1 AND 25 THEN CAST(p_size AS BIGINT) END AS lesson,
           'in ' || p_name AS example_sentence_jp FROM part)""",
     "batches": """
         SELECT o_orderkey AS batch_id, 'Customer ' || o_custkey || '.pdf' AS source_name,

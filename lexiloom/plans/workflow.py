@@ -234,7 +234,7 @@ REJECTED = """
     WITH asked AS (SELECT doc_id FROM labels WHERE toxic = 1),
     c AS (SELECT page_id, count(*) FILTER (status = 'pending' AND page_id IN (SELECT doc_id FROM asked)) AS n FROM candidates GROUP BY 1)
     SELECT doc_id AS page_id, CASE WHEN hit THEN 'rejected' WHEN doc_id % 3 = 0 THEN 'needs_review' ELSE 'corrected' END AS status,
-      CASE WHEN hit THEN 'operator_rejected' END AS error_category, CASE WHEN hit THEN 500 END AS reason_chars, n AS rejected
+      CASE WHEN hit THEN 'operator_rejected' END AS error_category, CASE WHEN hit THEN CAST(500 AS BIGINT) END AS reason_chars, n AS rejected
     FROM (SELECT doc_id, doc_id IN (SELECT doc_id FROM asked) AS hit FROM documents) LEFT JOIN c ON page_id = doc_id"""
 
 QUEUE = """
