@@ -103,7 +103,7 @@ def search(
     need = max(probe * sizes.sum(), k + 1)
 
     def probes(batches: Iterator[pa.RecordBatch]):
-        c, _, seeds = shared.value
+        c, _, seeds, seed_ids, seed_list = shared.value
         for b in batches:
             x = matrix(b.column("v"), dim)
             far = (c * c).sum(1)[None] - 2 * x @ c[:, :-1].T
