@@ -46,10 +46,16 @@ def arrow_schema(schema: StructType | str) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: fewer of them at a time bound what a worker and its executor hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def map_rows(
     df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` for a generator of column lists in the order of ``schema``."""
+    small_batches(df.sparkSession)
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +63,7 @@ def map_rows(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,9 @@ from pyspark.sql import SparkSession
 from .common import once_per_worker
 
 #: Words kept by a worker from batch to batch: the first that it meets, which frequent words are among.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
+#: UTF-8 bytes of text that are encoded at a time, which bounds what a batch takes besides its result.
+SLICE_BYTES = 6 << 20
 #: A word and marks after it, and as much after a line feed, for which pre-tokenizing is known: a token for each.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:|#$%&*()/-"
 PLAIN = f"^(?P<word>[{LETTERS}]*)(?P<marks>[{MARKS}]*)(?:(?P<line>\\n)(?P<word2>[{LETTERS}]+)(?P<marks2>[{MARKS}]*))?$"
@@ -51,6 +53,17 @@ def shown(text: str) -> str:
     return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(SHOWN)
 
 
+def in_slices(texts: pa.Array, encode) -> pa.Array:
+    """``encode`` for parts of at most SLICE_BYTES, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    out, at = [], 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        out.append(encode(texts.slice(at, end - at)))
+        at = end
+    return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
@@ -112,6 +125,9 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Binary ids of every text, none of which is null."""
+        return in_slices(texts, self._encode)
+
+    def _encode(self, texts: pa.Array) -> pa.Array:
         if not self.leading:
             texts, whole = pc.replace_substring_regex(texts, "[\t\n\r]", " "), None
         else:

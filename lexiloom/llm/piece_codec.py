@@ -23,10 +23,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .common import map_rows, once_per_worker, texts
-from .encoding import LETTERS, share_file, tokenizer_file
+from .encoding import LETTERS, in_slices, share_file, tokenizer_file
 
 MARK = "▁"
-KEPT = 300_000
+KEPT = 200_000
 KEPT_LENGTH = 64
 
 
@@ -247,10 +247,16 @@ def codec_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded text."""
     shared = share_file(docs.sparkSession, tokenizer_file(model, "piece_bpe_32k.model"))
 
+    def digests(part: pa.Array) -> pa.StructArray:
+        n, ids, said = codec(shared).described(part)
+        sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), sha(ids), sha(said)], ["n", "ids", "said"])
+
     def rows(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            n, ids, said = codec(shared).described(b.column("text"))
-            sha = lambda column: [hashlib.sha256(x.as_buffer()).hexdigest() for x in column]
-            yield [b.column("doc_id"), n, sha(ids), sha(said)]
+            if b.num_rows == 0:
+                continue
+            made = in_slices(b.column("text"), digests).flatten()
+            yield [b.column("doc_id"), *made]
 
     return map_rows(texts(docs), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

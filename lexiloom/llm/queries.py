@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, packing, piece_codec, token_files
+from . import ann, chat, cotrain, line_dedup, packing, piece_codec, simhash, token_files
 from .common import table
 
 
@@ -25,18 +25,38 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeats(docs).withColumnsRenamed({"line_dedup_lines": "n_lines", "line_dedup_gone": "n_removed"})
+
+
 def op9_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
     return piece_codec.codec_digests(table(spark, sf, "documents"))
 
 
+def op10_cotrain(spark: SparkSession, sf: str) -> DataFrame:
+    scored = cotrain.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select(
+        "doc_id", scored.quality_text.alias("p_text"), scored.quality_meta.alias("p_meta"),
+        scored.quality_score.alias("score"), scored.quality_keep.alias("keep"),
+    )
+
+
 QUERIES = {
     "op1_ann": (op1_ann, None),
     "op2_chat": (op2_chat, None),
     "op3_token_files": (op3_token_files, None),
+    "op4_simhash": (op4_simhash, None),
     "op7_packing": (op7_packing, None),
+    "op8_line_dedup": (op8_line_dedup, None),
     "op9_piece_codec": (op9_piece_codec, None),
+    "op10_cotrain": (op10_cotrain, None),
 }
