@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, cotrain, line_dedup, packing, piece_codec, simhash, token_files
+from . import ann, chat, cotrain, embed_dedup, line_dedup, packing, piece_codec, simhash, token_files
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op5_embed_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_chat": (op2_chat, None),
     "op3_token_files": (op3_token_files, None),
     "op4_simhash": (op4_simhash, None),
+    "op5_embed_dedup": (op5_embed_dedup, None),
     "op7_packing": (op7_packing, None),
     "op8_line_dedup": (op8_line_dedup, None),
     "op9_piece_codec": (op9_piece_codec, None),
