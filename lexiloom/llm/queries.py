@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, cotrain, embed_dedup, line_dedup, packing, piece_codec, simhash, token_files
+from . import ann, chat, cotrain, embed_dedup, line_dedup, packing, piece_codec, simhash, suffix_tree, token_files
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_embed_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf, "embeddings"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_token_files": (op3_token_files, None),
     "op4_simhash": (op4_simhash, None),
     "op5_embed_dedup": (op5_embed_dedup, None),
+    "op6_suffix_tree": (op6_suffix_tree, None),
     "op7_packing": (op7_packing, None),
     "op8_line_dedup": (op8_line_dedup, None),
     "op9_piece_codec": (op9_piece_codec, None),
