@@ -39,27 +39,26 @@ _SMALL_KANA = "ぁぃぅぇぉゃゅょっ"
 _FULL_KANA = "あいうえおやゆよつ"
 
 # One romaji syllable per hiragana letter, by rows of the kana table.
-_ROMAJI_ROWS = """
-あ a い i う u え e お o
-か ka き ki く ku け ke こ ko
-さ sa し shi す su せ se そ so
-た ta ち chi つ tsu て te と to
-な na に ni ぬ nu ね ne の no
-は ha ひ hi ふ fu へ he ほ ho
-ま ma み mi む mu め me も mo
-や ya ゆ yu よ yo
-ら ra り ri る ru れ re ろ ro
-わ wa を wo ん n
-が ga ぎ gi ぐ gu げ ge ご go
-ざ za じ ji ず zu ぜ ze ぞ zo
-だ da ぢ ji づ zu で de ど do
-ば ba び bi ぶ bu べ be ぼ bo
-ぱ pa ぴ pi ぷ pu ぺ pe ぽ po
-ぁ a ぃ i ぅ u ぇ e ぉ o
-ゃ ya ゅ yu ょ yo
-ゔ vu
-"""
-_ROMAJI = dict(zip(_ROMAJI_ROWS.split()[0::2], _ROMAJI_ROWS.split()[1::2]))
+_ROMAJI = {
+    "あ": "a", "い": "i", "う": "u", "え": "e", "お": "o",
+    "か": "ka", "き": "ki", "く": "ku", "け": "ke", "こ": "ko",
+    "さ": "sa", "し": "shi", "す": "su", "せ": "se", "そ": "so",
+    "た": "ta", "ち": "chi", "つ": "tsu", "て": "te", "と": "to",
+    "な": "na", "に": "ni", "ぬ": "nu", "ね": "ne", "の": "no",
+    "は": "ha", "ひ": "hi", "ふ": "fu", "へ": "he", "ほ": "ho",
+    "ま": "ma", "み": "mi", "む": "mu", "め": "me", "も": "mo",
+    "や": "ya", "ゆ": "yu", "よ": "yo",
+    "ら": "ra", "り": "ri", "る": "ru", "れ": "re", "ろ": "ro",
+    "わ": "wa", "を": "wo", "ん": "n",
+    "が": "ga", "ぎ": "gi", "ぐ": "gu", "げ": "ge", "ご": "go",
+    "ざ": "za", "じ": "ji", "ず": "zu", "ぜ": "ze", "ぞ": "zo",
+    "だ": "da", "ぢ": "ji", "づ": "zu", "で": "de", "ど": "do",
+    "ば": "ba", "び": "bi", "ぶ": "bu", "べ": "be", "ぼ": "bo",
+    "ぱ": "pa", "ぴ": "pi", "ぷ": "pu", "ぺ": "pe", "ぽ": "po",
+    "ぁ": "a", "ぃ": "i", "ぅ": "u", "ぇ": "e", "ぉ": "o",
+    "ゃ": "ya", "ゅ": "yu", "ょ": "yo",
+    "ゔ": "vu",
+}
 
 
 def _col(col: Column | str) -> Column:

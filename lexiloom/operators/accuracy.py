@@ -56,14 +56,14 @@ def extraction_checks(
 
     ``specs``: doc, required_text, minimum_pages, minimum_characters, expected_level,
     expected_lesson, expect_no_text (all but doc may be null).  Documents over the read limits
-    count as unread, which bounds the text assembled per document.
+    are not read and fail, with the limit in ``reason``, which bounds the text assembled per document.
     """
-    kept, _ = read_pages(pages, max_bytes, max_pages)
+    kept, rejects = read_pages(pages, max_bytes, max_pages)
     cleaned = kept.withColumn("text", clean_text("text"))
     docs = cleaned.groupBy("doc").agg(
         F.array_sort(F.collect_list(F.struct("num", "text"))).alias("p")).select(
         "doc", F.size("p").alias("pages"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
-    joined = specs.join(docs, "doc", "left").withColumns({
+    joined = specs.join(docs, "doc", "left").join(rejects.select("doc", "reason"), "doc", "left").withColumns({
         "pages": F.coalesce("pages", F.lit(0)), "text": F.coalesce("text", F.lit("")),
     })
     found = joined.withColumns({
@@ -75,7 +75,7 @@ def extraction_checks(
         F.col("pages") >= F.coalesce("minimum_pages", F.lit(1)))
     same = lambda want, got: F.col(want).isNull() | F.coalesce(F.col(want) == F.col(got), F.lit(False))
     passed = (
-        count_ok & (F.size("missing_text") == 0) & (F.col("characters") >= F.coalesce("minimum_characters", F.lit(0)))
+        F.col("reason").isNull() & count_ok & (F.size("missing_text") == 0) & (F.col("characters") >= F.coalesce("minimum_characters", F.lit(0)))
         & same("expected_level", "level") & same("expected_lesson", "lesson")
     )
-    return found.select("doc", "pages", "characters", "level", "lesson", "missing_text", passed.alias("passed"))
+    return found.select("doc", "pages", "characters", "level", "lesson", "missing_text", passed.alias("passed"), "reason")

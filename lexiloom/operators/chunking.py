@@ -12,18 +12,19 @@ from __future__ import annotations
 
 from bisect import bisect_left
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import LESSON_PATTERN, LESSON_MAX, SPACE_CLASS, clean_text, detect_lesson, js_trim
+from ..session import cut_lineage
 from .folds import fold_sorted
-from .ordered import fill_forward
+from .ordered import fill_forward, join_same
 
 # Default chunk size, sentence marks, and the share of a line a cut must keep.
 CHUNK_CHARS = 4200
 SENTENCE_MARKS = "[。！？!?、；;:：]"
 KEEP_SHARE = 0.45
 
-RUN_PAGES = 16384
+RUN_PAGES, PLACE_BITS = 16384, 20
 
 
 def line_pieces(line: Column, max_chars: int = CHUNK_CHARS) -> Column:
@@ -55,7 +56,7 @@ def page_pieces(text: Column, max_chars: int) -> Column:
 def fill_lesson(pages: DataFrame, span: int = 4096) -> DataFrame:
     """Lesson in force on every page (doc, num, text): the last one announced so far."""
     found = pages.withColumn("page_lesson", detect_lesson("text"))
-    return fill_forward(found, ["doc"], "num", "page_lesson", "lesson", span)
+    return fill_forward(found, ["doc"], "num", "page_lesson", "lesson", span, ties=["text"])
 
 
 # --- step functions -----------------------------------------------------------------------
@@ -193,28 +194,33 @@ def _cut_pages(limit: int):
 def pages_to_chunks(pages: DataFrame, max_chars: int = CHUNK_CHARS, run_pages: int = RUN_PAGES) -> DataFrame:
     """Chunks of at most ``max_chars`` characters per document of a page table (doc, num, text).
 
+    Pages that repeat a number follow each other by their text; a page without a number counts as
+    page 0, and pages without a document belong together.
     Columns: doc, page_start, piece_start (position on the first page), page_end, lesson, text.
     Each text opens with its page range and lesson.
     """
-    clean = (
-        pages.select(F.col("doc").cast("string").alias("doc"), F.col("num").cast("long").alias("num"),
+    # A page's place: its number, and its rank among pages of that number in the last 20 bits.
+    again = F.row_number().over(Window.partitionBy("doc", "num").orderBy("text")) - 1
+    clean = cut_lineage(
+        pages.select(F.col("doc").cast("string").alias("doc"), F.coalesce(F.col("num").cast("long"), F.lit(0)).alias("num"),
                      clean_text("text").alias("text"))
         .filter(F.col("text") != "")
+        .withColumn("num", F.shiftleft("num", PLACE_BITS) + again)
         .select("doc", "num", page_pieces(F.col("text"), max_chars).alias("pieces"),
                 _lesson_of_clean(F.col("text")).alias("lesson"))
     )
     lengths = clean.select(
-        "doc", F.floor(F.col("num") / run_pages).alias("run"), "num",
+        "doc", F.floor(F.shiftright("num", PLACE_BITS) / run_pages).alias("run"), "num",
         F.transform("pieces", lambda p: F.length(p) + 1).alias("costs"), "lesson",
     )
     runs = fold_sorted(lengths, ["doc", "run"], ["num"], _compose_runs(max_chars), _RUN)
     entries = fold_sorted(runs, ["doc"], ["run"], _enter_runs(max_chars), _ENTRY).withColumnsRenamed(
         {"used": "e_used", "page": "e_page", "piece": "e_piece", "lesson": "e_lesson"})
     cuts = fold_sorted(
-        lengths.join(entries, ["doc", "run"]).select(*lengths.columns, "e_used", "e_page", "e_piece", "e_lesson"),
+        join_same(lengths, entries, ["doc", "run"]).select(*lengths.columns, "e_used", "e_page", "e_piece", "e_lesson"),
         ["doc", "run"], ["num"], _cut_pages(max_chars), _CUTS,
     )
-    joined = clean.drop("lesson").join(cuts, ["doc", "num"])
+    joined = join_same(clean.drop("lesson"), cuts, ["doc", "num"])
     opens_at = F.when(F.get("starts", F.lit(0)) == 0, F.col("starts")).otherwise(F.concat(F.array(F.lit(0)), "starts"))
     parts = joined.withColumn("opens", opens_at).select(
         "doc", "num", "lesson", "pieces", "opens", "starts", "open_page", "open_piece",
@@ -235,6 +241,7 @@ def pages_to_chunks(pages: DataFrame, max_chars: int = CHUNK_CHARS, run_pages: i
         F.array_sort(F.collect_list(F.struct("num", "part", "lesson"))).alias("parts"),
     )
     lesson = F.get("parts", F.lit(0))["lesson"]
+    merged = merged.withColumns({c: F.shiftright(c, PLACE_BITS) for c in ("page_start", "page_end")})
     span = F.when(F.col("page_start") == F.col("page_end"), F.col("page_start").cast("string")).otherwise(
         F.concat_ws("-", "page_start", "page_end"))
     header = F.concat(F.lit("PDF_PAGE: "), span, F.coalesce(F.concat(F.lit("\nLESSON_CONTEXT: "), lesson), F.lit("")))

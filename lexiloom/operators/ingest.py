@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.identity import KEY_SEPARATOR
 from ..session import cut_lineage
 from .matching import (
-    BIG_BLOCK, enrich, explain, fuzzy_candidates, fuzzy_pairs, incoming_keys, lookups, meanings_agree,
+    CHUNK, enrich, explain, fuzzy_candidates, fuzzy_pairs, incoming_keys, lookups, meanings_agree,
     review_score, stored_keys,
 )
 from .ordered import dedupe_first
@@ -104,7 +104,7 @@ def _settle(words: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ingest(
     words: DataFrame, vocab: DataFrame, reviews: DataFrame, source: Column | str = "",
-    now: str = "2024-01-01 00:00:00", big_block: int = BIG_BLOCK,
+    now: str = "2024-01-01 00:00:00", chunk: int = CHUNK,
 ) -> IngestResult:
     """Apply a batch of validated words (with a unique ``position``) to vocabulary and reviews.
 
@@ -127,12 +127,12 @@ def ingest(
         "agrees_store", F.coalesce(one_bare & meanings_agree("meaning_key", "only_meaning"), F.lit(False))
     ).drop("only_surface", "only_meaning"))
     rest = keyed.filter(F.col("exact_id").isNull())
-    near_store = fuzzy_candidates(rest, rows, big_block)
+    near_store = fuzzy_candidates(rest, rows, chunk)
     open_words = cut_lineage(
         rest.join(near_store, TRIPLE, "left").withColumn("near_store", F.col("fuzzy").isNotNull()))
     members = open_words.filter((F.col("surface_key") != "") & (F.col("meaning_key") != "")).select(*TRIPLE, "pos")
     edges = cut_lineage(
-        fuzzy_pairs(members.select(*TRIPLE), members.withColumnRenamed("pos", "ex_id"), big_block)
+        fuzzy_pairs(members.select(*TRIPLE), members.withColumnRenamed("pos", "ex_id"))
         .join(members, TRIPLE).filter(F.col("ex_id") < F.col("pos"))
         .select("pos", F.col("ex_id").alias("other"), "ex_reading", "distance", "similarity").distinct()
     )

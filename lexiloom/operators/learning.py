@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.temporal import add_days, day
 from ..functions.text import LEVELS, percent
-from .ordered import top_k
+from .ordered import join_same, top_k
 
 # Grades, start state, ease change per grade and floor (in hundredths, so sums are
 # exact), first two intervals, and the interval from which a card counts as mastered.
@@ -46,6 +46,8 @@ def sm2_step(grade: int, ease: int, interval: int, repetitions: int) -> tuple[in
 def replay_sm2(ratings: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Card state per (user_id, vocab_id) after all its valid ratings in order of (ts, event_id).
 
+    A null learner is a learner of its own, and ratings without a time come first.
+
     Needs no pass over a card's whole history in one task.  With S the running sum of ease
     changes, the ease is S + max(start, floor - min S): sums and minima, taken per time bucket
     and then over the buckets.  Repetitions count the passes after the last fail, and the
@@ -83,7 +85,7 @@ def replay_sm2(ratings: DataFrame, bucket: Column | None = None) -> DataFrame:
 
     no = F.lit(False)
     tail = (
-        rows.join(carried.select(*card, "bucket", "sb", "mb", "later"), [*card, "bucket"])
+        join_same(rows, carried.select(*card, "bucket", "sb", "mb", "later"), [*card, "bucket"])
         .filter(~F.col("fail") & ~F.coalesce("fail_later", no) & ~F.coalesce("later", no))
         .select(*card, "ts", "event_id",
                 ease_at(F.col("sb") + F.col("s") - F.col("d"), F.least("mb", F.col("sb") + F.col("low"))).alias("ease_before"))
@@ -96,7 +98,7 @@ def replay_sm2(ratings: DataFrame, bucket: Column | None = None) -> DataFrame:
         later_passes, F.lit(SECOND_INTERVAL).cast("long"),
         lambda acc, x: F.least(F.lit(MAX_DAYS).cast("long"), F.floor((acc * x["ease_before"] + 50) / 100))))
     state = (
-        whole.join(passes, card, "left").join(heads, card, "left")
+        join_same(join_same(whole, passes, card, "left"), heads, card, "left")
         .withColumns({"repetitions": F.coalesce("repetitions", F.lit(0)),
                       "interval": F.coalesce(F.when(F.col("head").isNotNull(), interval), F.lit(0)).cast("long")})
     )

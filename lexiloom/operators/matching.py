@@ -1,9 +1,8 @@
 """Entity resolution of incoming words against a stored vocabulary.
 
 No step pairs all members of a group.  Exact and enrich look at most one stored row up per
-word, from aggregates keyed by identity and by reading.  Review compares words only when they
-share the surface and a deletion variant of the reading; blocks with very many stored rows are
-split further by the rarest bigrams of the meaning, which keeps every compatible pair.
+word, from aggregates keyed by identity and by reading.  Review compares words only with rows
+that share the surface and a deletion variant of the reading, list by list, and keeps the best.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ NEAR_READING_SUMMARY = (
     "which is consistent with a possible OCR error."
 )
 
-BIG_BLOCK = 512
+#: Stored rows of a list that a word is compared with in one row.
+CHUNK = 256
 
 
 def stored_keys(vocab: DataFrame) -> DataFrame:
@@ -68,11 +68,11 @@ def block_candidates(incoming: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _variants(df: DataFrame) -> DataFrame:
-    return df.withColumn("variant", F.explode(deletion_variants("reading_key")))
+    return df.withColumn("variants", deletion_variants("reading_key")).withColumn("variant", F.explode("variants"))
 
 
 def _rare_tokens(df: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per prefix token of each meaning.
+    """Adds the prefix tokens of each meaning.
 
     With tokens in one global order, rarest first, two sets of Jaccard similarity >= t share a
     token among the first size - ceil(t * size) + 1 of each; the whole key stands in for it
@@ -84,40 +84,34 @@ def _rare_tokens(df: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFr
     size = F.size("sorted")
     keep = size - F.ceil(size * F.lit(MIN_SIMILARITY) - F.lit(1e-9)).cast("int") + 1
     prefix = F.transform(F.slice("sorted", F.lit(1), keep), lambda t: t["gram"])
-    out = df.join(ranked, keys, "left").withColumn(
-        "token", F.explode(F.concat(F.coalesce(prefix, F.array().cast("array<string>")),
-                                    F.array(F.concat(F.lit("="), "meaning_key")))))
+    out = df.join(ranked, keys, "left").withColumn("tokens", F.concat(
+        F.coalesce(prefix, F.array().cast("array<string>")), F.array(F.concat(F.lit("="), "meaning_key"))))
     return out.drop("sorted")
 
 
-def fuzzy_pairs(words: DataFrame, rows: DataFrame, big_block: int = BIG_BLOCK) -> DataFrame:
-    """Compatible pairs with equal surface and reading distance <= 1.
+def fuzzy_pairs(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """Compatible pairs with equal surface and reading distance <= 1, each once.
 
     Both sides are distinct (surface_key, reading_key, meaning_key) triples; ``rows`` also has
-    ``ex_id``.  Columns: the word's triple, ex_id, distance, similarity.
+    ``ex_id``.  Members of a block meet at a shared deletion variant and a shared rare token of
+    their meanings, and a pair counts only where it first does.
+    Columns: the word's triple, ex_id, ex_reading, distance, similarity.
     """
     keys = ["surface_key", "reading_key", "meaning_key"]
-    words = _variants(words.withColumn("grams", key_bigrams("meaning_key")))
-    rows = _variants(rows.withColumn("grams", key_bigrams("meaning_key")))
-    block = ["surface_key", "variant"]
-    big = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > big_block).select(*block)
-    # One pass over the stored keys decides whether any block needs the finer split at all.
-    big = cut_lineage(big)
-    split = not big.isEmpty()
-
-    def named(df: DataFrame) -> DataFrame:
-        return df.select(
-            *[c for c in ("surface_key", "variant", "token") if c in df.columns], "ex_id",
-            F.col("reading_key").alias("ex_reading"), F.col("meaning_key").alias("ex_meaning"),
-            F.col("grams").alias("ex_grams"),
-        )
-
-    pairs = words.join(named(rows.join(big, block, "left_anti") if split else rows), block)
-    if split:
-        pairs = pairs.unionByName(_split_pairs(words, rows, big, named))
+    words, rows = (df.withColumn("grams", key_bigrams("meaning_key")) for df in (words, rows))
+    frequency = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    words, rows = (
+        _variants(_rare_tokens(df, frequency, keys)).withColumn("token", F.explode("tokens")) for df in (words, rows))
+    stored = rows.select(
+        "surface_key", "variant", "token", "ex_id", F.col("reading_key").alias("ex_reading"),
+        F.col("meaning_key").alias("ex_meaning"), F.col("grams").alias("ex_grams"),
+        F.col("variants").alias("ex_variants"), F.col("tokens").alias("ex_tokens"))
+    first = lambda x, y: F.array_min(F.array_intersect(x, y))
     similarity = key_similarity(F.col("meaning_key"), F.col("ex_meaning"), F.col("grams"), F.col("ex_grams"))
     return (
-        pairs.withColumn("distance", F.levenshtein("reading_key", "ex_reading", 1))
+        words.join(stored, ["surface_key", "variant", "token"])
+        .filter((F.col("variant") == first("variants", "ex_variants")) & (F.col("token") == first("tokens", "ex_tokens")))
+        .withColumn("distance", F.levenshtein("reading_key", "ex_reading", 1))
         .filter(F.col("distance") >= 0)
         .withColumn("similarity", similarity)
         .filter(F.col("similarity") >= MIN_SIMILARITY)
@@ -125,37 +119,49 @@ def fuzzy_pairs(words: DataFrame, rows: DataFrame, big_block: int = BIG_BLOCK) -
     )
 
 
-def _split_pairs(words: DataFrame, rows: DataFrame, big: DataFrame, named) -> DataFrame:
-    """Pairs of the big blocks: members that also share a rare token of their meanings."""
-    block = ["surface_key", "variant"]
-    hot_rows = rows.join(big, block, "left_semi")
-    hot_words = words.join(big, block, "left_semi")
-    frequency = hot_rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    token_keys = ["surface_key", "reading_key", "meaning_key", "variant"]
-    hot = _rare_tokens(hot_words, frequency, token_keys).join(
-        named(_rare_tokens(hot_rows, frequency, token_keys)), [*block, "token"])
-    return hot.drop("token")
-
-
 def review_score(distance: Column, similarity: Column) -> Column:
     agree = F.when(distance == 0, F.lit(READING_WEIGHT)).otherwise(F.lit(0.0))
     return F.round(F.lit(SURFACE_WEIGHT) + agree + F.lit(MEANING_WEIGHT) * similarity, 3)
 
 
-def fuzzy_candidates(incoming: DataFrame, vocab: DataFrame, big_block: int = BIG_BLOCK) -> DataFrame:
-    """Best review candidate of each distinct word triple: highest score, then lowest id."""
+def fuzzy_candidates(incoming: DataFrame, vocab: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Best review candidate of each distinct word triple: highest score, then lowest id.
+
+    Stored rows of a block (surface and deletion variant) travel as lists of about ``chunk``
+    rows, dealt by a hash; a word meets a list and keeps its best there, so what is joined grows
+    with words and lists and not with pairs, and a hot block is spread over its lists.
+    """
     keys = ["surface_key", "reading_key", "meaning_key"]
     words = incoming.filter((F.col("surface_key") != "") & (F.col("meaning_key") != "")).select(*keys).distinct()
     rows = (
         vocab.filter((F.col("surface_key") != "") & (F.col("meaning_key") != ""))
         .groupBy(*keys).agg(F.min("id").alias("ex_id"))
     )
-    scored = fuzzy_pairs(words, rows, big_block).withColumn("score", review_score(F.col("distance"), F.col("similarity")))
-    best = F.min_by(
-        F.struct("ex_id", "ex_reading", "distance", "similarity", "score"),
-        F.struct(-F.col("score"), F.col("ex_id")),
+    block = ["surface_key", "variant"]
+    asked = _variants(words.withColumn("grams", key_bigrams("meaning_key"))).drop("variants")
+    held = _variants(rows.withColumn("grams", key_bigrams("meaning_key")))
+    sizes = held.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_lists"))
+    lists = (
+        held.join(sizes, block).groupBy(*block, F.expr("pmod(xxhash64(ex_id), _lists)").alias("_list"))
+        .agg(F.collect_list(F.struct("ex_id", F.col("reading_key").alias("r"), F.col("meaning_key").alias("m"), "grams")).alias("held"))
     )
-    return scored.groupBy(*keys).agg(best.alias("fuzzy"))
+
+    def judged(x: Column) -> Column:
+        near = F.struct(
+            F.levenshtein("reading_key", x["r"], 1).alias("distance"),
+            key_similarity(F.col("meaning_key"), x["m"], F.col("grams"), x["grams"]).alias("similarity"))
+
+        def scored(n: Column) -> Column:
+            score = review_score(n["distance"], n["similarity"])
+            return F.when((n["distance"] >= 0) & (n["similarity"] >= MIN_SIMILARITY), F.struct(
+                (-score).alias("order"), x["ex_id"].alias("ex_id"), x["r"].alias("ex_reading"),
+                n["distance"].alias("distance"), n["similarity"].alias("similarity"), score.alias("score")))
+
+        return let(near, scored)
+
+    best = asked.join(lists, block).select(*keys, F.array_min(F.transform("held", judged)).alias("best")).filter("best is not null")
+    top = best.groupBy(*keys).agg(F.min("best").alias("best"))
+    return top.select(*keys, F.struct(*[f"best.{c}" for c in ("ex_id", "ex_reading", "distance", "similarity", "score")]).alias("fuzzy"))
 
 
 def explain(df: DataFrame) -> DataFrame:
@@ -207,7 +213,7 @@ def meanings_agree(left: str, right: str) -> Column:
     return let(grams, lambda g: key_similarity(F.col(left), F.col(right), g["x"], g["y"])) >= MIN_SIMILARITY
 
 
-def decide(incoming: DataFrame, vocab: DataFrame, big_block: int = BIG_BLOCK, explained: bool = True) -> DataFrame:
+def decide(incoming: DataFrame, vocab: DataFrame, chunk: int = CHUNK, explained: bool = True) -> DataFrame:
     """Decision per incoming word: exact, enrich, review or new.
 
     ``vocab`` has id, canonical_key, kanji, kana and burmese_meaning.  Adds kind, existing_id,
@@ -215,10 +221,10 @@ def decide(incoming: DataFrame, vocab: DataFrame, big_block: int = BIG_BLOCK, ex
     """
     # Four aggregates read the stored keys; they are computed once, into the checkpoint folder.
     rows = cut_lineage(stored_keys(vocab).select("id", "stored_key", "surface_key", "reading_key", "meaning_key"))
-    return decide_keyed(incoming_keys(incoming), rows, big_block, explained)
+    return decide_keyed(incoming_keys(incoming), rows, chunk, explained)
 
 
-def decide_keyed(words: DataFrame, rows: DataFrame, big_block: int = BIG_BLOCK, explained: bool = True) -> DataFrame:
+def decide_keyed(words: DataFrame, rows: DataFrame, chunk: int = CHUNK, explained: bool = True) -> DataFrame:
     """``decide`` for words and rows that carry their keys."""
     by_key, by_reading = lookups(rows)
     one_bare = (F.col("surface_key") == "") | (F.col("only_surface") == "")
@@ -228,7 +234,7 @@ def decide_keyed(words: DataFrame, rows: DataFrame, big_block: int = BIG_BLOCK,
         .withColumn("enriches", F.coalesce(one_bare & meanings_agree("meaning_key", "only_meaning"), F.lit(False)))
     )
     open_words = looked_up.filter(F.col("exact_id").isNull() & ~F.col("enriches"))
-    fuzzy = fuzzy_candidates(open_words, rows, big_block)
+    fuzzy = fuzzy_candidates(open_words, rows, chunk)
     joined = looked_up.join(fuzzy, ["surface_key", "reading_key", "meaning_key"], "left")
     kind = (
         F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("enriches"), "enrich")

@@ -79,28 +79,42 @@ def batch_summary(
     )
 
 
+#: Sixteen bits at a time, highest first, of a number shifted to be unsigned.
+DIGITS = (48, 32, 16, 0)
+
+
 def rank_percentiles(df: DataFrame, col: str, shares: dict[str, float] | None = None) -> DataFrame:
     """Elements of the ascending order at floor(share * n), one column per share, over all rows.
 
-    The values are 32-bit whole numbers, found by their high and then their low 16 bits: two
-    histograms of at most 65,536 counts each stand in for a sort of the whole column.
+    For whole numbers of up to 64 bits, found 16 bits at a time: four histograms of at most
+    65,536 counts each stand in for a sort of the whole column.  Other types are refused.
     """
+    if df.schema[col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{col} does not hold whole numbers")
     shares = shares or {"median": 0.5, "p95": 0.95}
-    values = df.filter(F.col(col).isNotNull()).select(
-        F.floor(F.col(col) / 65536).alias("high"), F.pmod(F.col(col), F.lit(65536)).cast("long").alias("low"))
-    highs = values.groupBy("high").agg(F.count(F.lit(1)).alias("n"))
-    # Bounded by the 65,536 buckets, so this list of counts fits one row.
-    ladder = highs.agg(F.array_sort(F.collect_list(F.struct("high", "n"))).alias("steps"), F.sum("n").alias("total"))
+    names = [f"d{i}" for i in range(len(DIGITS))]
+    value = F.col(col).cast("long").bitwiseXOR(F.lit(-(2**63)))  # orders like an unsigned number
+    values = df.filter(F.col(col).isNotNull()).select(*[
+        F.shiftrightunsigned(value, bits).bitwiseAND(F.lit(65535)).cast("int").alias(n) for n, bits in zip(names, DIGITS)])
     index = lambda s: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(s)).cast("long"))
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), index(s).alias("index")) for n, s in shares.items()])
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), index(s).alias("rest")) for n, s in shares.items()])
+    ladder = values.groupBy("d0").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.array_sort(F.collect_list(F.struct("d0", "n"))).alias("steps"), F.sum("n").alias("total"))
     targets = (
-        ladder.filter("total > 0").select("steps", F.inline(wanted)).withColumn("hit", _step_at("steps", "high", "index"))
-        .select("name", F.col("hit.key").alias("high"), F.col("hit.rest").alias("rest"))
+        ladder.filter("total > 0").select("steps", F.inline(wanted)).withColumn("hit", _step_at("steps", "d0", "rest"))
+        .select("name", F.col("hit.rest").alias("rest"), F.col("hit.key").cast("int").alias("d0"))
     )
-    lows = values.join(F.broadcast(targets), "high").groupBy("name", "high", "rest", "low").agg(F.count(F.lit(1)).alias("n"))
-    found = lows.groupBy("name", "high", "rest").agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("steps"))
-    exact = found.withColumn("hit", _step_at("steps", "low", "rest")).select(
-        "name", (F.col("high") * 65536 + F.col("hit.key")).alias("value"))
+    for i, digit in list(enumerate(names))[1:]:
+        within = values.join(F.broadcast(targets), names[:i])  # one row per share
+        counts = within.groupBy("name", "rest", *names[: i + 1]).agg(F.count(F.lit(1)).alias("n"))
+        steps = counts.groupBy("name", "rest", *names[:i]).agg(
+            F.array_sort(F.collect_list(F.struct(digit, "n"))).alias("steps"))  # at most 65,536
+        targets = steps.withColumn("hit", _step_at("steps", digit, "rest")).select(
+            "name", F.col("hit.rest").alias("rest"), *names[:i], F.col("hit.key").cast("int").alias(digit))
+    exact = F.lit(0).cast("long")
+    for digit, bits in zip(names, DIGITS):
+        exact = exact.bitwiseOR(F.shiftleft(F.col(digit).cast("long"), bits))
+    exact = targets.select("name", exact.bitwiseXOR(F.lit(-(2**63))).alias("value"))
     return exact.agg(*[
         F.coalesce(F.max(F.when(F.col("name") == n, F.col("value"))), F.lit(0)).alias(n) for n in shares])
 

@@ -7,6 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null, with one copy of them."""
+    marked = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(marked, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def top_k(df: DataFrame, part: Sequence[str | Column], order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows per group.
 
@@ -44,21 +51,24 @@ def split_rank(
         bucket = sizes if inner == finest else sizes.groupBy(*inner).agg(F.sum("_n").alias("_n"))
         before = Window.partitionBy(*outer).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
         earlier = bucket.select(*inner, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_o{i}"))
-        offsets = offsets.join(earlier, inner)
+        offsets = join_same(offsets, earlier, inner)
         total, outer = total + F.col(f"_o{i}"), inner
     local = Window.partitionBy(*finest).orderBy(*order)
     return (
-        keyed.join(offsets.select(*finest, total.alias("_offset")), finest)
+        join_same(keyed, offsets.select(*finest, total.alias("_offset")), finest)
         .withColumn(out, F.row_number().over(local) + F.col("_offset"))
         .drop("_offset", *finest[len(part):])
     )
 
 
 def fill_forward(
-    df: DataFrame, part: Sequence[str], order: str, value: str, out: str, span: int = 4096
+    df: DataFrame, part: Sequence[str], order: str, value: str, out: str, span: int = 4096, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Last non-null ``value`` up to and including each row, ordered by the integer ``order``.
 
+    Rows of one order number follow each other by ``ties``.  Null parts are a group and null
+    order numbers come first, like any other value.
+
     The group is cut into runs of ``span`` order numbers.  Each run's last value is found by a
     plain aggregate, carried over the (few) runs, and completed inside the run.
     """
@@ -66,14 +76,14 @@ def fill_forward(
     last_of_run = (
         keyed.filter(F.col(value).isNotNull())
         .groupBy(*part, "_run")
-        .agg(F.max(F.struct(order, value)).alias("_last"))
+        .agg(F.max(F.struct(order, *ties, value)).alias("_last"))
     )
-    runs = keyed.select(*part, "_run").distinct().join(last_of_run, [*part, "_run"], "left")
+    runs = join_same(keyed.select(*part, "_run").distinct(), last_of_run, [*part, "_run"], "left")
     earlier = Window.partitionBy(*part).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     carried = runs.select(*part, "_run", F.last(f"_last.{value}", ignorenulls=True).over(earlier).alias("_carry"))
-    inside = Window.partitionBy(*part, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*part, "_run").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.join(carried, [*part, "_run"])
+        join_same(keyed, carried, [*part, "_run"])
         .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carry")))
         .drop("_run", "_carry")
     )

@@ -21,9 +21,9 @@ def upsert(
     """Update matched rows, insert the others.
 
     ``changes`` has one row per key.  Columns in ``keep_old`` hold on to a stored non-null
-    value; for the others a non-null change wins.
+    value; the others take the change, null or not.  Columns that ``changes`` lacks stay.
     """
-    t, c = target.alias("t"), changes.alias("c")
+    t, c = target.alias("t"), changes.withColumn("_changed", F.lit(True)).alias("c")
     joined = t.join(c, [F.col(f"t.{k}") == F.col(f"c.{k}") for k in key], "full_outer")
     out = []
     for name in target.columns:
@@ -33,7 +33,8 @@ def upsert(
         elif name in keep_old:
             out.append(F.coalesce(old, F.col(f"c.{name}")).alias(name))
         else:
-            out.append(F.coalesce(F.col(f"c.{name}"), old).alias(name))
+            changed = F.col("c._changed") if name not in key else F.col(f"c.{name}").isNotNull()
+            out.append(F.when(changed, F.col(f"c.{name}")).otherwise(old).alias(name))
     return joined.select(*out)
 
 

@@ -24,6 +24,13 @@ def rank_percentiles(spark, sf):
     return v.plain(metrics.rank_percentiles(done, "duration_ms"))
 
 
+def rank_percentiles_wide(spark, sf):
+    """Numbers of both signs that need all 64 bits: order keys and prices far apart."""
+    o = v.table(spark, sf, "orders").select(
+        ((F.col("o_orderkey") % 1000 - 300) * 9_000_000_000_000_000 + F.floor(F.col("o_totalprice"))).alias("wide"))
+    return v.plain(metrics.rank_percentiles(o, "wide"))
+
+
 def batch_history(spark, sf):
     rows = metrics.batch_history(v.batches(spark, sf), status="completed", source="customer 1", to_day="2000-06-30", limit=60)
     return v.plain(rows.select("batch_id", "source_name", "status", "created_at", "total_pages", "duration_ms"))
@@ -104,6 +111,11 @@ PERCENTILES = """
                FROM batches WHERE status = 'completed' AND duration_ms IS NOT NULL)
     SELECT max(d) FILTER (i = n // 2) AS median, max(d) FILTER (i = least(n - 1, n * 95 // 100)) AS p95 FROM s"""
 
+WIDE = """
+    WITH o AS (SELECT (o_orderkey % 1000 - 300) * 9000000000000000 + CAST(floor(o_totalprice) AS BIGINT) AS d FROM orders),
+    s AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM o)
+    SELECT max(d) FILTER (i = n // 2) AS median, max(d) FILTER (i = least(n - 1, n * 95 // 100)) AS p95 FROM s"""
+
 HISTORY = """
     SELECT batch_id, source_name, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, total_pages, duration_ms
     FROM batches WHERE status = 'completed' AND source_name ILIKE '%customer 1%' AND created_at < TIMESTAMP '2000-07-01'
@@ -140,6 +152,7 @@ QUERIES = {
     "batch_trends": (batch_trends, v.with_views(TRENDS, "batches")),
     "batch_summary": (batch_summary, v.with_views(SUMMARY, "batches", "batch_pages", "batch_candidates")),
     "rank_percentiles": (rank_percentiles, v.with_views(PERCENTILES, "batches")),
+    "rank_percentiles_wide": (rank_percentiles_wide, WIDE.strip()),
     "batch_history": (batch_history, v.with_views(HISTORY, "batches")),
     "relation_counts": (relation_counts, v.with_views(COUNTS, "batches", "batch_pages", "batch_candidates")),
     "top_k_per_group": (top_k_per_group, TOP_K.strip()),

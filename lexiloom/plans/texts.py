@@ -161,11 +161,6 @@ def read_pages_limits(spark, sf):
     return v.plain(ok.unionByName(rejects.select("doc", "pages", "bytes", "reason")))
 
 
-def list_files(spark, sf):
-    rows = files.list_files(spark, sf, "parquet")
-    return v.plain(rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length"))
-
-
 def accuracy_report(spark, sf):
     """Label every document by length and compare with its quality label."""
     labels = v.table(spark, sf, "labels").select(
@@ -184,7 +179,7 @@ def extraction_checks(spark, sf):
         "required_text": F.array(F.lit("the"), F.lit("zzzz"), F.lit("ation")), "minimum_pages": F.lit(90),
         "minimum_characters": F.lit(1000), "expected_level": F.lit(None).cast("string"), "expected_lesson": F.lit(7),
         "expect_no_text": F.lit(False)})
-    return v.plain(accuracy.extraction_checks(pages, specs))
+    return v.plain(accuracy.extraction_checks(pages, specs).drop("reason"))
 
 
 # --- SQL twins ----------------------------------------------------------------------------
@@ -367,7 +362,6 @@ QUERIES = {
     "chunk_pages": (chunk_pages, f"WITH RECURSIVE doc_pages AS ({v.SQL['doc_pages']}), " + CHUNKS.strip()),
     "doc_text": (doc_text, v.with_views(DOC_TEXT, "doc_pages")),
     "read_pages_limits": (read_pages_limits, LIMITS.strip()),
-    "list_files": (list_files, None),
     "accuracy_report": (accuracy_report, ACCURACY.strip()),
     "extraction_checks": (extraction_checks, v.with_views(CHECKS, "doc_pages")),
 }

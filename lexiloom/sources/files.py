@@ -40,15 +40,6 @@ def list_files(spark: SparkSession, path: str, ext: str = "pdf") -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("modification_time")).orderBy("path")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Text rows over all cores when their files have fewer splits than the cluster has cores.
-
-    Large inputs have more splits than that and pass unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_pages(
     pages: DataFrame, max_bytes: int = MAX_BYTES, max_pages: int = MAX_PAGES
 ) -> tuple[DataFrame, DataFrame]:

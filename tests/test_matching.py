@@ -77,13 +77,13 @@ def as_dicts(rows, schema):
     return [dict(zip(names, r)) for r in rows]
 
 
-@pytest.mark.parametrize("seed,big_block", [(1, 512), (2, 0), (3, 2)])
-def test_decide_matches_plain(spark, seed, big_block):
+@pytest.mark.parametrize("seed,chunk", [(1, 512), (2, 1), (3, 2)])
+def test_decide_matches_plain(spark, seed, chunk):
     rng = random.Random(seed)
     stored = stored_rows(rng, 25)
     incoming = [word_row(i, *w) for i, w in enumerate(random_rows(rng, 120, **POOL))]
     got = matching.decide(
-        spark.createDataFrame(incoming, WORDS), spark.createDataFrame(stored, VOCAB), big_block).collect()
+        spark.createDataFrame(incoming, WORDS), spark.createDataFrame(stored, VOCAB), chunk).collect()
     assert len(got) == len(incoming)
     rows = as_dicts(stored, VOCAB)
     for r in got:
