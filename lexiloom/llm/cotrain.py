@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import arrow_schema, small_batches
 
 #: Bounds of what the fit sees: labelled documents, unlabelled ones, and bytes of a document among them.
-LABELLED, POOL, FIT_BYTES = 12_000, 6_000, 65_536
+LABELLED, POOL, FIT_BYTES = 10_000, 5_000, 65_536
 ROUNDS = 3
 #: A view hands a document on if it is at least so sure, and at most so many of a class in a round.
 CONFIDENT, HANDED = 0.97, 500
@@ -59,14 +59,18 @@ def meta_view(source: str | None, lang: str | None, size: int) -> list[int]:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
     """Weights with the intercept last, by Newton's method; the intercept is not shrunk."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-4)
-        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        curve = np.diag(penalty)
+        for i in range(0, len(x), 1024):  # in doubles, a part at a time
+            part = x[i : i + 1024].astype(np.float64)
+            curve += (part * s[i : i + 1024, None]).T @ part
+        step = np.linalg.solve(curve, x.T @ (y - p) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -101,7 +105,7 @@ class Model:
         self.scale, self.calibrations = scale, calibrations
 
     def text_matrix(self, stats: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(held), len(STATS) + len(self.words)))
+        x = np.zeros((len(held), len(STATS) + len(self.words)), np.float32)
         x[:, : len(STATS)] = (stats - self.scale[0]) / self.scale[1]
         for i, h in enumerate(held):
             x[i, len(STATS) + np.flatnonzero(np.isin(self.words, h))] = 1
@@ -118,12 +122,12 @@ class Model:
 
 
 def meta_matrix(places: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(places), 128))
-    np.put_along_axis(x, places, 1.0, axis=1)
+    x = np.zeros((len(places), 128), np.float32)
+    np.put_along_axis(x, places.astype(np.int64), 1.0, axis=1)
     return x
 
 
-def co_train(rows: list[tuple[list[float], list[int], list[int], float | None]], rounds: int = ROUNDS) -> Model:
+def co_train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, float | None]], rounds: int = ROUNDS) -> Model:
     """rows: stats, word buckets, places of the metadata, label (None: unlabelled), in a fixed order.
 
     Every fourth labelled row is kept for calibration.
@@ -135,7 +139,7 @@ def co_train(rows: list[tuple[list[float], list[int], list[int], float | None]],
     if len(set(y[train])) < 2 or len(set(y[held_out])) < 2:
         return Model(prior)
     stats = np.array([r[0] for r in rows])
-    held = [np.array(r[1], np.int64) for r in rows]
+    held = [r[1] for r in rows]
     meta = np.array([r[2] for r in rows])
     m = Model(prior, telling_words([held[i] for i in train], y[train]),
               scale=(stats[train].mean(0), stats[train].std(0) + 1e-6))
@@ -206,11 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, good: Column | None = None, labelled
     small = docs.sparkSession.createDataFrame(picked, "doc_id long, y double")
     sample = short.join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"])
     rows = views(
-        sample, ["doc_id", "y"], "stats array<double>, words array<int>, places array<int>",
-        lambda s, k, p: [s.tolist(), [sorted({bucket(w) for w in x}) for x in k], p.tolist()],
+        sample, ["doc_id", "y"], "stats binary, words binary, places binary",
+        lambda s, k, p: [
+            [x.tobytes() for x in s], [np.array(sorted({bucket(w) for w in x}), "<i4").tobytes() for x in k],
+            [x.astype("<i4").tobytes() for x in p]],
     ).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    return co_train([(r.stats, r.words, r.places, r.y) for r in rows], rounds)
+    return co_train([
+        (np.frombuffer(r.stats), np.frombuffer(r.words, "<i4"), np.frombuffer(r.places, "<i4"), r.y) for r in rows], rounds)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
