@@ -130,12 +130,13 @@ def meta_matrix(places: np.ndarray) -> np.ndarray:
 def co_train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, float | None]], rounds: int = ROUNDS) -> Model:
     """rows: stats, word buckets, places of the metadata, label (None: unlabelled), in a fixed order.
 
-    Every fourth labelled row is kept for calibration.
+    Every fourth labelled row of each class is kept for calibration.
     """
     y = np.array([np.nan if r[3] is None else r[3] for r in rows])
     known = np.flatnonzero(~np.isnan(y))
     prior = float(y[known].mean()) if len(known) else 1.0
-    held_out, train = known[3::4], np.setdiff1d(known, known[3::4])
+    held_out = np.sort(np.concatenate([known[y[known] == label][3::4] for label in (0, 1)]))
+    train = np.setdiff1d(known, held_out)
     if len(set(y[train])) < 2 or len(set(y[held_out])) < 2:
         return Model(prior)
     stats = np.array([r[0] for r in rows])
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, good: Column | None = None, labelled
     good = F.expr("quality = 1 and toxic = 0") if good is None else good
     known = labels.filter("doc_id is not null").select("doc_id", good.cast("double").alias("y")).groupBy("doc_id").agg(
         F.min("y").alias("y"), F.max("y").alias("y2")).filter("y = y2").select("doc_id", "y")
-    short = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= fit_bytes)
+    short = docs.select("doc_id", "text", "lang", "source").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= fit_bytes)
     ids = short.select("doc_id").filter("doc_id is not null").distinct().join(known, "doc_id", "left")
     order = F.xxhash64("doc_id"), "doc_id"
     chosen = ids.filter("y is not null").orderBy(*order).limit(labelled).unionByName(
