@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .library import first_rows
@@ -10,16 +12,34 @@ from .library import first_rows
 POOL_WORDS, MIN_QUESTIONS, MAX_QUESTIONS, DISTRACTORS = 40, 1, 10, 3
 MATERIAL_PER_QUESTION, MIN_MATERIAL = 4, 16
 PROMPTS = {
-    "jp_to_mm": ('"', '" ၏ အနက်အဓိပ္ပာယ်မှာ အဘယ်နည်း။'),
-    "mm_to_jp": ('"', '" ၏ ဂျပန်စကားလုံးမှာ အဘယ်နည်း။'),
-    "gap_fill": ("ဂျပန်စာကြောင်း၏ နေရာလွတ်တွင် မှန်ကန်သော စကားလုံးကို ရွေးပါ။ ... ________ ...  (", ")"),
+    "jp_to_mm": '"{word}" ၏ အနက်အဓိပ္ပာယ်မှာ အဘယ်နည်း။',
+    "mm_to_jp": '"{meaning}" ၏ ဂျပန်စကားလုံးမှာ အဘယ်နည်း။',
+    "gap_fill": "ဂျပန်စာကြောင်း၏ နေရာလွတ်တွင် မှန်ကန်သော စကားလုံးကို ရွေးပါ။ ... ________ ...  ({kana})",
+}
+EXPLANATIONS = {
+    "jp_to_mm": '"{word}" ({kana}) သည် "{meaning}" ဖြစ်သည်။',
+    "mm_to_jp": '"{meaning}" ၏ ဂျပန်အဓိပ္ပာယ်မှာ "{word}" ({kana}) ဖြစ်သည်။',
+    "gap_fill": 'မှန်ကန်သော အဖြေမှာ "{word}" ({kana}) ဖြစ်ပြီး "{meaning}" ဟု အဓိပ္ပာယ်ရသည်။',
 }
 TYPES = tuple(PROMPTS)
 
 
+def _drawn(*parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+
+
+def _filled(templates: dict[str, str], **values: Column) -> Column:
+    """Text of the row's question type with its placeholders filled."""
+    def text(template: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", template)
+        return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    return F.coalesce(*[F.when(F.col("type") == kind, text(t)) for kind, t in templates.items()])
+
+
 def _shuffled(words: Column, *salt: Column) -> Column:
-    """Array in an order drawn from a hash of the salt and each word."""
-    keyed = F.transform(words, lambda w: F.struct(F.xxhash64(*salt, w["id"]).alias("h"), w.alias("w")))
+    """Array in an order drawn from a digest of the salt and each word."""
+    keyed = F.transform(words, lambda w: F.struct(_drawn(*salt, w["id"]).alias("h"), w.alias("w")))
     return F.transform(F.array_sort(keyed), lambda k: k["w"])
 
 
@@ -52,27 +72,13 @@ def quiz(vocab: DataFrame, users: DataFrame, n: int = 5, seed: int = 0, level: s
     options = F.transform(
         F.array_sort(F.transform(
             F.concat("distractors", F.array("answer")),
-            lambda o: F.struct(F.xxhash64(F.lit(seed), F.col("user_id"), F.col("question"), o).alias("h"), o.alias("o")))),
+            lambda o: F.struct(_drawn(F.lit(seed), F.col("user_id"), F.col("question"), o).alias("h"), o.alias("o")))),
         lambda s: s["o"])
     asked = asked.withColumn("distractors", texts).filter(F.size("distractors") == DISTRACTORS).withColumn("options", options)
-    word, kana, meaning = F.col("target.face"), F.col("target.kana"), F.col("target.burmese_meaning")
-
-    def prompt(kind: str, text: Column) -> Column:
-        head, end = PROMPTS[kind]
-        return F.concat(F.lit(head), text, F.lit(end))
-
-    explained = (
-        F.when(shows_meaning, F.concat(F.lit('"'), word, F.lit('" ('), kana, F.lit(') သည် "'), meaning, F.lit('" ဖြစ်သည်။')))
-        .when(F.col("type") == "mm_to_jp", F.concat(
-            F.lit('"'), meaning, F.lit('" ၏ ဂျပန်အဓိပ္ပာယ်မှာ "'), word, F.lit('" ('), kana, F.lit(") ဖြစ်သည်။")))
-        .otherwise(F.concat(
-            F.lit('မှန်ကန်သော အဖြေမှာ "'), word, F.lit('" ('), kana, F.lit(') ဖြစ်ပြီး "'), meaning,
-            F.lit('" ဟု အဓိပ္ပာယ်ရသည်။')))
-    )
+    values = {"word": F.col("target.face"), "kana": F.col("target.kana"), "meaning": F.col("target.burmese_meaning")}
     return asked.select(
         "user_id", F.concat(F.lit("q"), F.col("question").cast("string")).alias("question_id"), "type",
-        F.when(shows_meaning, prompt("jp_to_mm", word)).when(F.col("type") == "mm_to_jp", prompt("mm_to_jp", meaning))
-        .otherwise(prompt("gap_fill", kana)).alias("prompt"),
+        _filled(PROMPTS, **values).alias("prompt"),
         "options", (F.array_position("options", F.col("answer")) - 1).cast("int").alias("correct_index"),
-        explained.alias("explanation"), F.col("target.id").alias("vocab_id"),
+        _filled(EXPLANATIONS, **values).alias("explanation"), F.col("target.id").alias("vocab_id"),
     )

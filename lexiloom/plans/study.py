@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+
+from pyspark.sql import Window, functions as F
 
 from ..operators import gloss as glosses
 from ..operators import learning, library as libraries, quiz as quizzes
@@ -162,8 +164,56 @@ def quiz(spark, sf):
     return v.plain(quizzes.quiz(v.vocab(spark, sf), users, n=6, seed=11))
 
 
+def quiz_level(spark, sf):
+    users = v.table(spark, sf, "events").select("user_id").distinct()
+    return v.plain(quizzes.quiz(v.vocab(spark, sf), users, n=4, seed=5, level="N4"))
+
+
+def lesson_rows(spark, sf):
+    """Place of every word in display order."""
+    rows = libraries.lesson_rows(v.vocab(spark, sf))
+    place = F.row_number().over(Window.partitionBy("lesson").orderBy(F.collate("kana", "ja"), "id"))
+    return v.plain(rows.select("id", "lesson", "kana", place.alias("place")))
+
+
 # --- SQL twins ----------------------------------------------------------------------------
 
+
+def _filled_sql(templates: dict[str, str], **values: str) -> str:
+    """CASE over the question types, each template a concatenation."""
+    def text(template: str) -> str:
+        parts = re.split(r"\{(\w+)\}", template)
+        return " || ".join(values[p] if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts))
+
+    return "CASE type " + " ".join(f"WHEN '{k}' THEN {text(t)}" for k, t in templates.items()) + " END"
+
+
+def quiz_sql(n: int, seed: int, level: str | None = None) -> str:
+    texts = {"word": "face", "kana": "kana", "meaning": "m"}
+    return f"""
+    pool AS (SELECT id, coalesce(kanji, kana) AS face, kana, burmese_meaning AS m FROM vocab
+        {f"WHERE jlpt_level = '{level}'" if level else ""} ORDER BY created_at, id LIMIT 40),
+    material AS (SELECT user_id, p.*, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws(':', {seed}, user_id, id))) AS r
+        FROM (SELECT DISTINCT user_id FROM events), pool p),
+    usable AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS size
+        FROM material WHERE r <= {max(4 * n, 16)} AND m <> '' AND m <> kana),
+    asked AS (SELECT *, CASE type WHEN 'jp_to_mm' THEN m ELSE face END AS answer FROM (
+        SELECT u.*, q, ['jp_to_mm', 'mm_to_jp', 'gap_fill'][q % 3 + 1] AS type FROM range({n}) t(q), usable u WHERE u.i = q % u.size)),
+    others AS (SELECT user_id, q, text, min(md5(concat_ws(':', {seed}, user_id, q, oid))) AS h FROM (
+        SELECT a.user_id, a.q, a.answer, o.id AS oid, CASE a.type WHEN 'jp_to_mm' THEN o.m ELSE o.face END AS text
+        FROM asked a JOIN usable o ON o.user_id = a.user_id AND o.kana <> a.kana) WHERE text <> answer GROUP BY ALL),
+    drawn AS (SELECT user_id, q, text FROM (SELECT *, row_number() OVER (PARTITION BY user_id, q ORDER BY h) AS d FROM others) WHERE d <= 3),
+    shown AS (SELECT user_id, q, list(text ORDER BY md5(concat_ws(':', {seed}, user_id, q, text)), text) AS options FROM (
+        SELECT * FROM drawn UNION ALL SELECT user_id, q, answer FROM asked) GROUP BY 1, 2 HAVING count(*) = 4)
+    SELECT user_id, 'q' || q AS question_id, type, {_filled_sql(quizzes.PROMPTS, **texts)} AS prompt, array_to_string(options, '|') AS options,
+      list_position(options, answer) - 1 AS correct_index, {_filled_sql(quizzes.EXPLANATIONS, **texts)} AS explanation, id AS vocab_id
+    FROM asked JOIN shown USING (user_id, q)"""
+
+
+# Readings here are ASCII; the Japanese order and the plain one agree on them up to upper and lower case.
+LESSON_ROWS = """
+    SELECT id, lesson, kana, row_number() OVER (PARTITION BY lesson ORDER BY lower(kana), kana, id) AS place FROM vocab"""
+
 # Sequential fold in whole hundredths, one rating per step.
 SM2 = """
     rated AS (SELECT user_id, {card} AS vocab_id, ts, grade, row_number() OVER (PARTITION BY user_id, {card} ORDER BY ts, event_id) AS i,
@@ -325,5 +375,7 @@ QUERIES = {
     "token_requests": (token_requests, REQUESTS.strip()),
     "add_words": (add_words, v.with_views(ADDED, "vocab", "words")),
     "add_words_vocabulary": (add_words_vocabulary, v.with_views(ADDED_VOCAB, "vocab", "words")),
-    "quiz": (quiz, None),
+    "quiz": (quiz, f"WITH vocab AS ({v.SQL['vocab']}), " + quiz_sql(6, 11).strip()),
+    "quiz_level": (quiz_level, f"WITH vocab AS ({v.SQL['vocab']}), " + quiz_sql(4, 5, "N4").strip()),
+    "lesson_rows": (lesson_rows, v.with_views(LESSON_ROWS, "vocab")),
 }
