@@ -175,7 +175,8 @@ def drop_repeats(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS)
         F.col("line_dedup_doc").alias("doc"), F.col("line_dedup_th").alias("th"), "text")
     blocks = materialize(aligned_blocks(given, rare, min_words), "blocks").select(
         F.col("doc").alias("line_dedup_doc"), F.col("th").alias("line_dedup_th"), F.col("gone").alias("line_dedup_gone"))
-    joined = keyed.join(blocks, ["line_dedup_doc", "line_dedup_th"], "left")
+    # the same join at every size: blocks grow with the documents, so a broadcast of them would not last
+    joined = keyed.join(blocks.hint("merge"), ["line_dedup_doc", "line_dedup_th"], "left")
     parts = F.split("text", "\n")
     gone = F.col("line_dedup_gone")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.get(gone, i), F.lit(False))), "\n")
