@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 _DDL = {
     pa.string(): "string", pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean",
@@ -35,7 +35,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iter
 
 
 def fold_sorted(
-    df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[tuple]], Iterator[tuple]],
+    df: DataFrame, keys: list[str], order: list[str | Column], fold: Callable[[Iterator[tuple]], Iterator[tuple]],
     schema: pa.Schema,
 ) -> DataFrame:
     """Run ``fold`` over rows that stream in by (keys, order), all rows of a key in one task.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import join_keys, norm_surface, reading_key, surface_key, with_identity
 from ..functions.text import CJK, contains_script, fold_kana, js_trim, simple_romaji
+from .folds import fold_sorted
 from .library import first_rows
 
 # Dictionary rows of the reader, and what an unknown token becomes.
@@ -71,46 +73,112 @@ def token_requests(tokens: DataFrame) -> DataFrame:
     })
 
 
+_OUTCOMES = pa.schema([
+    ("position", pa.int64()), ("outcome", pa.string()), ("existing", pa.string()), ("made", pa.int64())])
+
+
+def _add_in_order(rows):
+    """Outcome of each request of a reading, in order, on the rows that stand then.
+
+    Stored rows of the reading come first.  A row is (id, position that made it); ``holders`` has the
+    rows of each key, ``bare`` the rows without a surface.
+    """
+    reading, holders, bare = object(), {}, {}
+    for now, stored, id_, position, key, saved, has_surface in rows:
+        if now != reading:
+            reading, holders, bare = now, {}, {}
+        if stored:
+            row = (str(id_), None)
+            for k in filter(None, {key, saved}):
+                holders.setdefault(k, []).append(row)
+            if not has_surface:
+                bare[row] = [k for k in (key, saved) if k]
+            continue
+        if reading == "":
+            yield position, "invalid", None, None
+        elif holders.get(key):
+            yield position, "existing", *holders[key][0]
+        elif len(bare) == 1:
+            ((row, old),) = bare.items()
+            for k in old:
+                holders[k] = [r for r in holders.get(k, []) if r != row]
+            holders[key] = [row]
+            if has_surface:
+                bare.clear()
+            else:
+                bare[row] = [key]
+            yield position, "completed", *row
+        else:
+            row = (None, position)
+            holders[key] = [row]
+            if not has_surface:
+                bare[row] = [key]
+            yield position, "created", None, None
+
+
 def add_words(
     requests: DataFrame, vocab: DataFrame, now: str = "2024-01-01 00:00:00", new_id: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Outcome of each request against the stored words, and the next vocabulary.
+    """Outcome of each request against the words that stand when its turn comes, and the next vocabulary.
+
+    ``requests``: position (unique) and word fields.  A request is ``existing`` when its identity
+    is held, ``completed`` when exactly one row has its reading and no surface (that row takes the
+    key and surface, be it stored or made by an earlier request), ``created`` otherwise and
+    ``invalid`` without a reading.  ``existing_id`` is null for rows made by these requests.  A
+    created word gets its start row of progress from ``learning.ensure_progress``.
 
-    ``requests``: position and word fields.  A request is ``existing`` when its identity is
-    stored, ``completed`` when exactly one stored row has its reading and no surface (that row
-    takes the key and surface), ``created`` otherwise and ``invalid`` without a reading.
-    Requests are judged against the given snapshot; of several that complete one row the last
-    wins, and of several that create one identity the first creates it.
+    Requests of a reading depend on each other only, so they stream by reading; of requests with
+    one surface only the first of a key is asked, the others follow from it.
     """
     stored = with_identity(vocab)
-    saved = stored.filter(F.col("canonical_key") != "").select(F.col("canonical_key").alias("identity_key"), "id")
-    either = saved.unionByName(stored.select("identity_key", "id"))
-    exact = either.groupBy("identity_key").agg(F.min("id").alias("exact_id"))
-    bare = stored.filter(F.col("kanji").isNull() | (F.col("kanji") == "")).groupBy("reading_key").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("id").alias("bare_id")).filter("_n = 1").drop("_n")
+    saved = F.nullif("canonical_key", F.lit(""))
     asked = requests.withColumns({
         "reading_key": reading_key(F.coalesce("kana", F.lit(""))), "surface": norm_surface("kanji"),
         "surface_key": surface_key("kanji"),
     }).withColumn("identity_key", join_keys(F.col("surface_key"), F.col("reading_key")))
-    judged = asked.join(exact, "identity_key", "left").join(bare, "reading_key", "left").withColumn(
-        "outcome", F.when(F.col("reading_key") == "", "invalid").when(F.col("exact_id").isNotNull(), "existing")
-        .when(F.col("bare_id").isNotNull(), "completed").otherwise("created"))
-    judged = judged.withColumn("existing_id", F.when(F.col("outcome") == "existing", F.col("exact_id"))
-                               .when(F.col("outcome") == "completed", F.col("bare_id"))).drop("exact_id", "bare_id")
-    creators = judged.filter("outcome = 'created'").groupBy("identity_key").agg(F.min("position").alias("_creator"))
-    judged = judged.join(creators, "identity_key", "left").withColumn(
-        "outcome", F.when((F.col("outcome") == "created") & (F.col("position") != F.col("_creator")), "existing")
-        .otherwise(F.col("outcome"))).drop("_creator")
-    done = judged.filter("outcome = 'completed'").groupBy(F.col("existing_id").alias("id")).agg(
+    surfaced = F.col("surface_key") != ""
+    none = F.lit(None)
+    rows = stored.select(
+        "reading_key", F.lit(True).alias("stored"), "id", none.cast("long").alias("position"),
+        "identity_key", saved.alias("saved"), (F.col("surface_key") != "").alias("has_surface"))
+    # a saved key may name another reading than the row has
+    named = F.regexp_extract(saved, r"(?s)reading:(.*)$", 1)
+    strays = stored.filter(saved.isNotNull() & (named != F.col("reading_key"))).select(
+        named.alias("reading_key"), F.lit(True).alias("stored"), "id", none.cast("long").alias("position"),
+        saved.alias("identity_key"), none.cast("string").alias("saved"), F.lit(True).alias("has_surface"))
+    first = asked.groupBy("identity_key").agg(F.min("position").alias("_first"))
+    leading = asked.join(first, "identity_key").filter(~surfaced | (F.col("position") == F.col("_first")))
+    turns = leading.select(
+        "reading_key", F.lit(False).alias("stored"), none.cast(vocab.schema["id"].dataType).alias("id"),
+        F.col("position").cast("long").alias("position"), "identity_key", none.cast("string").alias("saved"), surfaced.alias("has_surface"))
+    outcomes = fold_sorted(
+        rows.unionByName(strays).unionByName(turns).select(
+            "reading_key", "stored", "id", "position", "identity_key", "saved", "has_surface"),
+        ["reading_key"], [F.col("stored").desc(), "id", "position"], _add_in_order, _OUTCOMES)
+    # what a later request of a surfaced key finds is the row that the first one found or made
+    led = outcomes.withColumnsRenamed({"position": "_first", "outcome": "_outcome"})
+    judged = asked.join(first, "identity_key").withColumn(
+        "_at", F.when(surfaced, F.col("_first")).otherwise(F.col("position"))).drop("_first")
+    judged = judged.join(led, judged["_at"] == led["_first"]).withColumns({
+        "outcome": F.when((F.col("position") != F.col("_at")) & (F.col("_outcome") != "invalid"), "existing").otherwise(F.col("_outcome")),
+        "existing_id": F.col("existing").cast(vocab.schema["id"].dataType),
+    }).drop("_at", "_first", "_outcome", "existing")
+    completed = judged.filter("outcome = 'completed'")
+    done = completed.filter("existing_id is not null").groupBy(F.col("existing_id").alias("id")).agg(
         F.max_by("identity_key", "position").alias("_key"),
         F.max_by("surface", F.when(F.col("surface") != "", F.col("position"))).alias("_surface"))
     filled = vocab.join(done, "id", "left").withColumns({
         "canonical_key": F.coalesce("_key", "canonical_key"), "kanji": F.coalesce("_surface", "kanji"),
     }).select(*vocab.columns)
+    remade = completed.filter("made is not null").groupBy(F.col("made").alias("position")).agg(
+        F.max_by("identity_key", "position").alias("_key"),
+        F.max_by("surface", F.when(F.col("surface") != "", F.col("position"))).alias("_surface"))
+    judged = judged.drop("made")
     meaning = js_trim(F.coalesce("burmese_meaning", F.lit("")))
-    fresh = judged.filter("outcome = 'created'").withColumns({
-        "id": new_id if new_id is not None else F.sha2("identity_key", 256), "canonical_key": F.col("identity_key"),
-        "kanji": F.nullif("surface", F.lit("")), "kana": F.col("reading_key"),
+    fresh = judged.filter("outcome = 'created'").join(remade, "position", "left").withColumns({
+        "id": new_id if new_id is not None else F.sha2(F.concat_ws(":", "identity_key", "position"), 256),
+        "canonical_key": F.coalesce("_key", "identity_key"),
+        "kanji": F.coalesce("_surface", F.nullif("surface", F.lit(""))), "kana": F.col("reading_key"),
         "burmese_meaning": F.coalesce(F.nullif(meaning, F.lit("")), F.col("reading_key")),
         "jlpt_level": F.when(F.col("jlpt_level") == "N4", "N4").otherwise("N5"),
         **{c: F.nullif(c, F.lit("")) for c in ("romaji", "part_of_speech") if c in judged.columns},

@@ -336,20 +336,34 @@ READER = "WITH " + TOKENS.strip() + """,
     SELECT CAST(coalesce(s.id, r.id) IS NOT NULL AS BIGINT) AS covered, count(*) AS tokens, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(coalesce(s.id, r.id)) AS BIGINT) AS ids
     FROM tokens LEFT JOIN dict s ON s.key = surface LEFT JOIN dict r ON r.key = reading GROUP BY 1"""
 
+# Requests of a reading one by one: the keys held, the rows without a surface, and what each request meets.
 ADDING = """
-    keys AS (SELECT canonical_key AS k, id FROM vocab WHERE canonical_key IS NOT NULL UNION ALL SELECT identity_key, id FROM vocab),
-    exact AS (SELECT k, min(id) AS exact_id FROM keys GROUP BY 1),
-    bare AS (SELECT kana, min(id) AS bare_id FROM vocab WHERE kanji IS NULL GROUP BY 1 HAVING count(*) = 1),
-    judged AS (SELECT w.*, exact_id, bare_id, CASE WHEN exact_id IS NOT NULL THEN 'existing' WHEN bare_id IS NOT NULL THEN 'completed' ELSE 'created' END AS o
-      FROM words w LEFT JOIN exact ON k = w.identity_key LEFT JOIN bare ON bare.kana = w.kana),
-    final AS (SELECT *, CASE WHEN o = 'created' AND position <> min(position) FILTER (o = 'created') OVER (PARTITION BY identity_key) THEN 'existing' ELSE o END AS outcome FROM judged)"""
-
-ADDED = "WITH " + ADDING.strip() + " SELECT position, outcome, CASE o WHEN 'existing' THEN exact_id WHEN 'completed' THEN bare_id END AS existing_id FROM final"
-
-ADDED_VOCAB = "WITH " + ADDING.strip() + """,
-    done AS (SELECT bare_id AS id, max_by(identity_key, position) AS k, max_by(kanji, position) FILTER (kanji IS NOT NULL) AS s FROM final WHERE outcome = 'completed' GROUP BY 1)
+    req AS (SELECT *, row_number() OVER (PARTITION BY kana ORDER BY position) AS i FROM words),
+    held AS (SELECT kana, identity_key AS k, id, kanji IS NULL AS bare FROM vocab
+        UNION ALL SELECT kana, canonical_key, id, FALSE FROM vocab WHERE canonical_key IS NOT NULL),
+    start AS (SELECT kana, list({'k': k, 'id': id}) AS keys, list(id) FILTER (bare) AS bares FROM held GROUP BY 1),
+    fold AS (
+      SELECT kana, CAST(0 AS BIGINT) AS i, coalesce(keys, []) AS keys, coalesce(bares, []) AS bares, CAST(NULL AS BIGINT) AS position,
+        CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS ref FROM (SELECT DISTINCT kana FROM req) LEFT JOIN start USING (kana)
+      UNION ALL
+      SELECT kana, i + 1,
+        CASE o WHEN 'completed' THEN list_append(list_filter(keys, lambda x: x.id <> bares[1]), {'k': k, 'id': bares[1]})
+          WHEN 'created' THEN list_append(keys, {'k': k, 'id': made}) ELSE keys END,
+        CASE WHEN o = 'completed' AND surfaced THEN [] WHEN o = 'created' AND NOT surfaced THEN list_append(bares, made) ELSE bares END,
+        asked, o, CASE o WHEN 'existing' THEN found WHEN 'completed' THEN bares[1] END
+      FROM (SELECT *, CASE WHEN found IS NOT NULL THEN 'existing' WHEN len(bares) = 1 THEN 'completed' ELSE 'created' END AS o FROM (
+        SELECT f.*, r.position AS asked, r.identity_key AS k, r.kanji IS NOT NULL AS surfaced, r.position + 1099511627776 AS made,
+          list_min(list_transform(list_filter(f.keys, lambda x: x.k = r.identity_key), lambda x: x.id)) AS found
+        FROM fold f JOIN req r ON r.kana = f.kana AND r.i = f.i + 1))),
+    final AS (SELECT w.*, outcome, ref FROM fold JOIN words w USING (position)),
+    done AS (SELECT ref AS id, max_by(identity_key, position) AS k, max_by(kanji, position) FILTER (kanji IS NOT NULL) AS s FROM final WHERE outcome = 'completed' GROUP BY 1)"""
+
+ADDED = "WITH " + ADDING.strip() + " SELECT position, outcome, CASE WHEN ref < 1099511627776 THEN ref END AS existing_id FROM final"
+
+ADDED_VOCAB = "WITH " + ADDING.strip() + """
     SELECT v.id, replace(coalesce(k, canonical_key), chr(0), '|') AS canonical_key, coalesce(s, kanji) AS kanji, kana, pdf_source FROM vocab v LEFT JOIN done ON done.id = v.id
-    UNION ALL SELECT position + 1099511627776, replace(identity_key, chr(0), '|'), kanji, kana, 'reader' FROM final WHERE outcome = 'created'"""
+    UNION ALL SELECT position + 1099511627776, replace(coalesce(k, identity_key), chr(0), '|'), coalesce(s, kanji), kana, 'reader'
+    FROM final LEFT JOIN done ON done.id = position + 1099511627776 WHERE outcome = 'created'"""
 
 QUERIES = {
     "sm2_replay": (sm2_replay, v.with_views("WITH " + SM2_CARD.strip(), "ratings", recursive=True)),
@@ -373,8 +387,8 @@ QUERIES = {
     "gloss": (gloss, GLOSS.strip()),
     "gloss_reader": (gloss_reader, READER.strip()),
     "token_requests": (token_requests, REQUESTS.strip()),
-    "add_words": (add_words, v.with_views(ADDED, "vocab", "words")),
-    "add_words_vocabulary": (add_words_vocabulary, v.with_views(ADDED_VOCAB, "vocab", "words")),
+    "add_words": (add_words, v.with_views(ADDED, "vocab", "words", recursive=True)),
+    "add_words_vocabulary": (add_words_vocabulary, v.with_views(ADDED_VOCAB, "vocab", "words", recursive=True)),
     "quiz": (quiz, f"WITH vocab AS ({v.SQL['vocab']}), " + quiz_sql(6, 11).strip()),
     "quiz_level": (quiz_level, f"WITH vocab AS ({v.SQL['vocab']}), " + quiz_sql(4, 5, "N4").strip()),
     "lesson_rows": (lesson_rows, v.with_views(LESSON_ROWS, "vocab")),

@@ -187,3 +187,50 @@ def test_quiz(spark):
     assert len({tuple(r.options) for r in rows}) > 60
     assert quiz.quiz(v.limit(3), users).count() == 0
     assert quiz.quiz(v, users, n=99, level="N4").count() == 200
+
+
+def plain_add(stored, requests):
+    """Requests one by one on the rows that stand: outcomes by position, and the rows at the end."""
+    rows = [dict(id=i, key=k, kanji=s, kana=r) for i, k, s, r in stored]
+    outcomes = {}
+    for position, surface, reading in requests:
+        if not reading:
+            outcomes[position] = ("invalid", None)
+            continue
+        key = plain.key(surface, reading)
+        held = sorted((r["id"] for r in rows if key in (plain.key(r["kanji"], r["kana"]), r["key"])))
+        bare = [r for r in rows if r["kana"] == reading and not r["kanji"]]
+        if held:
+            outcomes[position] = ("existing", held[0] if held[0] < 1000 else None)
+        elif len(bare) == 1:
+            bare[0].update(key=key, kanji=surface or bare[0]["kanji"])
+            outcomes[position] = ("completed", bare[0]["id"] if bare[0]["id"] < 1000 else None)
+        else:
+            rows.append(dict(id=1000 + position, key=key, kanji=surface, kana=reading))
+            outcomes[position] = ("created", None)
+    return outcomes, {r["id"]: (r["key"], r["kanji"]) for r in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_add_words_in_turn(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda: (rng.choice([None, None, "A", "B", "C"]), rng.choice("xyzw"))
+    stored = []
+    for i in range(1, 4 + 2 * seed):
+        s, r = pick()
+        stored.append((i, rng.choice([None, plain.key(s, r)]), s, r))
+    requests = [(i, *pick()) for i in range(40)] + [(40, "A", "")]
+    v = vocab(spark, [(i, s, r, "m", "N5", 1) for i, _, s, r in stored])
+    keys = spark.createDataFrame([(i, k) for i, k, *_ in stored], "id long, k string")
+    v = v.join(keys, "id").withColumn("canonical_key", F.col("k")).select(*v.columns)
+    asked = spark.createDataFrame(requests, "position long, kanji string, kana string").withColumns(
+        {"burmese_meaning": F.lit("m"), "jlpt_level": F.lit("N5")})
+    out, grown = gloss.add_words(asked.repartition(3), v, new_id=F.lit(1000) + F.col("position"))
+    outcomes, rows = plain_add(stored, requests)
+    assert {r.position: (r.outcome, r.existing_id) for r in out.collect()} == outcomes
+    got = {r.id: (r.canonical_key, r.kanji) for r in grown.collect()}
+    assert {i: k for i, (_, k) in got.items()} == {i: k for i, (_, k) in rows.items()}
+    assert {i: k for i, (k, _) in got.items() if i > 1000} == {i: k for i, (k, _) in rows.items() if i > 1000}
+    progress = learning.ensure_progress(grown, spark.createDataFrame(
+        [], "user_id long, vocab_id long, ease_factor double, interval int, repetitions int, status string, next_review_date timestamp"), "2024-01-05 00:00:00")
+    assert progress.count() == len(rows)
