@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.temporal import add_days, day
 from ..functions.text import LEVELS, percent
+from ..session import cut_lineage
 from .ordered import join_same, top_k
 
 # Grades, start state, ease change per grade and floor (in hundredths, so sums are
@@ -66,6 +67,7 @@ def replay_sm2(ratings: DataFrame, bucket: Column | None = None) -> DataFrame:
         rows.withColumn("s", F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumns({"low": F.min("s").over(past), "fail_later": F.max("fail").over(future)})
     )
+    rows = cut_lineage(rows)  # narrow, and read by three passes
     buckets = rows.groupBy(*card, "bucket").agg(
         F.sum("d").alias("bs"), F.min("s").alias("bm"), F.max("fail").alias("bf"),
         F.count(F.lit(1)).alias("bn"), F.max("ts").alias("bt"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from ..functions.identity import join_keys, surface_key
 from ..functions.text import clean_text, js_trim
 from .ordered import top_k
@@ -102,9 +103,10 @@ def apply_corrections(pages: DataFrame, submissions: DataFrame, run_size: int =
     refused = F.when(~sound, "invalid").when(F.col("start").isNull(), "page_not_found")
     judged = known.withColumn("refused", refused)
 
-    chain = judged.filter("refused is null").select(
+    # Narrow rows that every pass below starts from, and the passes' result: both are computed once.
+    chain = cut_lineage(judged.filter("refused is null").select(
         F.col("page_id").cast("long").alias("page_id"), F.floor(F.col("position") / run_size).alias("run"),
-        F.col("position").cast("long").alias("position"), F.col("base_revision").cast("long").alias("base"), "start")
+        F.col("position").cast("long").alias("position"), F.col("base_revision").cast("long").alias("base"), "start"))
     # Before a run the revision is at most one above every earlier base: other entries cannot occur.
     reach = chain.groupBy("page_id", "run").agg(F.max("base").alias("top"), F.max("start").alias("start"))
     earlier = Window.partitionBy("page_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,9 +119,9 @@ def apply_corrections(pages: DataFrame, submissions: DataFrame, run_size: int =
     entries = fold_sorted(
         runs.join(bounds, ["page_id", "run"]).select("page_id", "run", "start", "entries", "exits"),
         ["page_id"], ["run"], _enter_runs, _ENTRY)
-    done = fold_sorted(
+    done = cut_lineage(fold_sorted(
         chain.join(entries, ["page_id", "run"]).select("page_id", "run", "position", "base", "entry"),
-        ["page_id", "run"], ["position"], _replay_runs, _DONE)
+        ["page_id", "run"], ["position"], _replay_runs, _DONE))
     out = (
         judged.drop("start").join(done, ["page_id", "position"], "left")
         .withColumn("outcome", F.coalesce("refused", F.when(F.col("accepted"), "accepted").otherwise("stale")))
@@ -209,7 +211,8 @@ def reprocess(
     a valid word fails.  Returns (pages, candidates).
     """
     texts = pages.withColumn("normalized_text", clean_text(F.coalesce("raw_text", F.lit(""))))
-    words = parse_lines(texts.select("page_id", "batch_id", F.col("normalized_text").alias("text")), "text", scripts, cleaned=True)
+    words = cut_lineage(
+        parse_lines(texts.select("page_id", "batch_id", F.col("normalized_text").alias("text")), "text", scripts, cleaned=True))
     found = match_exact(words.withColumn("canonical_key", word_key()), vocab)
     fresh = found.select(
         F.concat_ws("-", "page_id", "position").alias("candidate_id"), "batch_id", "page_id",
