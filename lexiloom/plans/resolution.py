@@ -172,7 +172,10 @@ MATCH = """
     grams_s AS (SELECT m, list_distinct(list_transform(range(1, length(m)), lambda i: substr(m, i, 2))) AS g FROM (SELECT DISTINCT m FROM stored)),
     grams_i AS (SELECT m, list_distinct(list_transform(range(1, length(m)), lambda i: substr(m, i, 2))) AS g FROM (SELECT DISTINCT m FROM incoming)),
     sims AS (SELECT a.m AS im, b.m AS sm, CASE WHEN a.m = b.m THEN 1.0 ELSE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) END AS s
-             FROM grams_i a, grams_s b),
+             FROM (SELECT i.m AS im, e.m AS sm FROM (SELECT DISTINCT surface_key, m FROM incoming WHERE surface_key <> '') i
+                     JOIN (SELECT DISTINCT surface_key, m FROM stored) e USING (surface_key)
+                   UNION SELECT i.m, only_m FROM incoming i JOIN single USING (kana)) met
+             JOIN grams_i a ON a.m = im JOIN grams_s b ON b.m = sm),
     pairs AS (SELECT i.surface_key, i.kana, i.m, e.id AS ex_id, e.kana AS ex_kana, levenshtein(i.kana, e.kana) AS distance, s,
         floor((0.55 + CASE WHEN i.kana = e.kana THEN 0.25 ELSE 0 END + 0.2 * s) * 1000 + 0.5000001) / 1000 AS score
       FROM (SELECT DISTINCT surface_key, kana, m FROM incoming WHERE surface_key <> '') i JOIN stored e ON e.surface_key = i.surface_key
@@ -192,6 +195,49 @@ def _match(select: str) -> str:
     return v.with_views("WITH " + MATCH.strip() + "\n" + select.strip(), "vocab", "words")
 
 
+# The sequential rule, one word per step: a step sees the words that earlier steps inserted.
+INGEST = """
+    , sized AS (SELECT kana, count(*) AS n FROM stored GROUP BY 1),
+    batch AS (SELECT d.*, coalesce(n, 0) AS store_n, list_distinct(list_transform(range(1, length(d.m)), lambda i: substr(d.m, i, 2))) AS g
+      FROM decided d LEFT JOIN sized USING (kana) QUALIFY row_number() OVER (PARTITION BY identity_key ORDER BY position) = 1),
+    met AS (SELECT a.position AS pos, b.position AS other, a.kana = b.kana AS same, a.surface_key = '' OR b.surface_key = '' AS bare,
+        a.surface_key = b.surface_key AND a.surface_key <> '' AND levenshtein(a.kana, b.kana) <= 1 AS near,
+        CASE WHEN a.m = b.m THEN 1.0 ELSE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) END AS s
+      FROM batch a JOIN batch b ON b.position < a.position AND (a.kana = b.kana OR a.surface_key = b.surface_key)),
+    before AS (SELECT pos, list({'pos': other, 'agrees': bare AND s >= 0.45} ORDER BY other) FILTER (same) AS same,
+        list({'pos': other, 'score': floor((0.55 + CASE WHEN same THEN 0.25 ELSE 0 END + 0.2 * s) * 1000 + 0.5000001) / 1000}) FILTER (near AND s >= 0.45) AS near
+      FROM met GROUP BY 1),
+    steps AS MATERIALIZED (SELECT row_number() OVER (ORDER BY position) AS i, position, exact_id, only_id, ex_id, score AS ex_score, store_n,
+        kind = 'enrich' AS agrees, coalesce(same, []) AS same, coalesce(near, []) AS near FROM batch LEFT JOIN before ON pos = position),
+    fold AS (
+      SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS position, '' AS kind, CAST(NULL AS BIGINT) AS existing_id, CAST(NULL AS DOUBLE) AS score, CAST([] AS BIGINT[]) AS ins
+      UNION ALL
+      SELECT i, position, k,
+        CASE k WHEN 'exact' THEN exact_id WHEN 'enrich' THEN CASE store_n WHEN 1 THEN only_id ELSE top + si[1].pos END
+          WHEN 'review' THEN CASE WHEN coalesce(ex_score, 0) >= coalesce(ni.score, 0) THEN ex_id ELSE top + ni.pos END END,
+        CASE WHEN k = 'review' THEN greatest(coalesce(ex_score, 0), coalesce(ni.score, 0)) END,
+        CASE WHEN k = 'new' THEN list_append(ins, position) ELSE ins END
+      FROM (SELECT *, CASE WHEN exact_id IS NOT NULL THEN 'exact'
+          WHEN store_n + len(si) = 1 AND CASE store_n WHEN 1 THEN agrees ELSE si[1].agrees END THEN 'enrich'
+          WHEN ex_id IS NOT NULL OR ni IS NOT NULL THEN 'review' ELSE 'new' END AS k
+        FROM (SELECT s.*, f.ins, (SELECT max(id) + 1 FROM stored) AS top, list_filter(s.same, lambda x: list_contains(f.ins, x.pos)) AS si,
+            list_sort(list_transform(list_filter(s.near, lambda x: list_contains(f.ins, x.pos)), lambda x: {'low': -x.score, 'pos': x.pos, 'score': x.score}))[1] AS ni
+          FROM fold f JOIN steps s ON s.i = f.i + 1))),
+    result AS (SELECT position, kind, existing_id, score FROM fold WHERE position IS NOT NULL)"""
+
+
+def _ingest(select: str) -> str:
+    return v.with_views("WITH " + MATCH.strip() + INGEST + "\n" + select.strip(), "vocab", "words", recursive=True)
+
+
+GROWN = """
+    SELECT r.id, replace(coalesce(canonical_key, k), chr(0), '|') AS canonical_key, coalesce(kanji, s) AS kanji, kana, coalesce(lesson, l) AS lesson
+    FROM (SELECT id, canonical_key, kanji, kana, lesson FROM vocab
+      UNION ALL SELECT (SELECT max(id) + 1 FROM stored) + position, identity_key, kanji, kana, lesson FROM result JOIN words USING (position) WHERE kind = 'new') r
+    LEFT JOIN (SELECT existing_id AS id, max_by(identity_key, position) AS k, max_by(kanji, position) FILTER (kanji IS NOT NULL) AS s,
+        max_by(lesson, position) FILTER (lesson IS NOT NULL) AS l
+      FROM result JOIN words USING (position) WHERE kind IN ('exact', 'enrich') GROUP BY 1) u ON u.id = r.id"""
+
 BLOCKS = """
     SELECT * FROM (SELECT id, CAST(coalesce(canonical_key, identity_key) IN (SELECT identity_key FROM words) AS BIGINT) AS by_key,
       CAST(kana IN (SELECT kana FROM words) AS BIGINT) AS by_reading,
@@ -300,8 +346,9 @@ QUERIES = {
     "match_decisions": (match_decisions, _match(DECISIONS)),
     "match_explanations": (match_explanations, _match(EXPLAINED)),
     "enrich": (enrich, _match(ENRICHED)),
-    "ingest_decisions": (ingest_decisions, None),
-    "ingest_counts": (ingest_counts, None),
+    "ingest_decisions": (ingest_decisions, _ingest("SELECT * FROM result")),
+    "ingest_counts": (ingest_counts, _ingest("""SELECT count(*) FILTER (kind = 'new') AS inserted, count(*) FILTER (kind = 'review') AS reviewed,
+        count(*) FILTER (kind = 'enrich') AS enriched, count(*) FILTER (kind = 'exact') AS exact FROM result""")),
     "insert_absent": (insert_absent, v.with_views(ABSENT, "vocab", "words")),
     "upsert": (upsert, v.with_views(UPSERT, "vocab", "words")),
     "delete_cascade": (delete_cascade, v.with_views(DELETE, "vocab", "word_progress", "reviews")),

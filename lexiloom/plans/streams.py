@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
 from ..streaming import jobs
-from . import study, views as v, workflow
+from . import resolution, study, views as v, workflow
 
 
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -73,5 +73,5 @@ QUERIES = {
     "stream_sm2": (stream_sm2, study.QUERIES["sm2_replay"][1]),
     "stream_study_log": (stream_study_log, v.with_views(LOG, "ratings")),
     "stream_corrections": (stream_corrections, workflow._fold("SELECT page_id, position, outcome, revision FROM done")),
-    "stream_ingest": (stream_ingest, None),
+    "stream_ingest": (stream_ingest, resolution._ingest(resolution.GROWN)),
 }
