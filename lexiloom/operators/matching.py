@@ -27,6 +27,9 @@ NEAR_READING_SUMMARY = (
     "The Japanese surface agrees and the reading differs by one character, "
     "which is consistent with a possible OCR error."
 )
+SIGNAL_LABELS = ("Kanji surface", "Kana reading", "Burmese meaning")
+SURFACE_SIGNAL, READING_SIGNAL, MEANING_SIGNAL = "exact normalized match", "edit distance ", "% character-bigram similarity"
+REVIEW_REASONS = ("same normalized kanji surface", "kana edit distance ", "compatible Burmese meaning (", "%)")
 
 #: Stored rows of a list that a word is compared with in one row.
 CHUNK = 256
@@ -177,17 +180,17 @@ def explain(df: DataFrame) -> DataFrame:
         F.when(F.col("score") >= HIGH_SCORE, "high").when(F.col("score") >= MEDIUM_SCORE, "medium")
         .otherwise("low").alias("confidence"),
         F.array(
-            signal("Kanji surface", F.lit("exact normalized match"), SURFACE_WEIGHT, F.lit(True)),
-            signal("Kana reading", F.concat(F.lit("edit distance "), distance), READING_WEIGHT, same),
-            signal("Burmese meaning", F.concat(pct, F.lit("% character-bigram similarity")), MEANING_WEIGHT, F.lit(True)),
+            signal(SIGNAL_LABELS[0], F.lit(SURFACE_SIGNAL), SURFACE_WEIGHT, F.lit(True)),
+            signal(SIGNAL_LABELS[1], F.concat(F.lit(READING_SIGNAL), distance), READING_WEIGHT, same),
+            signal(SIGNAL_LABELS[2], F.concat(pct, F.lit(MEANING_SIGNAL)), MEANING_WEIGHT, F.lit(True)),
         ).alias("signals"),
         F.struct(F.col("surface_key").alias("surface"), F.col("reading_key").alias("reading")).alias("normalized_incoming"),
         F.struct(F.col("surface_key").alias("surface"), F.col("ex_reading").alias("reading")).alias("normalized_candidate"),
         F.when(same & (F.col("similarity") < RISKY_SIMILARITY), "high").otherwise("medium").alias("collision_risk"),
     )
     reasons = F.array(
-        F.lit("same normalized kanji surface"), F.concat(F.lit("kana edit distance "), distance),
-        F.concat(F.lit("compatible Burmese meaning ("), pct, F.lit("%)")),
+        F.lit(REVIEW_REASONS[0]), F.concat(F.lit(REVIEW_REASONS[1]), distance),
+        F.concat(F.lit(REVIEW_REASONS[2]), pct, F.lit(REVIEW_REASONS[3])),
     )
     return df.withColumns({
         "reasons": F.when(review, reasons).when(F.col("kind") == "enrich", F.array(F.lit(ENRICH_REASON))),

@@ -16,6 +16,8 @@ from .words import WORD_FIELDS, Scripts, checked_words, json_fields, parse_lines
 # Texts of the workflow.
 EXACT_REASON, NEW_REASON = "canonical key already exists", "no exact canonical match"
 MANUAL_REASON = "manual OCR review required"
+REVIEW_KEY_PREFIX, PAGE_SOURCE_PREFIX = "ingestion:", "ingestion-page:"
+NO_WORDS_CATEGORY, REJECTED_CATEGORY = "no_valid_candidates", "operator_rejected"
 REASON_CHARS, ACTOR_CHARS, DEFAULT_ACTOR = 500, 120, "local-user"
 
 RUN_SUBMISSIONS = 16384
@@ -231,7 +233,7 @@ def reprocess(
     some = F.col("_words").isNotNull()
     pages_out = texts.join(count, "page_id", "left").withColumns({
         "status": F.when(some, "needs_review").otherwise("failed"),
-        "error_category": F.when(~some, "no_valid_candidates"),
+        "error_category": F.when(~some, NO_WORDS_CATEGORY),
     }).drop("_words")
     return pages_out, kept.select(*candidates.columns).unionByName(fresh.select(*candidates.columns))
 
@@ -280,17 +282,17 @@ def approve(
 
     fresh = settled.filter("action = 'insert'").withColumns({
         "id": F.col("new_id"), "burmese_meaning": F.col("burmese_meaning"), "created_at": F.lit(now).cast("timestamp"),
-        "pdf_source": F.concat(F.lit("ingestion-page:"), F.col("page_id").cast("string")),
+        "pdf_source": F.concat(F.lit(PAGE_SOURCE_PREFIX), F.col("page_id").cast("string")),
     })
     fresh = fresh.select(*[
         (F.col(c) if c in fresh.columns else F.lit(None)).cast(vocab.schema[c].dataType).alias(c) for c in vocab.columns])
     to_review = settled.filter("action = 'review'").select(
-        F.concat(F.lit("ingestion:"), F.col("candidate_id").cast("string")).alias("review_key"),
+        F.concat(F.lit(REVIEW_KEY_PREFIX), F.col("candidate_id").cast("string")).alias("review_key"),
         F.to_json(F.struct(*WORD_FIELDS)).alias("incoming_json"), F.col("target_id").alias("candidate_id"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("reasons_json", F.to_json(F.array(F.lit(MANUAL_REASON)))).alias("reasons_json"),
         F.lit(None).cast("string").alias("explanation_json"),
-        F.concat(F.lit("ingestion-page:"), F.col("page_id").cast("string")).alias("source"),
+        F.concat(F.lit(PAGE_SOURCE_PREFIX), F.col("page_id").cast("string")).alias("source"),
         F.lit("pending").alias("status"), F.lit(now).cast("timestamp").alias("created_at"),
     )
     reviews_out = upsert(
@@ -326,7 +328,7 @@ def reject(pages: DataFrame, candidates: DataFrame, requests: DataFrame) -> tupl
     hit = F.col("_asked").isNotNull()
     pages_out = pages.join(asked, "page_id", "left").withColumns({
         "status": F.when(hit, "rejected").otherwise(F.col("status")),
-        "error_category": F.when(hit, "operator_rejected").otherwise(F.col("error_category")),
+        "error_category": F.when(hit, REJECTED_CATEGORY).otherwise(F.col("error_category")),
         "error_message": F.when(hit, F.col("_reason")).otherwise(F.col("error_message")),
     }).select(*pages.columns)
     candidates_out = candidates.join(asked, "page_id", "left").withColumn(
