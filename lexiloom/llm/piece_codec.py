@@ -111,6 +111,9 @@ class PieceCodec:
                 out += [self.byte_id[b] for b in reversed(text[n].encode())]
         return out[::-1]
 
+    def encode(self, texts: pa.Array) -> list[list[int]]:
+        return [list(map(int, ids.split(","))) if ids else [] for ids in self.described(texts)[1].to_pylist()]
+
     def described(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Of every text, none of which is null: number of ids, ids in decimal joined by commas, text decoded from them."""
         # runs of blanks, and blank marks in the text itself, need the general cuts
