@@ -130,7 +130,7 @@ def search(
     queries = map_rows(indexed.filter(is_query), probes, "query_id long, q binary, lim double, list int, block int")
 
     def known(batches: Iterator[pa.RecordBatch]):
-        """The k nearest of the sample: found whatever the tests abandon."""
+        """The k nearest of the sample, which stand in where fewer than k are left by the tests."""
         _, _, seeds, seed_ids, _ = shared.value
         for b in batches:
             ids = b.column("vec_id").to_numpy()
@@ -177,6 +177,10 @@ def search(
     pairs = queries.groupBy("list", "block").cogroup(candidates.groupBy("list", "block")).applyInArrow(
         best, "query_id long, vec_id long, score double"
     )
-    pairs = pairs.unionByName(seeded).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # the sample's own neighbours only fill up queries for which the tests abandoned too many
+    pairs = pairs.withColumn("filler", F.lit(0)).unionByName(seeded.withColumn("filler", F.lit(1)))
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.min("filler").alias("filler"))
+    scanned = F.row_number().over(Window.partitionBy("query_id").orderBy("filler", F.desc("score"), "vec_id"))
+    pairs = pairs.withColumn("scanned", scanned).filter(F.col("scanned") <= k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
