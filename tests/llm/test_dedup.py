@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ann, components, embed_dedup, line_dedup, simhash
+from lexiloom.llm import ann, components, embed_dedup, line_dedup, near_copies, simhash
 
 
 def plain_print(text):
@@ -65,6 +65,33 @@ def test_segments_leave_no_pair_out(spark):
         simhash.links(spark.createDataFrame([(1, 1)], "fp long, rep long"), 5)
 
 
+@pytest.mark.parametrize("few,block,stars", [(16, 256, 2), (2, 4, 0)])
+def test_near_copies_match_brute_force(spark, few, block, stars, monkeypatch):
+    for name, value in (("FEW", few), ("BLOCK", block), ("STARS", stars)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(8)
+    docs = []
+    for g in range(6):
+        base = ["g%dw%d" % (g, rng.randrange(500)) for _ in range(300)]
+        for i in range(20):
+            words = list(base)
+            for _ in range(rng.choice((0, 1, 3, 5, 7, 12, 40))):
+                words[rng.randrange(300)] = "x%d" % rng.randrange(9999)
+            docs.append((100 * g + i, " ".join(words)))
+    docs += [(900, None), (901, " "), (902, "One two"), (903, "one  TWO"), (904, "One three"), (905, docs[0][1]), (905, docs[30][1]), (None, docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"key": F.lit("clash"), "id": F.lit(1), "x": F.lit(2)})
+    sets = []
+    for d, t in docs:
+        w = (t or "").lower().split()
+        sets.append((d, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+    sets = [x for x in sets if x[0] is not None]
+    edges = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if x == y or 5 * len(x & y) >= 4 * len(x | y)]
+    got = near_copies.keep_first(df)
+    assert got.columns == df.columns and got.filter("doc_id is null").count() == 1
+    assert sorted(r.doc_id for r in got.filter("doc_id is not null").collect()) == sorted(set(classes(sorted({d for d, _ in sets}), edges).values()))
+    assert near_copies.keep_first(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(90, 80), (80, 90)]])
 def test_components(spark, edges):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}

@@ -195,3 +195,12 @@ def test_pipeline_stages(spark, tmp_path):
         if k == 2:
             assert now.groupBy("text").count().filter("count > 1").count() == 0
     assert {r.doc_id for r in now.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_pipeline_drops_near_copies(spark):
+    words = [f"w{i}" for i in range(400)]
+    copy = ["x" if i in (50, 150, 250, 350) else w for i, w in enumerate(words)]  # similarity 0.90, 5-word shingles
+    other = ["x" if i % 40 == 5 else w for i, w in enumerate(words)]  # 0.77
+    docs = [(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(other))]
+    now = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], DOCUMENT)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, now, "").collect()) == [1, 3]
