@@ -9,6 +9,7 @@ labelled documents that no fit has seen, their calibrated log odds are combined,
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -18,40 +19,62 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow_schema, small_batches
 
-#: Bounds of what the fit sees: labelled documents, unlabelled ones, and bytes of a document among them.
-LABELLED, POOL, FIT_BYTES = 10_000, 5_000, 65_536
+#: Bounds of what the fit sees: labelled documents and unlabelled ones, whatever their length.
+LABELLED, POOL = 10_000, 5_000
 ROUNDS = 3
 #: A view hands a document on if it is at least so sure, and at most so many of a class in a round.
 CONFIDENT, HANDED = 0.97, 500
 BUCKETS = 1 << 18
+#: A word counts in full if it is there once in so many words, and by its rate below that.
+RATE_WORDS = 200
+#: Words among which distinct ones are counted.
+WINDOW = 200
 MARKS = str.maketrans({c: " " for c in ".,!?;:|#$%&*()\"'/-"})
 STATS = ("upper", "marks", "repeated", "distinct", "digits", "length", "long_words")
 
 
-def text_view(text: str) -> tuple[list[float], set[str]]:
-    """Measures of STATS, and the distinct words in lower case without marks."""
+def text_view(text: str) -> tuple[list[float], dict[str, int]]:
+    """Measures of STATS, and the words in lower case without marks with their numbers.
+
+    No measure drifts with the length of the text.
+    """
     words = text.split()
     n = len(words)
     if not n:
-        return [0.0] * len(STATS), set()
+        return [0.0] * len(STATS), {}
     bare = text.lower().translate(MARKS).split()
-    kinds = set(bare)
+    windows = [bare[i : i + WINDOW] for i in range(0, len(bare), WINDOW)]
     stats = [
         sum([w.isupper() for w in words if len(w) > 1]) / n,
         sum([not w[-1].isalnum() and w[-1] not in ".,;:" for w in words]) / n,
         sum(map(eq, bare, bare[1:])) / n,
-        len(kinds) / max(1, len(bare)) ** 0.85,
+        sum([len(set(w)) for w in windows]) / max(1, sum([len(w) ** 0.85 for w in windows])),
         sum(map(str.isdigit, bare)) / n,
         sum(map(len, words)) / n / 10,
         sum([len(w) > 20 for w in bare]) / n,
     ]
-    return [min(s, 5.0) for s in stats], kinds
+    return [min(s, 5.0) for s in stats], Counter(bare)
 
 
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
 
+def packed_words(kinds: dict[str, int], places: set[int] | None = None) -> np.ndarray:
+    """Word buckets (of ``places``) in order, each plus BUCKETS times what it lacks to a full count, in 255ths."""
+    n, counts = sum(kinds.values()), {}
+    for word, c in kinds.items():
+        k = bucket(word)
+        if places is None or k in places:
+            counts[k] = counts.get(k, 0) + c
+    return np.array([k + BUCKETS * min(254, int(255 * (1 - min(1, c * RATE_WORDS / n)))) for k, c in sorted(counts.items())], "<i4")
+
+
+def unpacked(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of packed words."""
+    return words % BUCKETS, 1 - words // BUCKETS / 255
+
+
 def meta_view(source: str | None, lang: str | None, size: int) -> list[int]:
     """One place each for the source, the language and the doubling of the length: 64 + 32 + 32 places."""
     return [zlib.crc32((source or "").encode()) % 64, 64 + zlib.crc32((lang or "").encode()) % 32, 96 + min(size.bit_length(), 31)]
@@ -86,12 +109,13 @@ def chance(z: np.ndarray) -> np.ndarray:
 
 
 def telling_words(held: list[np.ndarray], y: np.ndarray, most: int = 400, z_least: float = 4.0) -> np.ndarray:
-    """Word buckets whose share differs between the classes by ``z_least`` standard errors or more."""
-    flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+    """Word buckets whose weight differs between the classes by ``z_least`` standard errors or more."""
+    flat, weight = unpacked(np.concatenate(held) if held else np.zeros(0, np.int64))
     label = np.repeat(y, [len(h) for h in held]) if held else np.zeros(0)
-    df, good = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, label, BUCKETS)
+    df = np.bincount(flat, minlength=BUCKETS)
+    all_, good, squares = (np.bincount(flat, w, BUCKETS) for w in (weight, weight * label, weight * weight))
     share, n = y.mean(), len(y)
-    z = np.abs(good - df * share) / np.sqrt(np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9) + 1e-9)
+    z = np.abs(good - all_ * share) / np.sqrt(np.maximum(share * (1 - share) * (squares - all_ * all_ / n), 1e-9) + 1e-9)
     z[(df < 5)] = 0
     top = np.argsort(-z, kind="stable")[:most]
     return np.sort(top[z[top] >= z_least])
@@ -108,7 +132,9 @@ class Model:
         x = np.zeros((len(held), len(STATS) + len(self.words)), np.float32)
         x[:, : len(STATS)] = (stats - self.scale[0]) / self.scale[1]
         for i, h in enumerate(held):
-            x[i, len(STATS) + np.flatnonzero(np.isin(self.words, h))] = 1
+            k, weight = unpacked(h)
+            own = np.isin(k, self.words)
+            x[i, len(STATS) + np.searchsorted(self.words, k[own])] = weight[own]
         return x
 
     def scores(self, stats, held, meta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +219,7 @@ def views(docs: DataFrame, columns: list[str], more: str, finish) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, good: Column | None = None, labelled: int = LABELLED, pool: int = POOL,
-        fit_bytes: int = FIT_BYTES, rounds: int = ROUNDS) -> Model:
+        rounds: int = ROUNDS) -> Model:
     """Model from the ``labelled`` labelled and ``pool`` unlabelled documents of smallest hashed id.
 
     ``good``: condition on ``labels`` (doc_id, quality, toxic); by default good quality and not toxic.  Labels
@@ -202,18 +228,17 @@ def fit(docs: DataFrame, labels: DataFrame, good: Column | None = None, labelled
     good = F.expr("quality = 1 and toxic = 0") if good is None else good
     known = labels.filter("doc_id is not null").select("doc_id", good.cast("double").alias("y")).groupBy("doc_id").agg(
         F.min("y").alias("y"), F.max("y").alias("y2")).filter("y = y2").select("doc_id", "y")
-    short = docs.select("doc_id", "text", "lang", "source").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= fit_bytes)
-    ids = short.select("doc_id").filter("doc_id is not null").distinct().join(known, "doc_id", "left")
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().join(known, "doc_id", "left")
     order = F.xxhash64("doc_id"), "doc_id"
     chosen = ids.filter("y is not null").orderBy(*order).limit(labelled).unionByName(
         ids.filter("y is null").orderBy(*order).limit(pool))
     picked = [(r.doc_id, r.y) for r in chosen.collect()]  # bounded by both limits
     small = docs.sparkSession.createDataFrame(picked, "doc_id long, y double")
-    sample = short.join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"])
     rows = views(
         sample, ["doc_id", "y"], "stats binary, words binary, places binary",
         lambda s, k, p: [
-            [x.tobytes() for x in s], [np.array(sorted({bucket(w) for w in x}), "<i4").tobytes() for x in k],
+            [x.tobytes() for x in s], [packed_words(x).tobytes() for x in k],
             [x.astype("<i4").tobytes() for x in p]],
     ).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
@@ -231,7 +256,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def finish(stats, kinds, meta):
         m = shared.value
-        held = [np.array([k for k in map(bucket, x) if k in places], np.int64) for x in kinds] if len(places) else [np.zeros(0, np.int64)] * len(kinds)
+        held = [packed_words(x, places) if places else np.zeros(0, np.int64) for x in kinds]
         t, q, both = m.scores(stats, held, meta)
         return [t, q, both, both >= 0.5 if m.text is not None else np.ones(len(both), bool)]
 

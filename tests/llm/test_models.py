@@ -204,3 +204,30 @@ def test_pipeline_drops_near_copies(spark):
     docs = [(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(other))]
     now = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], DOCUMENT)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, now, "").collect()) == [1, 3]
+
+
+def speech(rng, lang, words, bad):
+    """Words of a language; telling ones are every tenth of a bad text and every 250th of a good one."""
+    return [f"sale{rng.randrange(9)}" if rng.random() < (0.1 if bad else 0.004) else f"{lang}{int(rng.paretovariate(0.7)) % 5000}" for _ in range(words)]
+
+
+def test_long_clean_documents_stay_in_every_language(spark):
+    rng, docs, labels = random.Random(3), [], []
+    for i in range(640):
+        bad, lang = i % 4 == 0, ("en", "de", "es", "fr")[i // 4 % 4]
+        docs.append((i, " ".join(speech(rng, lang, rng.randint(80, 300), bad)), lang, "s", 0))
+        labels.append((i, int(not bad), 0))
+    for k, lang in enumerate(("en", "de", "es", "fr")):
+        for size in (10_000, 40_000, 100_000):
+            docs += [(10_000 + size + 2 * k + bad, " ".join(speech(rng, lang, size, bad)), lang, "s", 0) for bad in (0, 1)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = cotrain.classify(spark.createDataFrame(docs, DOCUMENT), known).filter("doc_id >= 10000").collect()
+    assert len(rows) == 24 and {r.doc_id for r in rows if r.quality_keep} == {r.doc_id for r in rows if r.doc_id % 2 == 0}
+
+
+def test_long_labelled_documents_are_learned_from(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(speech(rng, "en", 25_000, i % 2)), "en", "s", 0) for i in range(60)]
+    known = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(48)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.quality_keep for r in cotrain.classify(spark.createDataFrame(docs, DOCUMENT), known).collect()}
+    assert got == {i: i % 2 == 0 for i in range(60)}
