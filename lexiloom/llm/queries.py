@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, cotrain, embed_dedup, line_dedup, packing, piece_codec, simhash, suffix_tree, token_files
+from . import (
+    ann, chat, cotrain, divergence, embed_dedup, line_dedup, merkle, packing, piece_codec, simhash, suffix_tree, token_files, va_file,
+)
 from .common import table
 
 
@@ -58,6 +60,18 @@ def op10_cotrain(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.source_divergences(table(spark, sf, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf, "documents"))
+
+
+def op13_exact_search(spark: SparkSession, sf: str) -> DataFrame:
+    return va_file.search(table(spark, sf, "embeddings"), "vec_id % 20 = 0")
+
+
 QUERIES = {
     "op1_ann": (op1_ann, None),
     "op2_chat": (op2_chat, None),
@@ -69,4 +83,7 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, None),
     "op9_piece_codec": (op9_piece_codec, None),
     "op10_cotrain": (op10_cotrain, None),
+    "op11_divergence": (op11_divergence, divergence.SQL),
+    "op12_merkle": (op12_merkle, merkle.SQL),
+    "op13_exact_search": (op13_exact_search, va_file.SQL),
 }
