@@ -74,14 +74,14 @@ def nfkc(col: Column | str) -> Column:
     """Unicode NFKC.
 
     Spark has no normalisation function, but its own ICU library is reachable with
-    ``java_method``; ASCII text, which NFKC leaves alone, skips the call.
+    ``java_method``; ASCII text, which NFKC leaves alone, skips the call.  The argument is
+    bound first: the optimiser does not share the copies of one inside a reflective call.
     """
-    c = _col(col)
-    return F.when(c.isNull() | c.rlike(r"^\p{ASCII}*$"), c).otherwise(
+    return let(_col(col), lambda c: F.when(c.isNull() | c.rlike(r"^\p{ASCII}*$"), c).otherwise(
         F.java_method(
             F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True)
         )
-    )
+    ))
 
 
 def js_trim(col: Column | str) -> Column:

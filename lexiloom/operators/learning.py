@@ -18,6 +18,8 @@ PASS_GRADE, FIRST_INTERVAL, SECOND_INTERVAL, MASTERED_DAYS = 3, 1, 6, 21
 # Calendar limit of an interval.  From the second interval on, every pass multiplies the interval
 # by 1.3 at least, so it is reached within 70 passes and later passes cannot change it.
 MAX_DAYS, TAIL = 100_000_000, 80
+# Ease (in hundredths) from which a pass turns an interval of one day into two.
+LEAVES_ONE = 150
 # State of a card marked mastered by hand, and the card limit of a session.
 OVERRIDE_DAYS, OVERRIDE_REPETITIONS, SESSION_CARDS = 21, 3, 24
 STATUSES = ("learning", "reviewing", "mastered")
@@ -44,10 +46,13 @@ def sm2_step(grade: int, ease: int, interval: int, repetitions: int) -> tuple[in
     return next_ease, interval, repetitions, "mastered" if interval >= MASTERED_DAYS else "reviewing"
 
 
-def replay_sm2(ratings: DataFrame, bucket: Column | None = None) -> DataFrame:
+def replay_sm2(ratings: DataFrame, bucket: Column | None = None, start: DataFrame | None = None) -> DataFrame:
     """Card state per (user_id, vocab_id) after all its valid ratings in order of (ts, event_id).
 
-    A null learner is a learner of its own, and ratings without a time come first.
+    A null learner is a learner of its own, and ratings without a time come first.  Without ``start``
+    every rated card begins as a new one.  With it (user_id, vocab_id, ease_factor, interval,
+    repetitions, status, next_review_date; one row per card) the cards are those of ``start``, each
+    going on from its state; ratings of other cards have no effect.
 
     Needs no pass over a card's whole history in one task.  With S the running sum of ease
     changes, the ease is S + max(start, floor - min S): sums and minima, taken per time bucket
@@ -57,8 +62,18 @@ def replay_sm2(ratings: DataFrame, bucket: Column | None = None) -> DataFrame:
     card = ["user_id", "vocab_id"]
     bucket = F.date_trunc("day", "ts") if bucket is None else bucket
     good, _ = valid_ratings(ratings)
+    stored, begun = None, []
+    if start is not None:
+        hundredths = F.round(F.coalesce("ease_factor", F.lit(START_EASE / 100)) * 100).cast("long")
+        stored = start.select(
+            *card, hundredths.alias("e0"), F.coalesce(F.col("interval").cast("long"), F.lit(0)).alias("i0"),
+            F.coalesce(F.col("repetitions").cast("long"), F.lit(0)).alias("r0"), "status", "next_review_date")
+        # a card with an interval of one day and two passes or more stays at one while its ease is low
+        good = join_same(good, stored.select(*card, "e0", ((F.col("i0") == 1) & (F.col("r0") >= 2)).alias("slow")), card)
+        begun = ["e0", "slow"]
+    e0, slow = (F.col("e0"), F.col("slow")) if begun else (F.lit(START_EASE), F.lit(False))
     step = F.coalesce(*[F.when(F.col("grade") == g, F.lit(d)) for g, d in EASE_STEP.items()]).cast("long")
-    rows = good.select(*card, "ts", "event_id", "grade", step.alias("d"), bucket.alias("bucket"),
+    rows = good.select(*card, *begun, "ts", "event_id", "grade", step.alias("d"), bucket.alias("bucket"),
                        (F.col("grade") < PASS_GRADE).alias("fail"))
     inside = Window.partitionBy(*card, "bucket").orderBy("ts", "event_id")
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -76,44 +91,77 @@ def replay_sm2(ratings: DataFrame, bucket: Column | None = None) -> DataFrame:
     after = over.rowsBetween(1, Window.unboundedFollowing)
     carried = (
         buckets.withColumn("sb", F.coalesce(F.sum("bs").over(before), F.lit(0)))
-        .withColumns({"mb": F.min(F.col("sb") + F.col("bm")).over(before), "later": F.max("bf").over(after)})
+        .withColumns({"mb": F.min(F.col("sb") + F.col("bm")).over(before), "later": F.max("bf").over(after),
+                      "failed": F.max("bf").over(Window.partitionBy(*card))})
     )
     whole = carried.groupBy(*card).agg(
         F.sum("bs").alias("total"), F.min(F.col("sb") + F.col("bm")).alias("lowest"),
-        F.sum("bn").alias("ratings"), F.max("bt").alias("last_rated"))
+        F.sum("bn").alias("ratings"), F.max("bt").alias("last_rated"), F.max("bf").alias("failed"))
 
-    def ease_at(total: Column, lowest: Column) -> Column:
-        return total + F.greatest(F.lit(START_EASE), F.lit(EASE_FLOOR) - lowest)
+    def ease_at(total: Column, lowest: Column, first: Column) -> Column:
+        return total + F.greatest(first, F.lit(EASE_FLOOR) - lowest)
 
     no = F.lit(False)
     tail = (
-        join_same(rows, carried.select(*card, "bucket", "sb", "mb", "later"), [*card, "bucket"])
+        join_same(rows, carried.select(*card, "bucket", "sb", "mb", "later", "failed"), [*card, "bucket"])
         .filter(~F.col("fail") & ~F.coalesce("fail_later", no) & ~F.coalesce("later", no))
-        .select(*card, "ts", "event_id",
-                ease_at(F.col("sb") + F.col("s") - F.col("d"), F.least("mb", F.col("sb") + F.col("low"))).alias("ease_before"))
+        .select(*card, "ts", "event_id", (slow & ~F.col("failed")).alias("slow"),
+                ease_at(F.col("sb") + F.col("s") - F.col("d"), F.least("mb", F.col("sb") + F.col("low")), e0).alias("ease_before"))
     )
-    passes = tail.groupBy(*card).agg(F.count(F.lit(1)).alias("repetitions"))
+    passes = tail.groupBy(*card).agg(F.count(F.lit(1)).alias("passes"))
+    if begun:
+        leaves = tail.filter(F.col("slow") & (F.col("ease_before") >= LEAVES_ONE)).groupBy(*card).agg(
+            F.min(F.struct("ts", "event_id")).alias("_moves"))
+        tail = join_same(tail, leaves, card, "left").filter(
+            ~F.col("slow") | F.coalesce(F.struct("ts", "event_id") >= F.col("_moves"), no))
     heads = top_k(tail, card, [F.col("ts"), F.col("event_id")], TAIL).groupBy(*card).agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "ease_before"))).alias("head"))
-    later_passes = F.slice("head", 3, TAIL)
-    interval = F.when(F.size("head") == 1, F.lit(FIRST_INTERVAL)).otherwise(F.aggregate(
-        later_passes, F.lit(SECOND_INTERVAL).cast("long"),
-        lambda acc, x: F.least(F.lit(MAX_DAYS).cast("long"), F.floor((acc * x["ease_before"] + 50) / 100))))
-    state = (
-        join_same(join_same(whole, passes, card, "left"), heads, card, "left")
-        .withColumns({"repetitions": F.coalesce("repetitions", F.lit(0)),
-                      "interval": F.coalesce(F.when(F.col("head").isNotNull(), interval), F.lit(0)).cast("long")})
-    )
+    state = join_same(join_same(whole, passes, card, "left"), heads, card, "left")
+    zero = F.lit(0).cast("long")
+    if stored is None:
+        state = state.withColumns({"e0": F.lit(START_EASE).cast("long"), "i0": zero, "r0": zero})
+    else:
+        state = join_same(stored.withColumnsRenamed({"status": "was", "next_review_date": "due"}), state, card, "left")
+    anew = F.coalesce("failed", no)
+    state = state.withColumns({
+        "i0": F.when(anew, zero).otherwise(F.col("i0")), "r0": F.when(anew, zero).otherwise(F.col("r0")),
+        "passes": F.coalesce("passes", zero), "ratings": F.coalesce("ratings", zero)}).withColumn("repetitions", F.col("r0") + F.col("passes"))
+    # passes that set a fixed interval, then those that multiply
+    fixed = F.greatest(zero, 2 - F.col("r0")).cast("int")
+    grown = F.aggregate(
+        F.slice("head", fixed + 1, F.lit(TAIL)), F.when(F.col("r0") >= 2, F.col("i0")).otherwise(F.lit(SECOND_INTERVAL)).cast("long"),
+        lambda acc, x: F.least(F.lit(MAX_DAYS).cast("long"), F.floor((acc * x["ease_before"] + 50) / 100)))
+    interval = F.when(F.col("head").isNull(), F.col("i0")).when(F.col("repetitions") == 1, F.lit(FIRST_INTERVAL)).otherwise(grown)
+    state = state.withColumn("interval", interval.cast("long"))
     status = (
-        F.when(F.col("repetitions") == 0, "learning").when(F.col("interval") >= MASTERED_DAYS, "mastered")
+        F.when(F.col("passes") == 0, "learning").when(F.col("interval") >= MASTERED_DAYS, "mastered")
         .otherwise("reviewing")
     )
+    following = add_days("last_rated", F.col("interval"))
+    ease = ease_at(F.col("total"), F.col("lowest"), F.col("e0"))
+    if stored is not None:  # a card that nobody rated stays as it is
+        rated = F.col("ratings") > 0
+        status, following = F.when(rated, status).otherwise(F.col("was")), F.when(rated, following).otherwise(F.col("due"))
+        ease = F.when(rated, ease).otherwise(F.col("e0"))
     return state.select(
-        *card, (ease_at(F.col("total"), F.col("lowest")) / 100).alias("ease_factor"), "interval", "repetitions",
-        status.alias("status"), add_days("last_rated", F.col("interval")).alias("next_review_date"), "ratings",
+        *card, (ease / 100).alias("ease_factor"), "interval", F.col("repetitions").cast("long").alias("repetitions"),
+        status.alias("status"), following.alias("next_review_date"), "ratings",
     )
 
 
+def rate_cards(progress: DataFrame, ratings: DataFrame, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Apply ratings to the stored progress, one row per (user_id, vocab_id), as if one by one in order of time.
+
+    Returns (progress, rejects).  Every card of ``progress`` is there with its next state and the number of
+    ratings it took; a rating is rejected with ``invalid_rating``, or with ``progress_not_found`` where its
+    card has no progress row.
+    """
+    good, bad = valid_ratings(ratings)
+    cards = progress.select("user_id", "vocab_id")
+    unknown = join_same(good, cards, ["user_id", "vocab_id"], "left_anti").withColumn("reason", F.lit("progress_not_found"))
+    return replay_sm2(ratings, bucket, progress), bad.withColumn("reason", F.lit("invalid_rating")).unionByName(unknown)
+
+
 def ensure_progress(vocab: DataFrame, progress: DataFrame, now: str) -> DataFrame:
     """Progress with a start row for every word that has none (one learner's tables)."""
     fresh = vocab.select(F.col("id").alias("vocab_id")).join(progress.select("vocab_id"), "vocab_id", "left_anti")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.identity import with_identity
+from ..session import cut_lineage
 from .words import Scripts, checked_words, json_fields
 
 
@@ -15,44 +16,99 @@ def review_queue(reviews: DataFrame, vocab: DataFrame, k: int = 200) -> DataFram
     return newest.join(candidate, "candidate_id", "left")
 
 
+def _settle_decisions(asked: DataFrame, holders: DataFrame) -> DataFrame:
+    """position, outcome of decisions on pending reviews, as if made one by one.
+
+    ``asked``: position, review_key, row (the candidate), key, fails (the outcome if nothing else forbids it: null for an
+    accept that can succeed, ``rejected`` for a reject, else why an accept must fail).  ``holders``: key, row, one
+    row per stored key.
+
+    An accept gives its key to its row and frees the key that the row had; it fails while another row holds the key.  Rounds decide
+    what is known: with x the row that last got a key, the key is held until x's first accepted or
+    undecided accept of another key.  Accepts by other rows before that fail, all at once; if x let go of the key then,
+    the first accept after it succeeds, and so do those of x itself while it holds the key.  A review's decisions go in
+    order: fails up to the first that takes effect, and nothing after it.  So the number of rounds follows the longest chain
+    of keys that change hands, not the number of decisions on a key, a row or a review.
+    """
+    open_ = cut_lineage(asked.withColumn("held", F.col("fails").isNotNull() & (F.col("fails") != "rejected")))
+    won = decided = None
+    never = F.lit((1 << 63) - 1)
+    while True:
+        tries = open_.filter("fails is null and not held")
+        # the row that last got each key, when, and when it got another one
+        first = tries.select("key").distinct().join(holders, "key").select("key", F.col("row").alias("x"), F.lit(-(1 << 62)).alias("since"))
+        if won is None:
+            last = first.withColumn("left_at", F.lit(None).cast("long"))
+        else:
+            then = F.lead("position").over(Window.partitionBy("row").orderBy("position"))
+            got = won.withColumn("next", then).groupBy("key").agg(
+                F.max("position").alias("since"), F.max_by("row", "position").alias("x"), F.max_by("next", "position").alias("left_at"))
+            begun = won.groupBy(F.col("row").alias("x")).agg(F.min("position").alias("left_at"))
+            stored = first.join(got.select("key"), "key", "left_anti").join(begun, "x", "left")
+            last = stored.select("key", "x", "since", "left_at").unionByName(got.select("key", "x", "since", "left_at"))
+        # first undecided accept of each row, and its first one of another key than that
+        per_key = tries.groupBy("row", "key").agg(F.min("position").alias("at"))
+        rank = F.row_number().over(Window.partitionBy("row").orderBy("at"))
+        two = per_key.withColumn("r", rank).filter("r <= 2").groupBy(F.col("row").alias("x")).agg(
+            F.max(F.when(F.col("r") == 1, F.col("key"))).alias("key1"), F.max(F.when(F.col("r") == 1, F.col("at"))).alias("at1"),
+            F.max(F.when(F.col("r") == 2, F.col("at"))).alias("at2"))
+        unsure = F.coalesce(F.when(F.col("key1") == F.col("key"), F.col("at2")).otherwise(F.col("at1")), never)
+        left = F.coalesce("left_at", never)
+        state = last.join(two, "x", "left").select(
+            "key", "x", F.least(left, unsure).alias("until"), (left < unsure).alias("freed"))
+        known = open_.join(state, "key", "left")
+        has, own, within = F.col("x").isNotNull(), F.col("x") == F.col("row"), F.col("position") <= F.col("until")
+        accept = F.col("fails").isNull()
+        known = known.withColumn("held", F.col("held") | (accept & F.coalesce(has & ~own & within, F.lit(False))))
+        waiting = known.filter(accept & ~F.col("held")).groupBy("key").agg(F.min("position").alias("head"))
+        known = known.join(waiting, "key", "left")
+        free = F.coalesce(own & within, F.lit(False)) | (
+            (F.col("position") == F.col("head")) & (~has | F.coalesce(F.col("freed") & ~within, F.lit(False))))
+        known = known.withColumn("acts", (F.col("fails") == "rejected") | (accept & ~F.col("held") & free))
+        # what a review's first decision that does not fail is
+        turn = known.filter(~F.col("held")).groupBy("review_key").agg(
+            F.min("position").alias("turn"), F.min_by("acts", "position").alias("settles"))
+        at, turn_at, settles = F.col("position"), F.coalesce("turn", never), F.coalesce("settles", F.lit(False))
+        outcome = (
+            F.when(at < turn_at, F.coalesce(F.col("fails"), F.lit("duplicate_identity")))
+            .when((at == turn_at) & settles, F.coalesce(F.col("fails"), F.lit("accepted")))
+            .when((at > turn_at) & settles, F.lit("already_decided"))
+        )
+        judged = cut_lineage(known.join(turn, "review_key", "left").select(
+            "position", "review_key", "row", "key", "fails", "held", outcome.alias("outcome")))
+        done = judged.filter("outcome is not null")
+        decided = done.select("position", "outcome") if decided is None else decided.unionByName(done.select("position", "outcome"))
+        taken = done.filter("outcome = 'accepted'").select("position", "row", "key")
+        won = taken if won is None else won.unionByName(taken)
+        open_ = judged.filter("outcome is null").drop("outcome")
+        if open_.isEmpty():
+            return decided
+
+
 def apply_review_decisions(
     reviews: DataFrame, decisions: DataFrame, vocab: DataFrame, scripts: Scripts = Scripts()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply decisions (position, review_key, action) in order.
+    """Apply decisions (position, review_key, action) as if one by one in order of their (unique) positions.
 
-    Returns (reviews, vocabulary, outcomes).  Only the first decision on a pending review that
-    leads to a change counts; an accept needs its candidate, a valid record and a free key.
-    Accepts compete for candidates and keys: of several for one candidate the last wins its
-    fields, and of several for one key the first wins the key.
+    Returns (reviews, vocabulary, outcomes).  A decision on a pending review settles it if it has an effect: a reject, or an
+    accept that has its candidate, a valid record and a key that no other row holds at that moment.  An accept frees
+    the key that its candidate had, so a later one can take it, and an accept that failed can be tried again.
     """
     known = decisions.join(reviews.select("review_key", "status", "candidate_id", "incoming_json"), "review_key", "left")
     keyed = with_identity(
         checked_words(json_fields(known, "incoming_json"), "N5", None, scripts).withColumnRenamed("status", "was"))
     rows = vocab.select(F.col("id").alias("candidate_id"), F.lit(True).alias("exists"))
-    holders = vocab.filter(F.col("canonical_key").isNotNull()).groupBy(
-        F.col("canonical_key").alias("identity_key")).agg(F.min("id").alias("holder"))
-    checked = (
-        keyed.join(rows, "candidate_id", "left").join(holders, "identity_key", "left")
-        .withColumn("outcome", F.when(~F.coalesce(F.col("action").isin("accept", "reject"), F.lit(False)), "bad_request")
-                    .when(F.col("was").isNull(), "not_found").when(F.col("was") != "pending", "already_decided")
-                    .when(F.col("action") == "reject", "rejected")
-                    .when(F.col("exists").isNull(), "candidate_missing").when(~F.col("valid"), "payload_invalid")
-                    .when(F.coalesce(F.col("holder") != F.col("candidate_id"), F.lit(False)), "duplicate_identity")
-                    .otherwise("accepted"))
-    )
-    # The first effective decision of a review settles it; the first accept of a key owns the key.
-    effective = F.col("outcome").isin("rejected", "accepted")
-    first = checked.filter(effective).groupBy("review_key").agg(F.min("position").alias("settled_at"))
-    owner = checked.filter("outcome = 'accepted'").groupBy("identity_key").agg(
-        F.min_by("candidate_id", "position").alias("owner"))
-    final = (
-        checked.join(first, "review_key", "left").join(owner, "identity_key", "left")
-        .withColumn("outcome", F.when(F.coalesce(F.col("settled_at") < F.col("position"), F.lit(False))
-                                      & ~F.col("outcome").isin("bad_request", "not_found"), "already_decided")
-                    .when((F.col("outcome") == "accepted") & (F.col("owner") != F.col("candidate_id")),
-                          "duplicate_identity")
-                    .otherwise(F.col("outcome")))
-    )
+    checked = keyed.join(rows, "candidate_id", "left").withColumns({
+        "outcome": F.when(~F.coalesce(F.col("action").isin("accept", "reject"), F.lit(False)), "bad_request")
+        .when(F.col("was").isNull(), "not_found").when(F.col("was") != "pending", "already_decided"),
+        "fails": F.when(F.col("action") == "reject", "rejected").when(F.col("exists").isNull(), "candidate_missing")
+        .when(~F.col("valid"), "payload_invalid"),
+    })
+    asked = checked.filter("outcome is null").select(
+        F.col("position").cast("long").alias("position"), "review_key", F.col("candidate_id").alias("row"), F.col("identity_key").alias("key"), "fails")
+    holders = vocab.filter(F.col("canonical_key").isNotNull()).groupBy(F.col("canonical_key").alias("key")).agg(F.min("id").alias("row"))
+    settled = _settle_decisions(asked, holders).withColumnRenamed("outcome", "_settled")
+    final = checked.join(settled, "position", "left").withColumn("outcome", F.coalesce("outcome", "_settled"))
     done = final.filter(F.col("outcome").isin("rejected", "accepted")).select(
         "review_key", F.col("outcome").alias("_status"))
     reviews_out = reviews.join(done, "review_key", "left").withColumn(

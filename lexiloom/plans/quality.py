@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from ..operators import metrics, ordered, pages
-from ..sources import files
+from ..operators import chunking, ingest, metrics, ordered, pages
+from ..session import shared_folder
+from ..sources import files, report
 from . import views as v
 
 
@@ -31,6 +34,25 @@ def rank_percentiles_wide(spark, sf):
     return v.plain(metrics.rank_percentiles(o, "wide"))
 
 
+def report_sink(spark, sf):
+    """Orders by status and month, published as a report in two steps and read back."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    months = v.table(spark, sf, "orders").groupBy(
+        F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(F.floor("o_totalprice")).alias("price"), F.max("o_orderpriority").alias("priority"))
+    report.publish_report(months.filter("status = 'F'"), path)
+    report.publish_report(months.filter("status <> 'F'"), path, append=True)
+    return v.plain(report.read_report(spark, path, "status string, month string, orders long, price long, priority string"))
+
+
+def failed_files(spark, sf):
+    """Files of ten documents each; every seventh has blank pages only and gives no chunk."""
+    d = F.expr("doc_id div 10")
+    given = v.documents(spark, sf).select(
+        d.alias("doc"), F.col("doc_id").alias("num"), F.when(d % 7 == 3, F.lit(" \n\t ")).otherwise(F.col("text")).alias("text"))
+    return v.plain(ingest.failed_files(given, chunking.pages_to_chunks(given)))
+
+
 def batch_history(spark, sf):
     rows = metrics.batch_history(v.batches(spark, sf), status="completed", source="customer 1", to_day="2000-06-30", limit=60)
     return v.plain(rows.select("batch_id", "source_name", "status", "created_at", "total_pages", "duration_ms"))
@@ -145,7 +167,15 @@ TIMES = """
 DIMENSIONS = """
     SELECT event_id, CASE WHEN event_id % 3 = 1 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) ELSE -1 END AS k FROM events"""
 
+REPORT = """
+    SELECT o_orderstatus AS status, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders, CAST(sum(floor(o_totalprice)) AS BIGINT) AS price, max(o_orderpriority) AS priority
+    FROM orders GROUP BY ALL"""
+
+FAILED = "SELECT DISTINCT doc_id // 10 AS doc FROM documents WHERE doc_id // 10 % 7 = 3"
+
 QUERIES = {
+    "report_sink": (report_sink, REPORT.strip()),
+    "failed_files": (failed_files, FAILED),
     "newest_metrics": (newest_metrics, METRICS.strip()),
     "batch_times": (batch_times, TIMES.strip()),
     "metric_dimensions": (metric_dimensions, DIMENSIONS.strip()),

@@ -22,6 +22,25 @@ def sm2_per_learner(spark, sf):
     return v.plain(learning.replay_sm2(v.ratings(spark, sf).withColumn("vocab_id", F.lit(0).cast("long"))).drop("next_review_date"))
 
 
+def rate_cards(spark, sf):
+    """The ratings on stored cards, whatever state they are in; ratings of other cards are refused."""
+    cards, _ = learning.rate_cards(v.stored_cards(spark, sf), v.ratings(spark, sf))
+    return v.plain(cards)
+
+
+def rate_learners(spark, sf):
+    """The same with one stored card for each learner that takes the learner's whole history; every other learner has none."""
+    ratings = v.ratings(spark, sf).withColumn("vocab_id", F.lit(0).cast("long"))
+    start = v.stored_cards_of(ratings).filter("vocab_id = 0 and user_id % 2 = 0")
+    cards, _ = learning.rate_cards(start, ratings)
+    return v.plain(cards.drop("next_review_date"))
+
+
+def refused_ratings(spark, sf):
+    _, refused = learning.rate_cards(v.stored_cards(spark, sf), v.ratings(spark, sf))
+    return v.plain(refused.groupBy("user_id", "reason").agg(F.count(F.lit(1)).alias("ratings")))
+
+
 def rejected_ratings(spark, sf):
     _, bad = learning.valid_ratings(v.ratings(spark, sf))
     return v.plain(bad.groupBy("user_id").agg(F.count(F.lit(1)).alias("rejected")))
@@ -122,7 +141,7 @@ def _dictionary(spark, sf):
 
 def _tokens(spark, sf):
     """Distinct tokens of all documents; the reading is the token without a plural s."""
-    t = glosses.tokens_of(v.table(spark, sf, "documents"))
+    t = glosses.tokens_of(v.documents(spark, sf))
     return t.withColumn("reading", F.when(F.col("surface").endswith("s"), F.regexp_replace("surface", "s$", "")))
 
 
@@ -232,6 +251,33 @@ SM2 = """
 SM2_CARD = SM2.format(card="vocab_id", more=", strftime(ts + to_days(CAST(iv AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS next_review_date")
 SM2_LEARNER = SM2.format(card="CAST(0 AS BIGINT)", more="")
 
+# The same fold from stored states; ``slow`` intervals and cards without ratings need no rule of their own here.
+RATED = """
+    rated AS (SELECT user_id, {card} AS vocab_id, ts, grade, row_number() OVER (PARTITION BY user_id, {card} ORDER BY ts, event_id) AS i,
+        CASE grade WHEN 0 THEN -80 WHEN 3 THEN -14 WHEN 4 THEN 0 ELSE 10 END AS d FROM ratings WHERE grade IN (0, 3, 4, 5)),
+    begun AS ({start}),
+    fold AS (
+      SELECT user_id, vocab_id, CAST(0 AS BIGINT) AS i, CAST(ease AS BIGINT) AS ease, CAST(interval AS BIGINT) AS iv, CAST(repetitions AS BIGINT) AS reps,
+        status, next_review_date AS due FROM begun
+      UNION ALL
+      SELECT user_id, vocab_id, i, ease, iv, reps, CASE WHEN reps = 0 THEN 'learning' WHEN iv >= 21 THEN 'mastered' ELSE 'reviewing' END, ts + to_days(CAST(iv AS INTEGER)) FROM (
+        SELECT r.user_id, r.vocab_id, r.i, greatest(130, f.ease + r.d) AS ease,
+          CASE WHEN grade < 3 THEN 0 WHEN f.reps = 0 THEN 1 WHEN f.reps = 1 THEN 6 ELSE least(100000000, (f.iv * f.ease + 50) // 100) END AS iv,
+          CASE WHEN grade < 3 THEN 0 ELSE f.reps + 1 END AS reps, r.ts
+        FROM fold f JOIN rated r ON r.user_id = f.user_id AND r.vocab_id = f.vocab_id AND r.i = f.i + 1)),
+    last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY user_id, vocab_id ORDER BY i DESC) = 1)
+    SELECT user_id, vocab_id, round(ease / 100, 6) AS ease_factor, iv AS interval, reps AS repetitions, status, i AS ratings{more} FROM last"""
+
+RATE_CARDS = RATED.format(card="vocab_id", start="SELECT * FROM stored_cards", more=", strftime(due, '%Y-%m-%d %H:%M:%S') AS next_review_date")
+RATE_LEARNERS = RATED.format(
+    card="CAST(0 AS BIGINT)", more="", start=f"""
+      SELECT * FROM (WITH ratings AS (SELECT user_id, CAST(0 AS BIGINT) AS vocab_id FROM (SELECT user_id FROM events)) {v.SQL['stored_cards'].strip()}) WHERE vocab_id = 0 AND user_id % 2 = 0""")
+
+REFUSED = """
+    SELECT user_id, CASE WHEN grade NOT IN (0, 3, 4, 5) THEN 'invalid_rating' ELSE 'progress_not_found' END AS reason, count(*) AS ratings
+    FROM ratings r WHERE grade NOT IN (0, 3, 4, 5) OR NOT EXISTS (SELECT 1 FROM stored_cards s WHERE s.user_id = r.user_id AND s.vocab_id = r.vocab_id)
+    GROUP BY 1, 2"""
+
 REJECTED = "SELECT user_id, count(*) AS rejected FROM ratings WHERE grade NOT IN (0, 3, 4, 5) GROUP BY 1"
 
 DUE = f"""
@@ -368,6 +414,9 @@ ADDED_VOCAB = "WITH " + ADDING.strip() + """
 QUERIES = {
     "sm2_replay": (sm2_replay, v.with_views("WITH " + SM2_CARD.strip(), "ratings", recursive=True)),
     "sm2_per_learner": (sm2_per_learner, v.with_views("WITH " + SM2_LEARNER.strip(), "ratings", recursive=True)),
+    "rate_cards": (rate_cards, v.with_views("WITH " + RATE_CARDS.strip(), "ratings", "stored_cards", recursive=True)),
+    "rate_learners": (rate_learners, v.with_views("WITH " + RATE_LEARNERS.strip(), "ratings", recursive=True)),
+    "refused_ratings": (refused_ratings, v.with_views(REFUSED, "ratings", "stored_cards")),
     "rejected_ratings": (rejected_ratings, v.with_views(REJECTED, "ratings")),
     "due_queue": (due_queue, v.with_views(DUE, "progress", "vocab")),
     "due_queue_lesson": (due_queue_lesson, v.with_views(DUE_LESSON, "progress", "vocab")),

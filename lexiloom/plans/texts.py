@@ -21,7 +21,7 @@ def clean_text(spark, sf):
     """Documents with injected carriage returns, soft hyphens, tabs and blank runs."""
     t = F.regexp_replace("text", r"\n", "\t \r\n\n\n\n ​")
     dirty = F.concat(F.lit(" 　"), F.regexp_replace(t, " ", "  ­"))
-    cleaned = v.table(spark, sf, "documents").select("doc_id", text.clean_text(dirty).alias("t"))
+    cleaned = v.documents(spark, sf).select("doc_id", text.clean_text(dirty).alias("t"))
     return v.plain(cleaned.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("chars")))
 
 
@@ -31,7 +31,7 @@ WIDE = {c: chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz"}
 def nfkc(spark, sf):
     """Documents typed in full-width letters, normalised back."""
     wide = F.translate("text", "".join(WIDE), "".join(WIDE.values()))
-    t = v.table(spark, sf, "documents").select("doc_id", text.nfkc(wide).alias("t"))
+    t = v.documents(spark, sf).select("doc_id", text.nfkc(wide).alias("t"))
     return v.plain(t.select("doc_id", F.md5("t").alias("digest")))
 
 
@@ -64,7 +64,7 @@ def headers(spark, sf):
     d = F.col("doc_id")
     head = (F.when(d % 4 == 0, F.concat(F.lit("第 "), d % 40, F.lit("課 N5\n"))).when(d % 4 == 1, F.concat(F.lit("UNIT"), d % 300, F.lit(" n4,")))
             .when(d % 4 == 2, F.concat(F.lit("xN4 N45 "), d % 9, F.lit(" lessons\n"))).otherwise(F.lit("")))
-    t = v.table(spark, sf, "documents").select("doc_id", F.concat(head, "text").alias("t"))
+    t = v.documents(spark, sf).select("doc_id", F.concat(head, "text").alias("t"))
     return v.plain(t.select("doc_id", text.detect_lesson("t").alias("lesson"), text.detect_level("t").alias("level")))
 
 
@@ -126,7 +126,7 @@ def parse_responses(spark, sf):
 
 
 def parse_lines(spark, sf):
-    t = v.table(spark, sf, "documents").select("doc_id", F.translate("text", ",", ";").alias("text"))
+    t = v.documents(spark, sf).select("doc_id", F.translate("text", ",", ";").alias("text"))
     return v.plain(words.parse_lines(t, "text", ASCII).select("doc_id", "position", "kanji", "kana", "burmese_meaning"))
 
 
@@ -135,7 +135,7 @@ def fill_lesson(spark, sf):
 
 
 def split_long_lines(spark, sf):
-    t = v.table(spark, sf, "documents").select("doc_id", F.translate(F.regexp_replace("text", r"\n", " "), ",", ";").alias("line"))
+    t = v.documents(spark, sf).select("doc_id", F.translate(F.regexp_replace("text", r"\n", " "), ",", ";").alias("line"))
     t = t.select("doc_id", text.js_trim(F.regexp_replace("line", " +", " ")).alias("line"))
     out = chunking.split_long_lines(t, "line", 500)
     return v.plain(out.select("doc_id", "piece_no", F.length("piece").alias("chars"), F.md5("piece").alias("digest")))
@@ -154,7 +154,7 @@ def doc_text(spark, sf):
 
 def read_pages_limits(spark, sf):
     """Files per source, of which the larger ones break a page or byte limit."""
-    pages = v.table(spark, sf, "documents").select(
+    pages = v.documents(spark, sf).select(
         F.concat_ws("/", "lang", "source", F.expr("doc_id div 2000")).alias("doc"), F.col("doc_id").alias("num"), "text")
     kept, rejects = files.read_pages(pages, max_bytes=60_000, max_pages=30)
     ok = kept.groupBy("doc").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.octet_length("text")).alias("bytes"), F.lit("kept").alias("reason"))
@@ -167,7 +167,7 @@ def accuracy_report(spark, sf):
         F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "exact").otherwise("review").alias("expected_kind"),
         F.lit(0.7).alias("minimum_score"))
     n = F.col("n_chars")
-    decided = v.table(spark, sf, "documents").select(
+    decided = v.documents(spark, sf).select(
         F.col("doc_id").alias("id"), F.when(n >= 1000, "exact").when(n >= 100, "review").otherwise("new").alias("kind"),
         F.when(n % 2 == 0, 0.75).otherwise(0.64).alias("score"))
     return v.plain(accuracy.accuracy_report(accuracy.judge_cases(labels, decided)))

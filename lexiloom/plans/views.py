@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.identity import join_keys, surface_key
+from ..session import spread
 
 NOW = "2024-01-20 12:00:00"
 EPOCH = "2024-01-01 00:00:00"
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Result in types both engines print alike: longs, rounded doubles and strings."""
     out = []
@@ -124,7 +129,7 @@ def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as pages of files, with a lesson header on every seventh."""
     d = F.col("doc_id")
     head = F.when(d % 7 == 0, F.concat(F.lit("Lesson "), d % 31, F.lit("\n"))).otherwise(F.lit(""))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.concat_ws("/", "source", F.expr("doc_id div 2000")).alias("doc"), d.alias("num"),
         F.concat(head, "text").alias("text"))
 
@@ -159,6 +164,21 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
         F.date_add(F.to_date("last"), F.col("interval").cast("int")).cast("timestamp").alias("next_review_date"))
 
 
+def stored_cards(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_cards_of(ratings(spark, sf))
+
+
+def stored_cards_of(given: DataFrame) -> DataFrame:
+    """Progress stored before the ratings: three of four rated cards, with every kind of state, and a card nobody rated for each learner."""
+    seen = given.select("user_id", "vocab_id").unionByName(given.select("user_id", F.lit(-1).cast("long").alias("vocab_id"))).distinct()
+    mix = F.col("user_id") * 31 + F.col("vocab_id") * 17
+    interval = F.when(mix % 3 == 0, 1).otherwise(mix % 40).cast("int")
+    return seen.filter("(user_id * 7 + vocab_id) % 4 <> 0 or vocab_id < 0").select(
+        "user_id", "vocab_id", ((130 + mix % 170) / 100).alias("ease_factor"), interval.alias("interval"),
+        (mix % 6).cast("int").alias("repetitions"), F.when(mix % 6 == 0, "learning").otherwise("reviewing").alias("status"),
+        F.lit(EPOCH).cast("timestamp").alias("next_review_date"))
+
+
 def word_progress(spark: SparkSession, sf: str) -> DataFrame:
     """One learner's progress per word, from its order lines; words never sold in full lots have none."""
     per = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("vocab_id")).agg(
@@ -188,7 +208,7 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
 def text_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Ingestion pages: one per document."""
     d = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         d.alias("page_id"), F.col("source").alias("batch_id"), d.alias("page_number"), F.col("text").alias("raw_text"),
         F.when(d % 3 == 0, "needs_review").otherwise("corrected").alias("status"), F.lit(0).cast("long").alias("revision"),
         F.lit(None).cast("string").alias("error_category"), F.lit(None).cast("string").alias("error_message"))
@@ -307,6 +327,12 @@ SQL = {
           CAST(CAST(last AS DATE) + CAST(s AS INTEGER) AS TIMESTAMP) AS next_review_date
         FROM (SELECT user_id, vocab_id, count(*) FILTER (grade >= 3) AS n, CAST(sum(grade) AS BIGINT) AS s, max(ts) AS last
               FROM ratings GROUP BY 1, 2)""",
+    "stored_cards": f"""
+        SELECT user_id, vocab_id, 130 + mix % 170 AS ease, CASE WHEN mix % 3 = 0 THEN 1 ELSE mix % 40 END AS interval, mix % 6 AS repetitions,
+          CASE WHEN mix % 6 = 0 THEN 'learning' ELSE 'reviewing' END AS status, TIMESTAMP '{EPOCH}' AS next_review_date
+        FROM (SELECT DISTINCT *, user_id * 31 + vocab_id * 17 AS mix FROM (
+          SELECT user_id, vocab_id FROM ratings UNION ALL SELECT user_id, -1 FROM ratings))
+        WHERE (user_id * 7 + vocab_id) % 4 <> 0 OR vocab_id < 0""",
     "word_progress": """
         SELECT vocab_id, n AS repetitions, next_review_date,
           CASE WHEN n = 0 THEN 'learning' WHEN n >= 10 THEN 'mastered' ELSE 'reviewing' END AS status
@@ -326,7 +352,7 @@ SQL = {
         SELECT conv_id AS page_id, turn AS position, text AS corrected_text,
           turn * 3 // 4 - CASE (conv_id + turn * 3) % 5 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS base_revision FROM conversations""",
 }
-NEEDS = {"candidates": ["words"], "progress": ["ratings"]}
+NEEDS = {"candidates": ["words"], "progress": ["ratings"], "stored_cards": ["ratings"]}
 
 
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:

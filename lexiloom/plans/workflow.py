@@ -140,6 +140,26 @@ def review_decisions(spark, sf):
     return v.plain(states.unionByName(changed))
 
 
+def review_chains(spark, sf):
+    """Decisions over few rows and keys, each made twice: keys are freed and taken again; and the rows' keys after them."""
+    k = F.col("c_custkey")
+    c = v.table(spark, sf, "customer").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    asked = c.select(
+        (k * 2 + F.col("n") * ((1 << 40) + 1)).alias("position"), F.concat(F.lit("k"), k).alias("review_key"),
+        F.when(k % 7 == F.col("n"), "reject").otherwise("accept").alias("action"))
+    record = F.struct(
+        F.concat(F.lit("s"), k * 7 % 211).alias("kanji"), F.concat(F.lit("r"), k * 3 % 3).alias("kana"), F.lit("m").alias("burmese_meaning"))
+    few = v.table(spark, sf, "customer").select(
+        F.concat(F.lit("k"), k).alias("review_key"), F.to_json(record).alias("record"),
+        F.when(k % 29 != 0, 1 + k * 13 % 180).alias("candidate_id"))
+    stored = v.reviews(spark, sf).drop("candidate_id").join(few, "review_key").withColumn(
+        "incoming_json", F.when(F.col("incoming_json") == "{broken", F.col("incoming_json")).otherwise(F.col("record"))).drop("record")
+    _, vocab, outcomes = reviews.apply_review_decisions(stored, asked, v.vocab(spark, sf), ASCII)
+    held = vocab.filter(F.col("kana").startswith("r")).select(
+        F.col("id").alias("position"), v.visible("canonical_key").alias("review_key"), F.lit("word").alias("outcome"))
+    return v.plain(outcomes.select("position", "review_key", "outcome").unionByName(held))
+
+
 # --- SQL twins ----------------------------------------------------------------------------
 
 FOLD = """
@@ -241,19 +261,37 @@ QUEUE = """
     WITH q AS (SELECT * FROM reviews WHERE status = 'pending' ORDER BY created_at DESC, review_key LIMIT 200)
     SELECT review_key, candidate_id, strftime(q.created_at, '%Y-%m-%d %H:%M:%S') AS created_at, v.kana, jlpt_level FROM q LEFT JOIN vocab v ON v.id = candidate_id"""
 
+# Decisions one by one: rows that got another key since, and reviews that are settled.
+JUDGE = """
+    checked AS (SELECT a.*, r.candidate_id, r.kanji, r.kana, r.lesson, r.k, h.id AS holder, row_number() OVER (ORDER BY position) AS i,
+        CASE WHEN action NOT IN ('accept', 'reject') THEN 'bad_request' WHEN r.review_key IS NULL THEN 'not_found' WHEN r.status <> 'pending' THEN 'already_decided' END AS given,
+        CASE WHEN action = 'reject' THEN 'rejected' WHEN r.candidate_id IS NULL OR r.candidate_id NOT IN (SELECT id FROM vocab) THEN 'candidate_missing'
+          WHEN NOT readable THEN 'payload_invalid' END AS fails
+      FROM asked a LEFT JOIN (SELECT *, 'surface:' || kanji || chr(0) || 'reading:' || kana AS k FROM judged_reviews) r USING (review_key)
+        LEFT JOIN (SELECT canonical_key, min(id) AS id FROM vocab WHERE canonical_key IS NOT NULL GROUP BY 1) h ON h.canonical_key = r.k),
+    fold AS (
+      SELECT CAST(0 AS BIGINT) AS i, '' AS outcome, CAST([] AS STRUCT(id BIGINT, k VARCHAR)[]) AS moved, CAST([] AS VARCHAR[]) AS settled
+      UNION ALL
+      SELECT i, o, CASE WHEN o = 'accepted' THEN list_append(list_filter(moved, lambda x: x.id <> candidate_id), {'id': candidate_id, 'k': k}) ELSE moved END,
+        CASE WHEN o IN ('accepted', 'rejected') THEN list_append(settled, review_key) ELSE settled END
+      FROM (SELECT c.*, f.moved, f.settled, CASE WHEN given IS NOT NULL THEN given WHEN list_contains(f.settled, c.review_key) THEN 'already_decided'
+            WHEN fails IS NOT NULL THEN fails
+            WHEN coalesce(holder <> candidate_id AND len(list_filter(f.moved, lambda x: x.id = c.holder)) = 0, FALSE)
+              OR len(list_filter(f.moved, lambda x: x.k = c.k AND x.id <> c.candidate_id)) > 0 THEN 'duplicate_identity' ELSE 'accepted' END AS o
+        FROM fold f JOIN checked c ON c.i = f.i + 1)),
+    final AS (SELECT c.*, f.outcome FROM checked c JOIN fold f USING (i))"""
+
 JUDGED = """
+    judged_reviews AS (SELECT * FROM reviews),
     asked AS (SELECT position, review_key, CASE WHEN position % 4 = 0 THEN 'reject' WHEN position % 11 = 3 THEN 'later' ELSE 'accept' END AS action FROM reviews
-      UNION ALL SELECT position + 1099511627776, 'k' || (position + 1), 'accept' FROM reviews),
-    checked AS (SELECT a.*, r.candidate_id, r.kanji, r.kana, r.lesson, 'surface:' || r.kanji || chr(0) || 'reading:' || r.kana AS k,
-        CASE WHEN action = 'later' THEN 'bad_request' WHEN r.review_key IS NULL THEN 'not_found' WHEN r.status <> 'pending' THEN 'already_decided'
-          WHEN action = 'reject' THEN 'rejected' WHEN r.candidate_id IS NULL OR r.candidate_id NOT IN (SELECT id FROM vocab) THEN 'candidate_missing'
-          WHEN NOT readable THEN 'payload_invalid' ELSE 'accepted' END AS o
-      FROM asked a LEFT JOIN reviews r USING (review_key)),
-    firsts AS (SELECT review_key, min(position) AS settled_at FROM checked WHERE o IN ('rejected', 'accepted') GROUP BY 1),
-    owners AS (SELECT k, min_by(candidate_id, position) AS owner FROM checked WHERE o = 'accepted' GROUP BY 1),
-    final AS (SELECT c.*, CASE WHEN settled_at < position AND o NOT IN ('bad_request', 'not_found') THEN 'already_decided'
-        WHEN o = 'accepted' AND owner <> candidate_id THEN 'duplicate_identity' ELSE o END AS outcome
-      FROM checked c LEFT JOIN firsts USING (review_key) LEFT JOIN owners USING (k))"""
+      UNION ALL SELECT position + 1099511627776, 'k' || (position + 1), 'accept' FROM reviews),""" + JUDGE
+
+# Few keys and rows, so that keys change hands, and every decision made twice.
+CHAINED = """
+    judged_reviews AS (SELECT review_key, readable, 's' || (position * 7 % 211) AS kanji, 'r' || (position * 3 % 3) AS kana, lesson,
+        CASE WHEN position % 29 <> 0 THEN 1 + position * 13 % 180 END AS candidate_id, status FROM reviews),
+    asked AS (SELECT position * 2 + n * 1099511627777 AS position, review_key, CASE WHEN position % 7 = n THEN 'reject' ELSE 'accept' END AS action
+      FROM reviews, (SELECT unnest([0, 1]) AS n)),""" + JUDGE
 
 REVIEW_OUTCOMES = "WITH " + JUDGED.strip() + " SELECT position, review_key, outcome FROM final"
 
@@ -264,6 +302,10 @@ REVIEWED = "WITH " + JUDGED.strip() + """,
       NULL AS kana, NULL AS kanji, NULL AS romaji, NULL AS lesson, NULL AS canonical_key FROM reviews r
     UNION ALL SELECT CAST(id AS VARCHAR), 'word', r, s, coalesce(romaji, 'ro'), coalesce(lesson, l), replace(key, chr(0), '|') FROM changes JOIN vocab USING (id)"""
 
+REVIEW_CHAINS = "WITH " + CHAINED.strip() + """
+    SELECT position, review_key, outcome FROM final
+    UNION ALL SELECT id, replace(max_by(k, position), chr(0), '|'), 'word' FROM (SELECT candidate_id AS id, k, position FROM final WHERE outcome = 'accepted') GROUP BY id"""
+
 QUERIES = {
     "apply_corrections": (apply_corrections, _fold(CORRECTIONS)),
     "current_text": (current_text, _fold(CURRENT)),
@@ -277,6 +319,7 @@ QUERIES = {
     "approve_vocabulary": (approve_vocabulary, v.with_views(APPROVED_VOCAB, "vocab", "candidates", "reviews")),
     "reject": (reject, v.with_views(REJECTED, "candidates")),
     "review_queue": (review_queue, v.with_views(QUEUE, "reviews", "vocab")),
-    "review_outcomes": (review_outcomes, v.with_views(REVIEW_OUTCOMES, "reviews", "vocab")),
-    "review_decisions": (review_decisions, v.with_views(REVIEWED, "reviews", "vocab")),
+    "review_outcomes": (review_outcomes, v.with_views(REVIEW_OUTCOMES, "reviews", "vocab", recursive=True)),
+    "review_decisions": (review_decisions, v.with_views(REVIEWED, "reviews", "vocab", recursive=True)),
+    "review_chains": (review_chains, v.with_views(REVIEW_CHAINS, "reviews", "vocab", recursive=True)),
 }

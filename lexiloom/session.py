@@ -39,6 +39,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
     return spark
 
 
+def spread(df: DataFrame, pieces: int = 4) -> DataFrame:
+    """Deal a table's rows out where it comes in few pieces, before work that is heavy for each row.
+
+    A file's row group is one task, however many cores there are.  A table of ``pieces`` files or splits for
+    each core, as any large one is, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < pieces * cores else df
+
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 

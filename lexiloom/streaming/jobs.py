@@ -1,12 +1,15 @@
 """Ratings, study log, corrections and ingest as streams.
 
-State processors use the step functions of the batch jobs.  Ratings or corrections of one
-micro-batch are sorted first; those of later batches are applied as they arrive.
+State processors use the step functions of the batch jobs.  ``stream_sm2`` and ``stream_corrections``
+sort the ratings or corrections of one micro-batch and apply those of later batches as they arrive.
+``stream_rate_cards`` and ``stream_ordered_corrections`` start from stored tables and apply events in order of
+their time: an event waits in the state store until the watermark has passed it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,8 +17,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.temporal import add_days
 from ..functions.text import js_trim
 from ..operators.ingest import IngestResult, ingest
+from ..operators.matching import incoming_keys
 from ..operators.learning import START_EASE, sm2_step, valid_ratings
 from ..operators.pages import step
+from .snapshots import Snapshots
 
 
 def use_rocksdb(spark) -> None:
@@ -97,6 +102,135 @@ def stream_corrections(submissions: DataFrame) -> DataFrame:
         outputMode="Append", timeMode="None")
 
 
+class _InTimeOrder(StatefulProcessor):
+    """Applies the events of a key in order of (micros, at), each when the watermark has passed its grain of time.
+
+    Events wait in the state store by the end of their grain, where a timer is set; timers fire in order of time.  Python
+    holds the events of one key and one grain, however many wait.  ``fields`` are the event's columns, longs.
+    Subclasses say what an initial row becomes and what events do.
+    """
+
+    STATE, fields = "", ("micros", "at")
+
+    def __init__(self, grain_ms: int):
+        self.grain = grain_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.STATE)
+        self.waiting = handle.getMapState("waiting", "due long", ", ".join(f"{f} array<long>" for f in self.fields))
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.state.update(self.begin(initialState))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        while chunk := list(islice(rows, 1000)):
+            by_due: dict[int, list[tuple]] = {}
+            for r in chunk:
+                due = (r.micros // 1000 // self.grain + 1) * self.grain
+                by_due.setdefault(due, []).append(tuple(getattr(r, f) for f in self.fields))
+            for due, events in by_due.items():
+                columns = [list(c) for c in zip(*events)]
+                held = self.waiting.getValue((due,)) if self.waiting.containsKey((due,)) else None
+                if held is None:
+                    self.handle.registerTimer(due)
+                else:
+                    columns = [[*old, *new] for old, new in zip(held, columns)]
+                self.waiting.updateValue((due,), tuple(columns))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        events = sorted(zip(*self.waiting.getValue((due,))))
+        self.waiting.removeKey((due,))
+        yield from self.apply(key, self.state.get(), events)
+
+    def close(self) -> None:
+        pass
+
+
+class _StoredCards(_InTimeOrder):
+    STATE = "ease int, interval long, repetitions int, ratings long"
+    fields = ("micros", "at", "grade")
+
+    def begin(self, row: Row) -> tuple:
+        return row.ease, row.interval, row.repetitions, 0
+
+    def apply(self, key, state, events) -> Iterator[Row]:
+        card = dict(user_id=key[0], vocab_id=key[1], ease_factor=None, interval=None, repetitions=None, status=None, rated_micros=events[-1][0])
+        if state is None:
+            yield Row(**card, ratings=None, refused=len(events))
+            return
+        ease, interval, repetitions, ratings = state
+        for _, _, grade in events:
+            ease, interval, repetitions, status = sm2_step(grade, ease, interval, repetitions)
+        ratings += len(events)
+        self.state.update((ease, interval, repetitions, ratings))
+        card.update(ease_factor=ease / 100, interval=interval, repetitions=repetitions, status=status)
+        yield Row(**card, ratings=ratings, refused=0)
+
+
+class _StoredPages(_InTimeOrder):
+    STATE = "revision long"
+    fields = ("micros", "at", "base_revision")
+
+    def begin(self, row: Row) -> tuple:
+        return (row.revision,)
+
+    def apply(self, key, state, events) -> Iterator[Row]:
+        revision = state[0] if state else None
+        for _, at, base in events:
+            if base < 0:  # stands for an unsound submission
+                outcome, after = "invalid", None
+            elif revision is None:
+                outcome, after = "page_not_found", None
+            else:
+                accepted, revision = step(revision, base)
+                outcome, after = "accepted" if accepted else "stale", revision
+            yield Row(page_id=key[0], position=at, outcome=outcome, revision=after)
+        if revision is not None:
+            self.state.update((revision,))
+
+
+def stream_rate_cards(ratings: DataFrame, progress: DataFrame, watermark: str = "1 day", grain: int = 60_000) -> DataFrame:
+    """Stored cards after the ratings of each ``grain`` milliseconds of time, in order of (ts, event_id).
+
+    ``progress``: user_id, vocab_id, ease_factor, interval, repetitions, one row per card; the stream starts from it and a
+    rating of another card only counts as ``refused``.  Ratings come in any order within the watermark, in whatever
+    micro-batches; later ones, and those without a time, are dropped.  A card's newest state is the row with most ``ratings``.
+    Invalid ratings are left out (``learning.valid_ratings`` has them).
+    """
+    timed = ratings.withWatermark("ts", watermark)
+    good, _ = valid_ratings(timed)
+    asked = good.filter("ts is not null").select(
+        "user_id", "vocab_id", "ts", F.unix_micros("ts").alias("micros"), F.col("event_id").cast("long").alias("at"), F.col("grade").cast("long").alias("grade"))
+    stored = progress.select(
+        "user_id", "vocab_id", F.round(F.coalesce("ease_factor", F.lit(START_EASE / 100)) * 100).cast("int").alias("ease"),
+        F.coalesce(F.col("interval").cast("long"), F.lit(0)).alias("interval"), F.coalesce(F.col("repetitions").cast("int"), F.lit(0)).alias("repetitions"))
+    states = asked.groupBy("user_id", "vocab_id").transformWithState(
+        statefulProcessor=_StoredCards(grain), outputMode="Update", timeMode="EventTime", initialState=stored.groupBy("user_id", "vocab_id"),
+        outputStructType="user_id long, vocab_id long, ease_factor double, interval long, repetitions int, status string, rated_micros long, ratings long, refused long")
+    rated = F.timestamp_micros("rated_micros")
+    return states.withColumn("next_review_date", add_days(rated, F.col("interval"))).drop("rated_micros")
+
+
+def stream_ordered_corrections(submissions: DataFrame, pages: DataFrame, watermark: str = "1 day", grain: int = 60_000) -> DataFrame:
+    """Outcome and page revision of every submission, in order of (submitted_at, position) whatever the order of arrival.
+
+    ``pages``: page_id, revision, one row per page, where the stream starts; others are ``page_not_found``.  Submissions later
+    than the watermark, and those without a time, are dropped.
+    """
+    timed = submissions.withWatermark("submitted_at", watermark)
+    sound = (js_trim(F.coalesce("corrected_text", F.lit(""))) != "") & F.coalesce(F.col("base_revision") >= 0, F.lit(False))
+    judged = timed.filter("submitted_at is not null").select(
+        "page_id", "submitted_at", F.unix_micros("submitted_at").alias("micros"), F.col("position").cast("long").alias("at"),
+        F.when(sound, F.col("base_revision").cast("long")).otherwise(-1).alias("base_revision"))
+    stored = pages.select("page_id", F.coalesce(F.col("revision").cast("long"), F.lit(0)).alias("revision"))
+    return judged.groupBy("page_id").transformWithState(
+        statefulProcessor=_StoredPages(grain), outputStructType="page_id long, position long, outcome string, revision long",
+        outputMode="Append", timeMode="EventTime", initialState=stored.groupBy("page_id"))
+
+
 def ingest_batches(
     read: Callable[[], tuple[DataFrame, DataFrame]], write: Callable[[IngestResult, int], None], **options
 ) -> Callable[[DataFrame, int], None]:
@@ -117,3 +251,33 @@ def stream_ingest(words: DataFrame, read, write, checkpoint: str, **options):
         words.writeStream.foreachBatch(ingest_batches(read, write, **options))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def ingest_once(store: Snapshots, stream: str, **options) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that ingests each micro-batch of words into ``store``, once however often it is run.
+
+    ``stream`` names the stream whose batch numbers count; the store holds vocabulary and reviews.
+    """
+    def run(words: DataFrame, batch_id: int) -> None:
+        def change(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            result = ingest(words, tables["vocabulary"], tables["reviews"], **options)
+            return {"vocabulary": result.vocabulary, "reviews": result.reviews}
+
+        store.apply(stream, batch_id, change)
+
+    return run
+
+
+def stream_ingest_once(words: DataFrame, store: Snapshots, stream: str, checkpoint: str, watermark: str = "1 day", **options):
+    """Start the ingest of words (with ``arrived_at``) over everything available.
+
+    A word that is delivered again within the watermark (same position and identity, hence the same review key) is
+    dropped; a micro-batch that is run again finds its commit record.
+    """
+    columns = words.columns
+    fresh = incoming_keys(words).withWatermark("arrived_at", watermark).dropDuplicatesWithinWatermark(["position", "identity_key"])
+    given = fresh.select(*[c for c in columns if c != "arrived_at"])
+    return (
+        given.writeStream.foreachBatch(ingest_once(store, stream, **options))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )

@@ -41,6 +41,51 @@ def test_sm2_stream_equals_batch(spark, replay):
     assert last == {(r.user_id, r.vocab_id): (r.ease_factor, r.interval, r.repetitions, r.status, r.ratings, r.next_review_date) for r in batch}
 
 
+RATINGS = "user_id long, vocab_id long, ts timestamp, event_id long, grade int"
+STORED = "user_id long, vocab_id long, ease_factor double, interval int, repetitions int, status string, next_review_date timestamp"
+
+
+def random_cards(rng, users=4, cards=3):
+    return [(u, c, rng.choice([1.3, 1.36, 1.5, 2.5, 2.8]), rng.choice([0, 1, 1, 2, 6, 30]), rng.choice([0, 1, 2, 5]), "reviewing", datetime(2023, 12, 1))
+            for u in range(users) for c in range(cards) if rng.random() < 0.7]
+
+
+def test_late_ratings_from_stored_cards_equal_batch(spark, replay):
+    """Micro-batches out of order; the last event only moves the watermark on."""
+    rng = random.Random(12)
+    start = random_cards(rng)
+    rows = [(rng.randint(0, 3), rng.randint(0, 2), datetime(2024, 1, 1) + timedelta(seconds=rng.randint(0, 40) * 7000, microseconds=i % 3), i, rng.choice([0, 2, 3, 4, 5]))
+            for i in range(160)]
+    rows += [(0, 0, None, 500, 5), (0, None, datetime(2024, 1, 1), 501, 5), (0, 0, datetime(2024, 1, 1), 502, None)]
+    rng.shuffle(rows)
+    end = [(-1, -1, datetime(2024, 3, 1), 999, 5)]
+    progress = spark.createDataFrame(start, STORED)
+    emitted = replay([rows[:60], rows[60:90], rows[90:], end], RATINGS, lambda s: jobs.stream_rate_cards(s, progress, "10 days"), "update")
+    last, refused = {}, 0
+    for _, r in sorted((e for e in emitted if e[1].ratings), key=lambda e: e[1].ratings):
+        last[(r.user_id, r.vocab_id)] = (r.ease_factor, r.interval, r.repetitions, r.status, r.ratings, r.next_review_date)
+    refused = sum(r.refused for _, r in emitted)
+    cards, rejects = learning.rate_cards(progress, spark.createDataFrame([r for r in rows if r[2]], RATINGS))
+    assert last == {(r.user_id, r.vocab_id): (r.ease_factor, r.interval, r.repetitions, r.status, r.ratings, r.next_review_date)
+                    for r in cards.collect() if r.ratings}
+    assert refused == rejects.filter("reason = 'progress_not_found'").count() > 0
+
+
+def test_late_corrections_from_stored_pages_equal_batch(spark, replay):
+    rng = random.Random(6)
+    schema = "page_id long, position long, base_revision long, corrected_text string, submitted_at timestamp"
+    rows = [(rng.randint(0, 3), i, None if i == 7 else max(-1, i // 6 + 2 + rng.randint(-1, 1)), "t" if rng.random() < 0.9 else " ", datetime(2024, 1, 1) + timedelta(minutes=i * 9))
+            for i in range(90)]
+    p = spark.createDataFrame([(0, 2, "raw"), (1, 2, "raw"), (2, 0, "raw")], "page_id long, revision long, raw_text string")
+    batch = pages.apply_corrections(p, spark.createDataFrame(rows, schema)).collect()
+    rng.shuffle(rows)
+    end = [(9, 999, 0, "t", datetime(2024, 3, 1))]
+    emitted = replay([rows[:25], rows[25:50], rows[50:], end], schema, lambda s: jobs.stream_ordered_corrections(s, p, "2 days"), "append")
+    assert len(emitted) == len(rows)
+    assert {(r.page_id, r.position): (r.outcome, r.revision) for _, r in emitted} == {
+        (r.page_id, r.position): (r.outcome, r.revision if r.outcome in ("accepted", "stale") else None) for r in batch}
+
+
 def test_study_log_stream(spark, replay):
     schema = "user_id long, vocab_id long, ts timestamp, event_id long, grade int"
     rows = [(1, 1, datetime(2024, 1, 1 + i // 10, i % 10), i, 5) for i in range(30)]

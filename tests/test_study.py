@@ -23,6 +23,45 @@ def vocab(spark, rows):
 @pytest.mark.parametrize("grades,state", [
     ([5], (2.6, 1, 1, "reviewing")), ([5, 5], (2.7, 6, 2, "reviewing")), ([5, 5, 5], (2.8, 16, 3, "reviewing")),
     ([4, 4, 4, 4], (2.5, 38, 4, "mastered")), ([0], (1.7, 0, 0, "learning")), ([0, 0], (1.3, 0, 0, "learning"))])
+STORED = "user_id long, vocab_id long, ease_factor double, interval int, repetitions int, status string, next_review_date timestamp"
+
+
+def test_rate_cards_matches_steps_from_any_state(spark):
+    """Long and short runs from stored states, among them intervals that stay at one day while the ease is low."""
+    rng = random.Random(8)
+    start, rows, want, rejected = [], [], {}, {"invalid_rating": 0, "progress_not_found": 0}
+    for user in range(60):
+        ease, interval, reps = rng.choice([130, 131, 136, 149, 150, 250, 290]), rng.choice([0, 1, 1, 1, 2, 3, 6, 30]), rng.choice([0, 1, 2, 2, 5])
+        card = (None if user == 59 else user, 7)
+        stored = user % 6 != 5
+        if stored:
+            start.append((*card, ease / 100, interval, reps, "reviewing", datetime(2023, 12, 24)))
+        n = rng.choice([0, 1, 2, 3, 30, 150])
+        weights = rng.choice([[0, 3, 6, 1], [0, 1, 40, 1], [0, 1, 1, 1], [1, 30, 1, 1], [1, 1, 1, 1], [0, 0, 1, 0]])
+        state, at, last = (ease, interval, reps, "reviewing"), datetime(2024, 1, 1), None
+        for i in range(n):
+            at += timedelta(hours=rng.choice([0, 1, 30]))
+            g = rng.choices([0, 3, 4, 5], weights)[0] if rng.random() < 0.97 else 2
+            rows.append((*card, str(at), len(rows), g))
+            if g == 2:
+                rejected["invalid_rating"] += 1
+            elif not stored:
+                rejected["progress_not_found"] += 1
+            else:
+                state, last = learning.sm2_step(g, *state[:3]), at
+        if stored:
+            took = sum(r[0] == card[0] and r[4] != 2 for r in rows)
+            due = last + timedelta(days=state[1]) if took and state[1] <= 10**6 else None if took else datetime(2023, 12, 24)
+            want[card] = (state[0] / 100, *state[1:], took, due)
+    rng.shuffle(rows)
+    cards, rejects = learning.rate_cards(spark.createDataFrame(start, STORED), ratings(spark, rows))
+    cards = cards.withColumn("next_review_date", F.when(F.col("interval") <= 10**6, F.col("next_review_date")))
+    got = {(r.user_id, r.vocab_id): tuple(r)[2:6] + (r.ratings, r.next_review_date) for r in cards.select(
+        "user_id", "vocab_id", "ease_factor", "interval", "repetitions", "status", "next_review_date", "ratings").collect()}
+    assert got == want
+    assert {r.reason: r["count"] for r in rejects.groupBy("reason").count().collect()} == rejected
+
+
 def test_sm2_step(grades, state):
     ease, interval, reps, status = learning.START_EASE, 0, 0, "learning"
     for g in grades:

@@ -107,6 +107,45 @@ def test_review_decisions(spark):
     assert len(queue) == 3 and {q.review_key for q in queue} == {"a", "b", "c"}
 
 
+def one_by_one(stored, rows, asked):
+    """Outcomes and keys after decisions made in turn; ``rows``: review -> (candidate, key, status, fails)."""
+    key_of, status, out = dict(stored), {r: x[2] for r, x in rows.items()}, {}
+    for pos, review, action in sorted(asked):
+        row, key, _, fails = rows[review]
+        if status[review] != "pending":
+            out[pos] = "already_decided"
+        elif action == "reject":
+            status[review] = out[pos] = "rejected"
+        elif row not in key_of:
+            out[pos] = "candidate_missing"
+        elif fails:
+            out[pos] = "payload_invalid"
+        elif any(k == key for r, k in key_of.items() if r != row):
+            out[pos] = "duplicate_identity"
+        else:
+            key_of[row] = key
+            status[review] = out[pos] = "accepted"
+    return out, key_of
+
+
+@pytest.mark.parametrize("rows,keys,reviews_n,hot", [(5, 4, 40, 0.0), (40, 30, 120, 0.0), (30, 25, 150, 0.5)])
+def test_review_decisions_free_keys_like_one_by_one(spark, rows, keys, reviews_n, hot):
+    rng = random.Random(rows)
+    name = lambda k: f"surface:A\0reading:x{k}"
+    stored = {i: (name(i) if i < keys // 2 else None) for i in range(rows)}
+    pick = lambda n: 0 if rng.random() < hot else rng.randrange(n)
+    revs = {f"v{i}": (pick(rows + 1), name(pick(keys)), rng.choice(["pending"] * 9 + ["accepted"]), rng.random() < 0.05) for i in range(reviews_n)}
+    asked = [(p, f"v{pick(reviews_n)}" if rng.random() < 0.3 else f"v{rng.randrange(reviews_n)}", rng.choice(["accept"] * 6 + ["reject"])) for p in range(reviews_n * 3)]
+    r = review_rows(spark, *[(k, "{bad" if bad else word_json(kana=key.split("reading:")[1]), row, status) for k, (row, key, status, bad) in revs.items()])
+    d = spark.createDataFrame(rng.sample(asked, len(asked)), "position long, review_key string, action string")
+    v = vocab(spark, *[(i, k, "A", "y", None, "m", None, 1) for i, k in stored.items()])
+    _, voc, out = reviews.apply_review_decisions(r, d, v, ASCII)
+    want, key_of = one_by_one(stored, revs, asked)
+    assert {x.position: x.outcome for x in out.collect()} == want
+    assert {x.id: x.canonical_key for x in voc.collect()} == key_of
+    assert set(want.values()) >= {"accepted", "duplicate_identity", "already_decided"}
+
+
 @pytest.mark.parametrize("run_size", [1, 3, 16384])
 def test_corrections_match_plain(spark, run_size):
     rng = random.Random(run_size)
