@@ -79,11 +79,13 @@ def stream_ingest_once(spark, sf):
     top = words.agg(F.max("position")).scalar()
     part = F.floor(F.col("position") * 3 / (top + 1))
     again = words.filter("position % 50 = 7").withColumn("part", part + 1).filter("part < 3")
-    given = words.withColumn("part", part).unionByName(again).coalesce(1)
+    given = words.withColumn("part", part).unionByName(again)
     store = Snapshots(spark, f"{base}/tables")
     store.start({"vocabulary": v.vocab(spark, sf), "reviews": v.reviews(spark, sf).limit(0)})
-    arriving = _arrivals(given, "part")
-    jobs.stream_ingest_once(arriving, store, "words", f"{base}/checkpoint", "60 days").awaitTermination()
+    for n in range(3):  # the stream is started again for each part, from its checkpoint
+        given.filter(F.col("part") == n).drop("part").write.mode("append").parquet(f"{base}/words")
+        arriving = spark.readStream.schema(words.schema).parquet(f"{base}/words")
+        jobs.stream_ingest_once(arriving, store, "words", f"{base}/checkpoint", "60 days").awaitTermination()
     grown = store.read()["vocabulary"]
     return v.plain(grown.select("id", v.visible("canonical_key").alias("canonical_key"), "kanji", "kana", "lesson"))
 

@@ -148,10 +148,10 @@ def review_chains(spark, sf):
         (k * 2 + F.col("n") * ((1 << 40) + 1)).alias("position"), F.concat(F.lit("k"), k).alias("review_key"),
         F.when(k % 7 == F.col("n"), "reject").otherwise("accept").alias("action"))
     record = F.struct(
-        F.concat(F.lit("s"), k * 7 % 211).alias("kanji"), F.concat(F.lit("r"), k * 3 % 3).alias("kana"), F.lit("m").alias("burmese_meaning"))
+        F.concat(F.lit("s"), k * 7 % 997).alias("kanji"), F.concat(F.lit("r"), k * 3 % 3).alias("kana"), F.lit("m").alias("burmese_meaning"))
     few = v.table(spark, sf, "customer").select(
         F.concat(F.lit("k"), k).alias("review_key"), F.to_json(record).alias("record"),
-        F.when(k % 29 != 0, 1 + k * 13 % 180).alias("candidate_id"))
+        F.when(k % 29 != 0, 1 + k * 13 % 700).alias("candidate_id"))
     stored = v.reviews(spark, sf).drop("candidate_id").join(few, "review_key").withColumn(
         "incoming_json", F.when(F.col("incoming_json") == "{broken", F.col("incoming_json")).otherwise(F.col("record"))).drop("record")
     _, vocab, outcomes = reviews.apply_review_decisions(stored, asked, v.vocab(spark, sf), ASCII)
@@ -263,7 +263,7 @@ QUEUE = """
 
 # Decisions one by one: rows that got another key since, and reviews that are settled.
 JUDGE = """
-    checked AS (SELECT a.*, r.candidate_id, r.kanji, r.kana, r.lesson, r.k, h.id AS holder, row_number() OVER (ORDER BY position) AS i,
+    checked AS (SELECT a.*, r.candidate_id, r.kanji, r.kana, r.lesson, r.k, h.id AS holder, row_number() OVER (ORDER BY a.position) AS i,
         CASE WHEN action NOT IN ('accept', 'reject') THEN 'bad_request' WHEN r.review_key IS NULL THEN 'not_found' WHEN r.status <> 'pending' THEN 'already_decided' END AS given,
         CASE WHEN action = 'reject' THEN 'rejected' WHEN r.candidate_id IS NULL OR r.candidate_id NOT IN (SELECT id FROM vocab) THEN 'candidate_missing'
           WHEN NOT readable THEN 'payload_invalid' END AS fails
@@ -288,8 +288,8 @@ JUDGED = """
 
 # Few keys and rows, so that keys change hands, and every decision made twice.
 CHAINED = """
-    judged_reviews AS (SELECT review_key, readable, 's' || (position * 7 % 211) AS kanji, 'r' || (position * 3 % 3) AS kana, lesson,
-        CASE WHEN position % 29 <> 0 THEN 1 + position * 13 % 180 END AS candidate_id, status FROM reviews),
+    judged_reviews AS (SELECT review_key, readable, 's' || (position * 7 % 997) AS kanji, 'r' || (position * 3 % 3) AS kana, lesson,
+        CASE WHEN position % 29 <> 0 THEN 1 + position * 13 % 700 END AS candidate_id, status FROM reviews),
     asked AS (SELECT position * 2 + n * 1099511627777 AS position, review_key, CASE WHEN position % 7 = n THEN 'reject' ELSE 'accept' END AS action
       FROM reviews, (SELECT unnest([0, 1]) AS n)),""" + JUDGE
 
