@@ -1,6 +1,6 @@
 """Exact top-k search by a vector-approximation file.
 
-Components become integers, floor(scale * x).  Each dimension is cut into cells at quantiles of a sample, the outermost
+Components become integers, floor(scale * x).  Each dimension is cut into cells at quantiles of a sample's values, the outermost
 closed by the smallest and largest component of all rows, and a vector's approximation is its cell in each
 dimension, one byte each.  The first phase scans the approximations: a cell's ends bound what a dimension can add to an
 inner product, so a query has a lower and an upper bound for every vector, and a vector whose upper bound is below the
@@ -77,7 +77,10 @@ def cells_of(vectors: DataFrame, dim: int, cells: int) -> tuple[np.ndarray, np.n
     low, high = ends_of(vectors, dim)
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()
     x = np.stack([np.frombuffer(v, "<f8") for v in sample.v])
-    starts = np.ceil(np.quantile(x, np.arange(cells) / cells, axis=0)).T.copy()
+    starts = np.empty((dim, cells))
+    for d in range(dim):  # among the values themselves: a frequent one needs no more than its own cell
+        values = np.unique(x[:, d])
+        starts[d] = values[np.arange(cells) * len(values) // cells]
     starts[:, 0] = low
     starts = np.clip(starts, low[:, None], high[:, None])
     starts.sort(axis=1)
