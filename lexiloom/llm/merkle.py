@@ -137,6 +137,7 @@ def manifest(docs: DataFrame, tampered_text: Column | None = None) -> DataFrame:
     fields = [F.col(c) for c in FIELDS]
     hashed = docs.select("doc_id", "source", leaf(*fields).alias("digest"), F.when(
         ~tampered_text.eqNullSafe(F.col("text")), leaf(*fields[:-1], tampered_text)).alias("tampered"))
+    hashed = materialize(hashed, "hashed")  # texts are read once, not also for the bounds of the ranges
     first_null = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("digest")]
     rows = numbered(hashed, first_null, "pos", "leaves")
     sizes = rows.groupBy("source").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("size"))
