@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.identity import join_keys, norm_surface, reading_key, surface_key, with_identity
 from ..functions.text import CJK, contains_script, fold_kana, js_trim, simple_romaji
-from .folds import fold_sorted
+from ..session import cut_lineage
 from .library import first_rows
 
 # Dictionary rows of the reader, and what an unknown token becomes.
@@ -73,51 +72,103 @@ def token_requests(tokens: DataFrame) -> DataFrame:
     })
 
 
-_OUTCOMES = pa.schema([
-    ("position", pa.int64()), ("outcome", pa.string()), ("existing", pa.string()), ("made", pa.int64())])
+#: Request positions that are judged together; a reading's requests are cut into runs of as many.
+RUN_REQUESTS = 16384
 
 
-def _add_in_order(rows):
-    """Outcome of each request of a reading, in order, on the rows that stand then.
+def _key_holders(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who holds which key before the requests.
 
-    Stored rows of the reading come first.  A row is (id, position that made it); ``holders`` has the
-    rows of each key, ``bare`` the rows without a surface.
+    Returns (readings, holders).  ``readings``: reading_key, bare (rows without a surface), x (the only such row, if there is
+    one), b_all, b_other.  ``holders``: reading_key, identity_key, first, other.  Both give the first holder of a key (``b_``: of the
+    key of the bare reading) and the first one besides x.  A row holds its computed key and its saved one; a saved key may
+    name another reading, of which the row is a holder too.
     """
-    reading, holders, bare = object(), {}, {}
-    for now, stored, id_, position, key, saved, has_surface in rows:
-        if now != reading:
-            reading, holders, bare = now, {}, {}
-        if stored:
-            row = (str(id_), None)
-            for k in filter(None, {key, saved}):
-                holders.setdefault(k, []).append(row)
-            if not has_surface:
-                bare[row] = [k for k in (key, saved) if k]
-            continue
-        if reading == "":
-            yield position, "invalid", None, None
-        elif holders.get(key):
-            yield position, "existing", *holders[key][0]
-        elif len(bare) == 1:
-            ((row, old),) = bare.items()
-            for k in old:
-                holders[k] = [r for r in holders.get(k, []) if r != row]
-            holders[key] = [row]
-            if has_surface:
-                bare.clear()
-            else:
-                bare[row] = [key]
-            yield position, "completed", *row
-        else:
-            row = (None, position)
-            holders[key] = [row]
-            if not has_surface:
-                bare[row] = [key]
-            yield position, "created", None, None
+    stored = with_identity(vocab).withColumn("saved", F.nullif("canonical_key", F.lit("")))
+    bare = stored.filter("surface_key = ''").groupBy("reading_key").agg(F.count(F.lit(1)).alias("bare"), F.min("id").alias("x"))
+    bare = bare.withColumn("x", F.when(F.col("bare") == 1, F.col("x")))
+    own = stored.select("reading_key", "id", F.explode(F.array_distinct(F.array("identity_key", F.coalesce("saved", "identity_key")))).alias("identity_key"))
+    named = F.regexp_extract("saved", r"(?s)reading:(.*)$", 1)
+    strays = stored.filter(F.col("saved").isNotNull() & (named != F.col("reading_key"))).select(
+        named.alias("reading_key"), "id", F.col("saved").alias("identity_key"))
+    held = own.unionByName(strays).join(bare, "reading_key", "left")
+    besides = F.when(F.coalesce(F.col("id") != F.col("x"), F.lit(True)), F.col("id"))
+    holders = held.groupBy("reading_key", "identity_key").agg(F.min("id").alias("first"), F.min(besides).alias("other"))
+    plain = holders.filter(F.col("identity_key") == F.concat(F.lit("reading:"), "reading_key")).select(
+        "reading_key", F.col("first").alias("b_all"), F.col("other").alias("b_other"))
+    return bare.join(plain, "reading_key", "full_outer"), holders
+
+
+def _standing(events: DataFrame, run_size: int) -> DataFrame:
+    """For each event (reading_key, position, miss): whether the reading had a miss before, and the first bare request since the last one.
+
+    A miss is a request with a surface that no row holds.  What a run of requests does to the row that the next miss completes
+    is a small map: with a miss in it, the first bare request after its last miss; without one, what was there
+    before, or else its first bare request.  So runs are summarised on their own, carried over, and completed inside.
+    """
+    miss, at = F.col("miss"), F.col("position")
+    run = ["reading_key", "run"]
+    rows = events.withColumn("run", F.floor(at / run_size)).withColumn("part", F.count(F.when(miss, 1)).over(
+        Window.partitionBy(*run).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("since", F.min(F.when(~miss, at)).over(
+        Window.partitionBy(*run, "part").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)))
+    # the first bare request of a run's last part is what the run leaves, if that part comes after its last miss
+    ends = rows.groupBy(*run).agg(
+        F.count_if(miss).alias("misses"), F.max(F.when(~miss, F.struct("part", (-at).alias("back")))).alias("bare"))
+    left = ends.select(*run, "misses", F.when(F.col("bare.part") == F.col("misses"), -F.col("bare.back")).alias("left"))
+    runs = Window.partitionBy("reading_key").orderBy("run")
+    upto = (Window.unboundedPreceding, 0)
+    carried = left.withColumn("stretch", F.count_if(F.col("misses") > 0).over(runs.rowsBetween(*upto)))
+    carried = carried.withColumn("open", F.min("left").over(Window.partitionBy("reading_key", "stretch").orderBy("run").rowsBetween(*upto)))
+    entries = carried.select(
+        *run, F.lag("open").over(runs).alias("_open"), (F.coalesce(F.lag("stretch").over(runs), F.lit(0)) > 0).alias("_missed"))
+    fresh = F.col("part") == 0
+    return rows.join(entries, run).select(
+        "position", (~fresh | F.col("_missed")).alias("missed"),
+        F.when(fresh, F.coalesce("_open", "since")).otherwise(F.col("since")).alias("since"))
+
+
+def _judge_requests(turns: DataFrame, vocab: DataFrame, run_size: int) -> DataFrame:
+    """position, outcome, existing (id of the row found), made (position of the request that made it).
+
+    ``turns``: position, reading_key, identity_key, surfaced; of requests with a surface, the first of each key.  Such a request
+    finds a stored row, or it is a miss.  A reading with several rows without a surface, or with other holders of its bare key, answers alike
+    all the time.  Otherwise a bare request leaves one row that the next miss completes: the row's stored one (x) up to the
+    first miss, then what ``_standing`` says.
+    """
+    readings, holders = _key_holders(vocab)
+    known = turns.join(readings, "reading_key", "left").join(holders, ["reading_key", "identity_key"], "left")
+    surfaced, one = F.col("surfaced"), F.col("x").isNotNull()
+    first_miss = known.filter(surfaced & one & F.col("first").isNull()).groupBy("reading_key").agg(F.min("position").alias("p0"))
+    known = known.join(first_miss, "reading_key", "left")
+    freed = one & F.coalesce(F.col("position") > F.col("p0"), F.lit(False))  # x has its surface, and its old keys are free
+    holder = F.when(freed, F.col("other")).otherwise(F.col("first"))
+    many = F.coalesce(F.col("bare") >= 2, F.lit(False))
+    steady = many | (~one & F.col("b_all").isNotNull()) | (freed & F.col("b_other").isNotNull())
+    known = cut_lineage(known.select(
+        "position", "reading_key", "surfaced", "x", holder.alias("holder"), steady.alias("steady"),
+        (F.col("position") == F.col("p0")).alias("takes_x"), (surfaced & holder.isNull()).alias("miss")))
+    alternating = known.filter(~F.col("steady") & (F.col("miss") | ~F.col("surfaced"))).select("reading_key", "position", "miss")
+    judged = known.join(_standing(alternating, run_size), "position", "left")
+    stored_one = F.col("x").isNotNull() & ~F.coalesce("missed", F.lit(False))
+    standing = stored_one | F.col("since").isNotNull()
+    held = F.col("holder").isNotNull()
+    outcome = (
+        F.when(F.col("reading_key") == "", "invalid")
+        .when(held & (F.col("surfaced") | F.col("steady") | stored_one), "existing")
+        .when(F.coalesce("takes_x", F.lit(False)), "completed").when(F.col("steady"), "created")
+        .when(standing, F.when(F.col("miss"), "completed").otherwise("existing")).otherwise("created")
+    )
+    none = F.lit(None)
+    judged = judged.withColumn("outcome", outcome)
+    by_made = F.col("outcome").isin("existing", "completed") & ~F.col("steady") & F.col("since").isNotNull() & ~stored_one & (F.col("miss") | ~F.col("surfaced"))
+    id_ = F.when(by_made, none).when(F.col("outcome") == "existing", F.col("holder")).when(F.col("outcome") == "completed", F.col("x"))
+    return judged.select("position", "outcome", id_.alias("existing"), F.when(by_made, F.col("since")).alias("made"))
 
 
 def add_words(
-    requests: DataFrame, vocab: DataFrame, now: str = "2024-01-01 00:00:00", new_id: Column | None = None
+    requests: DataFrame, vocab: DataFrame, now: str = "2024-01-01 00:00:00", new_id: Column | None = None,
+    run_size: int = RUN_REQUESTS,
 ) -> tuple[DataFrame, DataFrame]:
     """Outcome of each request against the words that stand when its turn comes, and the next vocabulary.
 
@@ -127,34 +178,18 @@ def add_words(
     ``invalid`` without a reading.  ``existing_id`` is null for rows made by these requests.  A
     created word gets its start row of progress from ``learning.ensure_progress``.
 
-    Requests of a reading depend on each other only, so they stream by reading; of requests with
-    one surface only the first of a key is asked, the others follow from it.
+    Requests of a reading depend on each other only; of requests with one surface only the first of a key is
+    asked, the others follow from it.  A reading's requests are judged in runs of ``run_size`` positions by many tasks.
     """
-    stored = with_identity(vocab)
-    saved = F.nullif("canonical_key", F.lit(""))
     asked = requests.withColumns({
         "reading_key": reading_key(F.coalesce("kana", F.lit(""))), "surface": norm_surface("kanji"),
         "surface_key": surface_key("kanji"),
     }).withColumn("identity_key", join_keys(F.col("surface_key"), F.col("reading_key")))
     surfaced = F.col("surface_key") != ""
-    none = F.lit(None)
-    rows = stored.select(
-        "reading_key", F.lit(True).alias("stored"), "id", none.cast("long").alias("position"),
-        "identity_key", saved.alias("saved"), (F.col("surface_key") != "").alias("has_surface"))
-    # a saved key may name another reading than the row has
-    named = F.regexp_extract(saved, r"(?s)reading:(.*)$", 1)
-    strays = stored.filter(saved.isNotNull() & (named != F.col("reading_key"))).select(
-        named.alias("reading_key"), F.lit(True).alias("stored"), "id", none.cast("long").alias("position"),
-        saved.alias("identity_key"), none.cast("string").alias("saved"), F.lit(True).alias("has_surface"))
     first = asked.groupBy("identity_key").agg(F.min("position").alias("_first"))
     leading = asked.join(first, "identity_key").filter(~surfaced | (F.col("position") == F.col("_first")))
-    turns = leading.select(
-        "reading_key", F.lit(False).alias("stored"), none.cast(vocab.schema["id"].dataType).alias("id"),
-        F.col("position").cast("long").alias("position"), "identity_key", none.cast("string").alias("saved"), surfaced.alias("has_surface"))
-    outcomes = fold_sorted(
-        rows.unionByName(strays).unionByName(turns).select(
-            "reading_key", "stored", "id", "position", "identity_key", "saved", "has_surface"),
-        ["reading_key"], [F.col("stored").desc(), "id", "position"], _add_in_order, _OUTCOMES)
+    turns = leading.select(F.col("position").cast("long").alias("position"), "reading_key", "identity_key", surfaced.alias("surfaced"))
+    outcomes = cut_lineage(_judge_requests(turns, vocab, run_size))
     # what a later request of a surfaced key finds is the row that the first one found or made
     led = outcomes.withColumnsRenamed({"position": "_first", "outcome": "_outcome"})
     judged = asked.join(first, "identity_key").withColumn(

@@ -20,9 +20,6 @@ def vocab(spark, rows):
     return spark.createDataFrame(full, VOCAB)
 
 
-@pytest.mark.parametrize("grades,state", [
-    ([5], (2.6, 1, 1, "reviewing")), ([5, 5], (2.7, 6, 2, "reviewing")), ([5, 5, 5], (2.8, 16, 3, "reviewing")),
-    ([4, 4, 4, 4], (2.5, 38, 4, "mastered")), ([0], (1.7, 0, 0, "learning")), ([0, 0], (1.3, 0, 0, "learning"))])
 STORED = "user_id long, vocab_id long, ease_factor double, interval int, repetitions int, status string, next_review_date timestamp"
 
 
@@ -62,6 +59,9 @@ def test_rate_cards_matches_steps_from_any_state(spark):
     assert {r.reason: r["count"] for r in rejects.groupBy("reason").count().collect()} == rejected
 
 
+@pytest.mark.parametrize("grades,state", [
+    ([5], (2.6, 1, 1, "reviewing")), ([5, 5], (2.7, 6, 2, "reviewing")), ([5, 5, 5], (2.8, 16, 3, "reviewing")),
+    ([4, 4, 4, 4], (2.5, 38, 4, "mastered")), ([0], (1.7, 0, 0, "learning")), ([0, 0], (1.3, 0, 0, "learning"))])
 def test_sm2_step(grades, state):
     ease, interval, reps, status = learning.START_EASE, 0, 0, "learning"
     for g in grades:
@@ -273,3 +273,28 @@ def test_add_words_in_turn(spark, seed):
     progress = learning.ensure_progress(grown, spark.createDataFrame(
         [], "user_id long, vocab_id long, ease_factor double, interval int, repetitions int, status string, next_review_date timestamp"), "2024-01-05 00:00:00")
     assert progress.count() == len(rows)
+
+
+@pytest.mark.parametrize("run_size,seed", [(1, 1), (3, 2), (7, 3), (16384, 4)])
+def test_add_words_with_a_hot_reading_and_stale_keys(spark, run_size, seed):
+    """Half of the requests have one reading, many of them without a surface; saved keys differ from the computed ones."""
+    rng = random.Random(seed)
+    surface = lambda n: None if rng.random() < 0.45 else f"S{rng.randrange(n)}"
+    readings = ["hot", *"abcdefgh"]
+    stored = []
+    for i in range(1, 16):
+        r, s = readings[i % 9], surface(4) if i % 3 else None
+        stored.append((i, rng.choice([None, None, plain.key(s, r), plain.key(surface(4), r)]), s, r))
+    if seed % 2:
+        stored = [x for x in stored if x[3] != "hot"]
+    requests = [(i * 3, surface(60), "hot" if rng.random() < 0.5 else rng.choice(readings)) for i in range(160)]
+    v = vocab(spark, [(i, s, r, "m", "N5", 1) for i, _, s, r in stored])
+    keys = spark.createDataFrame([(i, k) for i, k, *_ in stored], "id long, k string")
+    v = v.join(keys, "id").withColumn("canonical_key", F.col("k")).select(*v.columns)
+    asked = spark.createDataFrame(requests, "position long, kanji string, kana string").withColumns(
+        {"burmese_meaning": F.lit("m"), "jlpt_level": F.lit("N5")})
+    out, grown = gloss.add_words(asked.repartition(3), v, new_id=F.lit(1000) + F.col("position"), run_size=run_size)
+    outcomes, rows = plain_add(stored, requests)
+    assert {r.position: (r.outcome, r.existing_id) for r in out.collect()} == outcomes
+    assert {o for o, _ in outcomes.values()} == {"existing", "completed", "created"}
+    assert {r.id: r.kanji for r in grown.collect()} == {i: k for i, (_, k) in rows.items()}
