@@ -127,42 +127,66 @@ def review_score(distance: Column, similarity: Column) -> Column:
     return F.round(F.lit(SURFACE_WEIGHT) + agree + F.lit(MEANING_WEIGHT) * similarity, 3)
 
 
-def fuzzy_candidates(incoming: DataFrame, vocab: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Best review candidate of each distinct word triple: highest score, then lowest id.
+def _met_lists(incoming: DataFrame, vocab: DataFrame, chunk: int) -> DataFrame:
+    """Words (triple, grams) with each list of stored rows (``held``) that may have a row near them.
 
-    Stored rows of a block (surface and deletion variant) travel as lists of about ``chunk``
-    rows, dealt by a hash; a word meets a list and keeps its best there, so what is joined grows
-    with words and lists and not with pairs, and a hot block is spread over its lists.
+    A block is a surface and a deletion variant of the reading.  The rows of a block of at most ``chunk`` are one list.  In a
+    larger one only rows that share a rare token of the meaning can reach the least similarity (``_rare_tokens``),
+    so there a row is in the list of each of its rare tokens, a word meets the lists of its own ones, and all others are
+    skipped.  Lists are dealt into parts of about ``chunk`` by a hash, so a hot block is spread over many tasks.
     """
-    keys = ["surface_key", "reading_key", "meaning_key"]
+    keys, block = ["surface_key", "reading_key", "meaning_key"], ["surface_key", "variant"]
     words = incoming.filter((F.col("surface_key") != "") & (F.col("meaning_key") != "")).select(*keys).distinct()
     rows = (
         vocab.filter((F.col("surface_key") != "") & (F.col("meaning_key") != ""))
         .groupBy(*keys).agg(F.min("id").alias("ex_id"))
     )
-    block = ["surface_key", "variant"]
-    asked = _variants(words.withColumn("grams", key_bigrams("meaning_key"))).drop("variants")
-    held = _variants(rows.withColumn("grams", key_bigrams("meaning_key")))
-    sizes = held.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_lists"))
+    asked, held = (cut_lineage(_variants(df.withColumn("grams", key_bigrams("meaning_key"))).drop("variants")) for df in (words, rows))
+    hot = cut_lineage(held.groupBy(*block).count().filter(F.col("count") > chunk).select(*block))
+    in_hot = [df.join(hot, block, "left_semi") for df in (asked, held)]
+    frequency = in_hot[1].select(*keys, F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def listed(side: DataFrame, hot_side: DataFrame) -> DataFrame:
+        tokens = _rare_tokens(hot_side.select(*keys, "grams").distinct(), frequency, keys).select(*keys, F.explode("tokens").alias("token"))
+        return side.join(hot, block, "left_anti").withColumn("token", F.lit("")).unionByName(hot_side.join(tokens, keys))
+
+    asked, held = listed(asked, in_hot[0]), listed(held, in_hot[1])
+    by = [*block, "token"]
+    sizes = held.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_lists"))
     lists = (
-        held.join(sizes, block).groupBy(*block, F.expr("pmod(xxhash64(ex_id), _lists)").alias("_list"))
+        held.join(sizes, by).groupBy(*by, F.expr("pmod(xxhash64(ex_id), _lists)").alias("_list"))
         .agg(F.collect_list(F.struct("ex_id", F.col("reading_key").alias("r"), F.col("meaning_key").alias("m"), "grams")).alias("held"))
     )
+    return asked.join(lists, by).select(*keys, "grams", "held")
+
+
+def fuzzy_candidates(incoming: DataFrame, vocab: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Best review candidate of each distinct word triple: highest score, then lowest id.
+
+    A word keeps its best of each list it meets, so what is joined grows with words and lists and not with pairs.  Within a
+    list a row whose reading is further off, or whose meaning is too short or too long, is passed over unmeasured.
+    """
+    keys = ["surface_key", "reading_key", "meaning_key"]
 
     def judged(x: Column) -> Column:
-        near = F.struct(
-            F.levenshtein("reading_key", x["r"], 1).alias("distance"),
-            key_similarity(F.col("meaning_key"), x["m"], F.col("grams"), x["grams"]).alias("similarity"))
+        distance = F.levenshtein("reading_key", x["r"], 1)
+        mine, its = F.size("grams"), F.size(x["grams"])
+        possible = (F.least(mine, its) >= F.greatest(mine, its) * F.lit(MIN_SIMILARITY) - F.lit(1e-9)) | (F.col("meaning_key") == x["m"])
+
+        def scored(d: Column) -> Column:
+            def ranked(n: Column) -> Column:
+                score = review_score(d, n)
+                return F.when(n >= MIN_SIMILARITY, F.struct(
+                    (-score).alias("order"), x["ex_id"].alias("ex_id"), x["r"].alias("ex_reading"),
+                    d.alias("distance"), n.alias("similarity"), score.alias("score")))
 
-        def scored(n: Column) -> Column:
-            score = review_score(n["distance"], n["similarity"])
-            return F.when((n["distance"] >= 0) & (n["similarity"] >= MIN_SIMILARITY), F.struct(
-                (-score).alias("order"), x["ex_id"].alias("ex_id"), x["r"].alias("ex_reading"),
-                n["distance"].alias("distance"), n["similarity"].alias("similarity"), score.alias("score")))
+            near = let(key_similarity(F.col("meaning_key"), x["m"], F.col("grams"), x["grams"]), ranked)
+            return F.when((d >= 0) & possible, near)
 
-        return let(near, scored)
+        return let(distance, scored)
 
-    best = asked.join(lists, block).select(*keys, F.array_min(F.transform("held", judged)).alias("best")).filter("best is not null")
+    met = _met_lists(incoming, vocab, chunk)
+    best = met.select(*keys, F.array_min(F.transform("held", judged)).alias("best")).filter("best is not null")
     top = best.groupBy(*keys).agg(F.min("best").alias("best"))
     return top.select(*keys, F.struct(*[f"best.{c}" for c in ("ex_id", "ex_reading", "distance", "similarity", "score")]).alias("fuzzy"))
 

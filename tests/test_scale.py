@@ -12,7 +12,10 @@ from lexiloom.operators import collisions, gloss, learning, matching, metrics, o
 from lexiloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-EAGER = {"ingest_decisions", "ingest_counts", "stream_sm2", "stream_study_log", "stream_corrections", "stream_ingest"}
+EAGER = {
+    "ingest_decisions", "ingest_counts", "stream_sm2", "stream_study_log", "stream_corrections", "stream_ingest",
+    "stream_rate_cards", "stream_ordered_corrections", "stream_ingest_once", "report_sink", "review_outcomes", "review_decisions", "review_chains",
+}
 
 
 def plan(df):
@@ -55,6 +58,25 @@ def test_hot_block_is_split_exactly(spark):
             assert got[i] == plain.decide(dict(kanji=kanji, kana=kana, burmese_meaning=meaning), rows)
 
 
+def test_hot_block_skips_most_of_its_rows(spark):
+    """One surface and reading for all: a word is measured against the rows that share a rare token, not against the block."""
+    import random
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(8, 30)))
+    stored = [text() for _ in range(3000)]
+    asked = [m if rng.random() < 0.2 else m[: len(m) // 2] + text()[:4] if rng.random() < 0.5 else text() for m in rng.sample(stored, 300)]
+    v = spark.createDataFrame([("hot", "reading", m, i) for i, m in enumerate(stored)], "surface_key string, reading_key string, meaning_key string, id long")
+    w = spark.createDataFrame([("hot", "readingx", m) for m in asked], "surface_key string, reading_key string, meaning_key string")
+    measured = lambda chunk: matching._met_lists(w, v, chunk).agg(F.sum(F.size("held"))).first()[0]
+    every = len(set(asked)) * len(set(stored))
+    assert measured(10**9) == every
+    assert measured(64) < every / 4
+    best = [{r.meaning_key: r.fuzzy for r in matching.fuzzy_candidates(w, v, chunk).collect()} for chunk in (64, 10**9)]
+    assert best[0] == best[1] and len(best[0]) > 60
+
+
 @pytest.mark.parametrize("same_time", [True, False])
 def test_hot_identity_is_ranked_over_many_buckets(spark, same_time):
     n = 400_000
