@@ -120,6 +120,20 @@ def search_vocabulary(spark, sf):
     return v.plain(a.unionByName(b).unionByName(c))
 
 
+def search_many(spark, sf):
+    """A search per supplier, all at once: brands, files, pieces over a space, single letters, absent texts and filters alone."""
+    k = F.col("s_suppkey")
+    said = F.array(F.concat(F.lit(" Brand#"), k % 25), F.concat(F.lit("FILE"), k % 20), F.lit(" "), F.concat(F.lit("d "), F.substring("s_name", 1, 1)),
+                   F.lit("e "), F.concat(F.lit("zz"), k), F.lit("promo"))
+    asked = v.table(spark, sf, "supplier").select(
+        k.alias("search_id"), F.get(said, (k % 7).cast("int")).alias("query"),
+        F.when(k % 3 == 0, "N5").when(k % 3 == 1, "N4").otherwise("all").alias("level"),
+        F.when(k % 4 == 0, "reviewing").when(k % 4 == 1, "learning").alias("status"),
+        F.when(k % 5 == 0, "unassigned").when(k % 5 == 1, (k % 25).cast("string")).otherwise("all").alias("lesson"))
+    rows = libraries.with_status(v.vocab(spark, sf), v.word_progress(spark, sf))
+    return v.plain(libraries.search_many(asked, rows).select("search_id", "id"))
+
+
 def lesson_groups(spark, sf):
     rows = libraries.with_status(v.vocab(spark, sf), v.word_progress(spark, sf))
     return v.plain(libraries.lesson_groups(rows))
@@ -350,6 +364,14 @@ SEARCH = """
     UNION ALL SELECT 'unassigned', id FROM rows WHERE status = 'reviewing' AND lesson IS NULL AND contains(hay, 'file1')
     UNION ALL SELECT 'lesson', id FROM rows WHERE lesson = 7"""
 
+SEARCHES = """
+    WITH rows AS (SELECT v.*, coalesce(status, 'learning') AS status,
+        lower(concat_ws(chr(1), kanji, kana, romaji, burmese_meaning, part_of_speech, pdf_source)) AS hay FROM vocab v LEFT JOIN word_progress ON vocab_id = id),
+    asked AS (SELECT s_suppkey AS k, trim(lower([' Brand#' || s_suppkey % 25, 'FILE' || s_suppkey % 20, ' ', 'd ' || s_name[1], 'e ', 'zz' || s_suppkey, 'promo'][s_suppkey % 7 + 1])) AS q FROM supplier)
+    SELECT k AS search_id, id FROM asked JOIN rows ON contains(hay, q) AND (k % 3 = 2 OR jlpt_level = CASE k % 3 WHEN 0 THEN 'N5' ELSE 'N4' END)
+      AND (k % 4 >= 2 OR status = CASE k % 4 WHEN 0 THEN 'reviewing' ELSE 'learning' END)
+      AND CASE k % 5 WHEN 0 THEN lesson IS NULL WHEN 1 THEN coalesce(lesson = k % 25, FALSE) ELSE TRUE END"""
+
 GROUPS = """
     SELECT lesson, count(*) AS words, count(*) FILTER (status = 'mastered') AS mastered FROM vocab LEFT JOIN word_progress ON vocab_id = id GROUP BY 1"""
 
@@ -431,6 +453,7 @@ QUERIES = {
     "library": (library, v.with_views(LIBRARY, "vocab", "word_progress")),
     "newest_vocabulary": (newest_vocabulary, v.with_views(NEWEST, "vocab")),
     "search_vocabulary": (search_vocabulary, v.with_views(SEARCH, "vocab", "word_progress")),
+    "search_many": (search_many, v.with_views(SEARCHES, "vocab", "word_progress")),
     "lesson_groups": (lesson_groups, v.with_views(GROUPS, "vocab", "word_progress")),
     "lesson_options": (lesson_options, v.with_views(OPTIONS, "vocab")),
     "gloss": (gloss, GLOSS.strip()),

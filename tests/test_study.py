@@ -298,3 +298,22 @@ def test_add_words_with_a_hot_reading_and_stale_keys(spark, run_size, seed):
     assert {r.position: (r.outcome, r.existing_id) for r in out.collect()} == outcomes
     assert {o for o, _ in outcomes.values()} == {"existing", "completed", "created"}
     assert {r.id: r.kanji for r in grown.collect()} == {i: k for i, (_, k) in rows.items()}
+
+
+def test_many_searches_equal_single_ones(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abAB ć") for _ in range(rng.randint(0, 6)))
+    v = vocab(spark, [(i, rng.choice([None, word()]), word(), word(), rng.choice(["N4", "N5"]), rng.choice([None, 1, 2])) for i in range(120)])
+    progress = spark.createDataFrame([(i, "mastered", datetime(2024, 1, 1)) for i in range(0, 120, 3)], "vocab_id long, status string, next_review_date timestamp")
+    rows = library.with_status(v, progress)
+    asked = [(i, rng.choice([word(), " A", "b", "AB ", "zzz", "", None]), rng.choice(["all", "N4", None]), rng.choice(["all", "learning"]), rng.choice(["all", "unassigned", "2"]))
+             for i in range(30)]
+    df = spark.createDataFrame(asked, "search_id long, query string, level string, status string, lesson string")
+    for postings in (None, library.search_postings(rows)):
+        got = {}
+        for r in library.search_many(df, rows, postings).collect():
+            assert r.id not in got.setdefault(r.search_id, set())
+            got[r.search_id].add(r.id)
+        for i, q, level, status, lesson in asked:
+            want = library.search_vocabulary(rows, q or "", level or "all", status, lesson)
+            assert got.get(i, set()) == {r.id for r in want.collect()}, (q, level, status, lesson)
