@@ -5,12 +5,14 @@ earlier lines of the document.  It is still a prefix computation.  For a page, t
 it depends on the state before it only through *which line starts the first new chunk*, so a
 page is a short step function of the characters already used.  Step functions compose, hence
 a document of any length is packed by three passes over narrow rows (lengths only, no text):
-compose the pages of each run, carry the state over the runs, replay the pages of each run.
+compose the pages of each run, carry the state over the runs, replay the pages of each run.  The
+runs of a very long document are joined in a tree, so no task walks all of them.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,7 +26,8 @@ CHUNK_CHARS = 4200
 SENTENCE_MARKS = "[。！？!?、；;:：]"
 KEEP_SHARE = 0.45
 
-RUN_PAGES, PLACE_BITS = 16384, 20
+#: Pages of a run, runs that are joined at a time, and bits for pages that repeat a number.
+RUN_PAGES, RUN_FAN, PLACE_BITS = 16384, 64, 20
 
 
 def line_pieces(line: Column, max_chars: int = CHUNK_CHARS) -> Column:
@@ -118,54 +121,76 @@ _CUTS = pa.schema([
 ])
 
 
+def compose(limits: list, exits: list, total: int, r_limits: list, r_exits: list, r_total: int) -> tuple[list, list, int]:
+    """One step function after another; exits are (used, page, piece)."""
+    moved = []
+    for used, page, piece in exits:
+        b = branch(r_limits, used)
+        moved.append(r_exits[b] if b < len(r_limits) else (used + r_total, page, piece))
+    new_limits, new_exits = [], []
+
+    def add(lim, state):
+        if new_exits and new_exits[-1] == state:
+            new_limits[-1] = lim
+        else:
+            new_limits.append(lim)
+            new_exits.append(state)
+
+    for lim, state in zip(limits, moved):
+        add(lim, state)
+    if not limits or limits[-1] >= 1:
+        for lim, state in zip(r_limits, r_exits):
+            add(lim - total, state)
+            if lim - total < 1:
+                break
+    return new_limits, new_exits, total + r_total
+
+
 def _compose_runs(limit: int):
     """Fold the pages of each run, streamed in order, into one step function."""
 
-    def fold(rows):
-        key, limits, exits, total, lesson = None, [], [], 0, None
+    def steps(rows):
         for doc, run, num, costs, page_lesson in rows:
-            if (doc, run) != key:
-                if key is not None:
-                    yield (*key, limits, [e[0] for e in exits], [e[1] for e in exits], [e[2] for e in exits], total, lesson)
-                key, limits, exits, total, lesson = (doc, run), [], [], 0, None
-            p_limits, p_exits, p_total = page_steps(costs, limit)
-            moved = []
-            for used, page, piece in exits:
-                b = branch(p_limits, used)
-                moved.append((p_exits[b][0], num, p_exits[b][1]) if b < len(p_limits) else (used + p_total, page, piece))
-            new_limits, new_exits = [], []
-            for lim, state in zip(limits, moved):
-                if new_exits and new_exits[-1] == state:
-                    new_limits[-1] = lim
-                else:
-                    new_limits.append(lim)
-                    new_exits.append(state)
-            if not limits or limits[-1] >= 1:
-                for lim, (used, piece) in zip(p_limits, p_exits):
-                    shifted, state = lim - total, (used, num, piece)
-                    if new_exits and new_exits[-1] == state:
-                        new_limits[-1] = shifted
-                    else:
-                        new_limits.append(shifted)
-                        new_exits.append(state)
-                    if shifted < 1:
-                        break
-            limits, exits, total = new_limits, new_exits, total + p_total
-            lesson = page_lesson if page_lesson is not None else lesson
-        if key is not None:
-            yield (*key, limits, [e[0] for e in exits], [e[1] for e in exits], [e[2] for e in exits], total, lesson)
+            limits, exits, total = page_steps(costs, limit)
+            yield doc, run, limits, [(used, num, piece) for used, piece in exits], total, page_lesson
+
+    return lambda rows: _fold_steps(steps(rows))
 
-    return fold
+
+def _compose_groups(rows):
+    """Fold the runs of each group, streamed in order, into one step function."""
+    return _fold_steps(
+        (doc, group, limits, list(zip(used, page, piece)), total, lesson)
+        for doc, group, _, limits, used, page, piece, total, lesson in rows)
+
+
+def _fold_steps(steps):
+    key, step, lesson = None, ([], [], 0), None
+
+    def done():
+        limits, exits, total = step
+        return (*key, limits, *([e[k] for e in exits] for k in range(3)), total, lesson)
+
+    for doc, run, limits, exits, total, own_lesson in steps:
+        if (doc, run) != key:
+            if key is not None:
+                yield done()
+            key, step, lesson = (doc, run), ([], [], 0), None
+        step = compose(*step, limits, exits, total)
+        lesson = own_lesson if own_lesson is not None else lesson
+    if key is not None:
+        yield done()
 
 
 def _enter_runs(limit: int):
-    """Carry the state of each document over its runs, streamed in order."""
+    """Carry the state of each group over its runs, streamed in order; a document's first group starts with nothing open."""
 
     def fold(rows):
         key, state, lesson = None, (limit + 1, None, None), None
-        for doc, run, limits, used, page, piece, total, run_lesson in rows:
-            if doc != key:
-                key, state, lesson = doc, (limit + 1, None, None), None
+        for doc, group, run, limits, used, page, piece, total, run_lesson, e_used, e_page, e_piece, e_lesson in rows:
+            if (doc, group) != key:
+                key, lesson = (doc, group), e_lesson
+                state = (limit + 1 if e_used is None else e_used, e_page, e_piece)
             yield (doc, run, *state, lesson)
             b = branch(limits, state[0])
             state = (used[b], page[b], piece[b]) if b < len(limits) else (state[0] + total, state[1], state[2])
@@ -174,6 +199,33 @@ def _enter_runs(limit: int):
     return fold
 
 
+def _entries(runs: DataFrame, deepest: int, limit: int, fan: int) -> DataFrame:
+    """State in which every run is entered.
+
+    A tree over the runs of a document: ``fan`` of them make a group with one step function, and so on until the document has no more
+    than ``fan``; states are then carried down from group to group.  A task folds ``fan`` step functions at a time,
+    however long the document is.
+    """
+    group = lambda df: df.select("doc", F.floor(F.col("run") / fan).alias("group"), *[c for c in df.columns if c != "doc"])
+    levels = [runs]
+    while deepest > fan:
+        levels[-1] = cut_lineage(levels[-1])
+        made = fold_sorted(group(levels[-1]), ["doc", "group"], ["run"], _compose_groups, _RUN)
+        levels.append(made)
+        deepest = -(-(deepest - 1) // fan) + 1  # groups that a stretch of runs may touch
+    state = {"used": "int", "page": "long", "piece": "int", "lesson": "int"}
+    entry = None
+    for level in reversed(levels):
+        if entry is None:
+            given = level.select("doc", F.lit(0).cast("long").alias("group"), *[c for c in level.columns if c != "doc"])
+            given = given.select("*", *[F.lit(None).cast(t).alias(f"e_{c}") for c, t in state.items()])
+        else:
+            given = join_same(group(level), entry.withColumnsRenamed({"run": "group", **{c: f"e_{c}" for c in state}}), ["doc", "group"])
+        columns = ["doc", "group", "run", "limits", "used", "page", "piece", "total", "lesson", *[f"e_{c}" for c in state]]
+        entry = fold_sorted(given.select(*columns), ["doc", "group"], ["run"], _enter_runs(limit), _ENTRY)
+    return entry
+
+
 def _cut_pages(limit: int):
     """Replay the pages of each run from its entry state and list where chunks start."""
 
@@ -191,11 +243,12 @@ def _cut_pages(limit: int):
     return fold
 
 
-def pages_to_chunks(pages: DataFrame, max_chars: int = CHUNK_CHARS, run_pages: int = RUN_PAGES) -> DataFrame:
+def pages_to_chunks(pages: DataFrame, max_chars: int = CHUNK_CHARS, run_pages: int = RUN_PAGES, fan: int = RUN_FAN) -> DataFrame:
     """Chunks of at most ``max_chars`` characters per document of a page table (doc, num, text).
 
     Pages that repeat a number follow each other by their text; a page without a number counts as
     page 0, and pages without a document belong together.
+    A document is cut into runs of ``run_pages`` pages, ``fan`` of which are joined at a time.
     Columns: doc, page_start, piece_start (position on the first page), page_end, lesson, text.
     Each text opens with its page range and lesson.
     """
@@ -214,7 +267,8 @@ def pages_to_chunks(pages: DataFrame, max_chars: int = CHUNK_CHARS, run_pages: i
         F.transform("pieces", lambda p: F.length(p) + 1).alias("costs"), "lesson",
     )
     runs = fold_sorted(lengths, ["doc", "run"], ["num"], _compose_runs(max_chars), _RUN)
-    entries = fold_sorted(runs, ["doc"], ["run"], _enter_runs(max_chars), _ENTRY).withColumnsRenamed(
+    stretch = lengths.groupBy("doc").agg((F.max("run") - F.min("run") + 1).alias("n")).agg(F.max("n")).first()[0]
+    entries = _entries(runs, stretch or 0, max_chars, fan).withColumnsRenamed(
         {"used": "e_used", "page": "e_page", "piece": "e_piece", "lesson": "e_lesson"})
     cuts = fold_sorted(
         join_same(lengths, entries, ["doc", "run"]).select(*lengths.columns, "e_used", "e_page", "e_piece", "e_lesson"),

@@ -57,8 +57,8 @@ def test_fixture_chunks(spark):
     assert all("PDF_PAGE" in r.text for r in rows)
 
 
-@pytest.mark.parametrize("limit,run_pages", [(30, 3), (80, 1), (500, 7), (25, 16384)])
-def test_chunks_match_sequential_packing(spark, limit, run_pages):
+@pytest.mark.parametrize("limit,run_pages,fan", [(30, 3, 64), (80, 1, 2), (500, 7, 3), (25, 16384, 64), (60, 1, 3)])
+def test_chunks_match_sequential_packing(spark, limit, run_pages, fan):
     rng = random.Random(limit)
     rows, expected = [], []
     for doc, n in (("hot", 60), ("b", 9), ("c", 1), ("empty", 2)):
@@ -72,7 +72,7 @@ def test_chunks_match_sequential_packing(spark, limit, run_pages):
         expected += [(doc, *c) for c in pack(pages, limit)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc string, num long, text string").repartition(4)
-    got = chunking.pages_to_chunks(df, limit, run_pages).orderBy("doc", "page_start", "piece_start").collect()
+    got = chunking.pages_to_chunks(df, limit, run_pages, fan).orderBy("doc", "page_start", "piece_start").collect()
     assert [(r.doc, r.page_start, r.page_end, r.lesson, r.text) for r in got] == sorted(expected, key=lambda e: e[0])
 
 
