@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..operators.ordered import dedupe_first
 from ..session import shared_folder
 
 
@@ -68,6 +69,13 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id: the one of smallest hash of its text, then smallest text, then the first by its other columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.xxhash64("text"), F.col("text"), *([F.to_json(F.struct(*others))] if others else [])]
+    return dedupe_first(docs, ["doc_id"], order)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

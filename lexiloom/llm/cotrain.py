@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_schema, small_batches
+from .common import arrow_schema, one_row_each, small_batches
 
 #: Bounds of what the fit sees: labelled documents and unlabelled ones, whatever their length.
 LABELLED, POOL = 10_000, 5_000
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, good: Column | None = None, labelled
         ids.filter("y is null").orderBy(*order).limit(pool))
     picked = [(r.doc_id, r.y) for r in chosen.collect()]  # bounded by both limits
     small = docs.sparkSession.createDataFrame(picked, "doc_id long, y double")
-    sample = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"])
+    sample = one_row_each(docs.select("doc_id", "text", "lang", "source").join(F.broadcast(small), "doc_id"))
     rows = views(
         sample, ["doc_id", "y"], "stats binary, words binary, places binary",
         lambda s, k, p: [
@@ -249,8 +249,11 @@ def fit(docs: DataFrame, labels: DataFrame, good: Column | None = None, labelled
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with all its columns and quality_text, quality_meta, quality_score and quality_keep (score >= 0.5).
 
-    Null text is empty; null source and language are a value of their own; an empty table gives no rows.
+    Null text is empty; null source and language are a value of their own; an empty table gives no rows.  Columns of
+    ``docs`` with these four names are replaced.
     """
+    given = "quality_text double, quality_meta double, quality_score double, quality_keep boolean"
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {f.split()[0] for f in given.split(", ")}])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     places = {int(w) for w in model.words}
 
@@ -260,7 +263,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         t, q, both = m.scores(stats, held, meta)
         return [t, q, both, both >= 0.5 if m.text is not None else np.ones(len(both), bool)]
 
-    return views(docs, docs.columns, "quality_text double, quality_meta double, quality_score double, quality_keep boolean", finish)
+    return views(docs, docs.columns, given, finish)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, materialize, texts
+from .common import map_rows, materialize, one_row_each, texts
 from .components import components, roots
 
 #: (first bit, bits, radius)
@@ -167,8 +167,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, segments
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, with all their columns, of the smallest doc_id of each component, one row each.
 
-    Rows without a doc_id stay.
+    Of rows that share a doc_id ``common.one_row_each`` says which stays; rows without one stay all.
     """
     first = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = one_row_each(docs.join(first, "doc_id", "left_semi"))
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -176,3 +176,22 @@ def test_embedding_links(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum(), want[i], want[i] == i), i
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i, _ in ODD if i is not None)
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_the_row_that_stays_of_a_repeated_id_is_defined(spark):
+    """Whatever the partitioning, and for equal texts by the other columns."""
+    from lexiloom.llm.common import one_row_each
+
+    rows = [(1, t, "en", n) for t in ("b", "a", "c", None) for n in range(3)] + [(2, "same", lang, 0) for lang in ("x", "a", "m")] + [(3, None, None, None)]
+    rng = random.Random(2)
+    seen = set()
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string, lang string, n_chars int").repartition(parts)
+        for keep in (one_row_each, near_copies.keep_first, simhash.keep_first):
+            out = sorted(map(tuple, keep(df).collect()), key=repr)
+            assert len({r[0] for r in out}) == len(out)
+            if keep is one_row_each:
+                seen.add(tuple(out))
+            else:
+                assert set(out) <= set(next(iter(seen)))
+    assert len(seen) == 1 and (2, "same", "a", 0) in next(iter(seen))

@@ -109,6 +109,16 @@ def test_every_context_is_a_distribution(spark):
         assert abs(tree.chance(np.full(len(symbols), c), symbols, 2).sum() - 1) < 1e-9
 
 
+def test_trees_with_the_same_frequent_words_keep_their_own_symbols():
+    """Workers hold the words of several models: only the same words share them."""
+    import pyarrow as pa
+
+    common = [f"w{i}" for i in range(1000)]
+    one, other = (suffix_tree.Tree([*common, *rest], np.zeros(1), []) for rest in (["x", "y"], ["y", "x"]))
+    assert one.symbols(pa.array(["x", "y"])).tolist() == [1000, 1001]
+    assert other.symbols(pa.array(["x", "y"])).tolist() == [1001, 1000]
+
+
 def test_scores_of_nothing(spark):
     assert suffix_tree.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = spark.createDataFrame([(1, None)], "doc_id long, text string")
@@ -150,6 +160,13 @@ def test_classifier_finds_held_out_documents(spark):
     assert all(0 <= r.quality_score <= 1 for r in rows)
 
 
+def test_classifier_replaces_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3, "x", 1)], "doc_id long, text string, lang string, source string, n_chars int, quality_text string, Quality_Keep int")
+    out = cotrain.classify(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "quality_text", "quality_meta", "quality_score", "quality_keep"]
+    assert out.first().quality_keep is True
+
+
 def test_classifier_without_two_kinds_of_labels_keeps_all(spark):
     docs, _ = labelled(20)
     df = spark.createDataFrame(docs, DOCUMENT)
