@@ -7,6 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.temporal import day, in_range
+from ..session import cut_lineage
 from .ordered import top_k
 
 # Newest batches a summary looks at, default and largest history page.
@@ -79,23 +80,32 @@ def batch_summary(
     )
 
 
-#: Sixteen bits at a time, highest first, of a number shifted to be unsigned.
-DIGITS = (48, 32, 16, 0)
+#: Bits of a number that one histogram tells apart, at most.
+DIGIT_BITS = 16
 
 
 def rank_percentiles(df: DataFrame, col: str, shares: dict[str, float] | None = None) -> DataFrame:
     """Elements of the ascending order at floor(share * n), one column per share, over all rows.
 
-    For whole numbers of up to 64 bits, found 16 bits at a time: four histograms of at most
-    65,536 counts each stand in for a sort of the whole column.  Other types are refused.
+    For whole numbers of up to 64 bits.  Bits that the smallest and the largest number share are the same in all of them; the
+    others are found up to 16 at a time, by histograms of at most 65,536 counts each, in place of a sort of the whole
+    column.  The column alone is written once and read by these passes.  Other types are refused.
     """
     if df.schema[col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{col} does not hold whole numbers")
     shares = shares or {"median": 0.5, "p95": 0.95}
-    names = [f"d{i}" for i in range(len(DIGITS))]
-    value = F.col(col).cast("long").bitwiseXOR(F.lit(-(2**63)))  # orders like an unsigned number
-    values = df.filter(F.col(col).isNotNull()).select(*[
-        F.shiftrightunsigned(value, bits).bitwiseAND(F.lit(65535)).cast("int").alias(n) for n, bits in zip(names, DIGITS)])
+    sign = F.lit(-(2**63))
+    value = F.col(col).cast("long").bitwiseXOR(sign)  # orders like an unsigned number
+    values = cut_lineage(df.filter(F.col(col).isNotNull()).select(value.alias("v")))
+    ends = values.agg(F.min(F.col("v").bitwiseXOR(sign)).alias("low"), F.max(F.col("v").bitwiseXOR(sign)).alias("high")).first()
+    low, high = ((x or 0) + 2**63 for x in ends)
+    differ = (low ^ high).bit_length()
+    passes = max(1, -(-differ // DIGIT_BITS))
+    width = max(1, -(-differ // passes))
+    offsets = [width * k for k in reversed(range(passes))]
+    names = [f"d{i}" for i in range(passes)]
+    values = values.select(*[
+        F.shiftrightunsigned("v", bits).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias(n) for n, bits in zip(names, offsets)])
     index = lambda s: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(s)).cast("long"))
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), index(s).alias("rest")) for n, s in shares.items()])
     ladder = values.groupBy("d0").agg(F.count(F.lit(1)).alias("n")).agg(
@@ -111,10 +121,12 @@ def rank_percentiles(df: DataFrame, col: str, shares: dict[str, float] | None =
             F.array_sort(F.collect_list(F.struct(digit, "n"))).alias("steps"))  # at most 65,536
         targets = steps.withColumn("hit", _step_at("steps", digit, "rest")).select(
             "name", F.col("hit.rest").alias("rest"), *names[:i], F.col("hit.key").cast("int").alias(digit))
-    exact = F.lit(0).cast("long")
-    for digit, bits in zip(names, DIGITS):
+    known = width * passes
+    shared = (low >> known) << known
+    exact = F.lit(shared - 2**64 if shared >= 2**63 else shared).cast("long")
+    for digit, bits in zip(names, offsets):
         exact = exact.bitwiseOR(F.shiftleft(F.col(digit).cast("long"), bits))
-    exact = targets.select("name", exact.bitwiseXOR(F.lit(-(2**63))).alias("value"))
+    exact = targets.select("name", exact.bitwiseXOR(sign).alias("value"))
     return exact.agg(*[
         F.coalesce(F.max(F.when(F.col("name") == n, F.col("value"))), F.lit(0)).alias(n) for n in shares])
 
