@@ -195,3 +195,31 @@ def test_the_row_that_stays_of_a_repeated_id_is_defined(spark):
             else:
                 assert set(out) <= set(next(iter(seen)))
     assert len(seen) == 1 and (2, "same", "a", 0) in next(iter(seen))
+
+
+def test_lone_pairs_beside_a_hot_group_are_linked(spark, monkeypatch):
+    """A third of the vectors are near each other; the audit speaks of the others, and rightly so."""
+    rng = np.random.default_rng(0)
+    n, dim, hot, pairs = 3000, 64, 1000, 150
+    x = rng.standard_normal((n, dim))
+    x[:hot] = x[0] / np.linalg.norm(x[0]) + rng.standard_normal((hot, dim)) * 0.03
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for a in range(hot, hot + 2 * pairs, 2):
+        cos, r = rng.uniform(0.905, 0.96), rng.standard_normal(dim)
+        r -= r @ x[a] * x[a]
+        x[a + 1] = cos * x[a] + np.sqrt(1 - cos * cos) * r / np.linalg.norm(r)
+    told = []
+    plain_audit = embed_dedup.audit
+    monkeypatch.setattr(embed_dedup, "audit", lambda *a: told.append(plain_audit(*a)) or told[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r for r in embed_dedup.near_vectors(df, audited=n).collect()}
+    true = (x @ x.T >= 0.9).sum(1) - 1
+    got = np.array([out[i].n_links for i in range(n)])
+    assert (got[:hot] == true[:hot]).all() and (got <= true).all()
+    share = np.mean([g / t for g, t in zip(got[hot:], true[hot:]) if t])
+    assert share >= 0.95 and abs(told[-1] - share) <= 0.02
+
+
+def test_tables_grow_with_the_hyperplanes():
+    counts = [embed_dedup.tables_for(n, 64, 0.9, 0.03) for n in (64, 10_000, 1_000_000, 100_000_000)]
+    assert [b for b, _ in counts] == [1, 7, 14, 21] and sorted(t for _, t in counts) == [t for _, t in counts]
