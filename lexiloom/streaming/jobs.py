@@ -256,9 +256,13 @@ def stream_ingest(words: DataFrame, read, write, checkpoint: str, **options):
 def ingest_once(store: Snapshots, stream: str, **options) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that ingests each micro-batch of words into ``store``, once however often it is run.
 
-    ``stream`` names the stream whose batch numbers count; the store holds vocabulary and reviews.
+    ``stream`` names the stream whose batch numbers count; the store holds vocabulary and reviews.  A micro-batch without
+    words, as the watermark causes at the end of a run, makes no version.
     """
     def run(words: DataFrame, batch_id: int) -> None:
+        if words.isEmpty():
+            return
+
         def change(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
             result = ingest(words, tables["vocabulary"], tables["reviews"], **options)
             return {"vocabulary": result.vocabulary, "reviews": result.reviews}

@@ -8,6 +8,7 @@ from test_matching import POOL, REVIEWS, VOCAB, WORDS, as_dicts, random_rows, wo
 
 from lexiloom.operators import learning, pages
 from lexiloom.streaming import jobs
+from lexiloom.streaming.snapshots import Snapshots
 
 
 @pytest.fixture
@@ -126,3 +127,51 @@ def test_ingest_stream(spark, tmp_path):
     assert state["v"].filter("id <= 30").count() == sum(k == "new" for k, _, _ in first.values())
     assert state["v"].groupBy("canonical_key").count().filter("count > 1").count() == 0
     assert state["r"].filter(F.col("status") != "pending").count() == 0
+
+
+def tables_of(store):
+    return {n: sorted(map(str, df.collect())) for n, df in store.read().items()}
+
+
+def test_a_repeated_ingest_batch_changes_nothing(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [word_row(i, *w) for i, w in enumerate(random_rows(rng, 40, **POOL))]
+    store = Snapshots(spark, str(tmp_path / "store"))
+    with pytest.raises(LookupError):
+        store.read()
+    for _ in range(2):  # a second start keeps what is there
+        store.start({"vocabulary": spark.createDataFrame([], VOCAB), "reviews": spark.createDataFrame([], REVIEWS)})
+    run = jobs.ingest_once(store, "words")
+    batches = [spark.createDataFrame(rows[:25], WORDS), spark.createDataFrame(rows[25:], WORDS)]
+    run(batches[0], 0)
+    first = tables_of(store)
+    run(batches[0], 0)
+    assert tables_of(store) == first and store.records() == [(0, "start", 0), (1, "words", 0)]
+    # an attempt that was lost before its record: its version does not count and is overwritten
+    batches[0].limit(3).write.parquet(str(tmp_path / "store" / "v=2" / "vocabulary"))
+    assert tables_of(store) == first
+    run(batches[1], 1)
+    second = tables_of(store)
+    run(batches[1], 1)
+    run(batches[0], 0)
+    assert tables_of(store) == second != first
+    # the same batch number of another stream is another batch
+    jobs.ingest_once(store, "more")(batches[0], 0)
+    assert store.records()[-1] == (3, "more", 0)
+    assert len(tables_of(store)["vocabulary"]) == len(second["vocabulary"])
+
+
+def test_words_delivered_twice_are_ingested_once(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(*word_row(i, *w), datetime(2024, 1, 1) + timedelta(minutes=i)) for i, w in enumerate(random_rows(rng, 30, **POOL))]
+    schema = WORDS + ", arrived_at timestamp"
+    results = []
+    for name, parts in (("once", [rows[:20], rows[20:]]), ("twice", [rows[:20], rows[5:15] + rows[20:]])):
+        src, store = tmp_path / name, Snapshots(spark, str(tmp_path / f"{name}-store"))
+        store.start({"vocabulary": spark.createDataFrame([], VOCAB), "reviews": spark.createDataFrame([], REVIEWS)})
+        for part in parts:  # the stream stops and goes on from its checkpoint
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+            jobs.stream_ingest_once(spark.readStream.schema(schema).parquet(str(src)), store, "words", str(tmp_path / f"{name}-cp")).awaitTermination()
+        assert [r[1] for r in store.records()] == ["start", "words", "words"]
+        results.append(tables_of(store))
+    assert results[0] == results[1] and results[0]["vocabulary"]
