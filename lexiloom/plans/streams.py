@@ -13,8 +13,9 @@ from . import resolution, study, views as v, workflow
 
 
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """Stream of a table that is one file or a folder of files; the pattern takes either, a plain path only a folder."""
     schema = v.table(spark, sf, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{table}[.]parquet")
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
