@@ -33,13 +33,16 @@ def _run(df: DataFrame, mode: str) -> DataFrame:
 
 
 def _arrivals(df: DataFrame, group: str) -> DataFrame:
-    """Stream of ``df`` in which rows arrive by ascending ``group`` (a few numbers), over several micro-batches."""
+    """Stream of ``df`` in which rows arrive by ascending ``group`` (a few numbers), over several micro-batches.
+
+    A group is as many files as a micro-batch takes, so their number follows the groups and not the table's size.
+    """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
-    columns = df.drop(group)
+    columns, files = df.drop(group), spark.sparkContext.defaultParallelism
     for (n,) in df.select(group).distinct().orderBy(group).collect():
-        df.filter(F.col(group) == n).drop(group).write.mode("append").parquet(folder)
-    return spark.readStream.schema(columns.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        df.filter(F.col(group) == n).drop(group).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(columns.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _unordered(df: DataFrame, at: str, id_: str, end: dict) -> DataFrame:

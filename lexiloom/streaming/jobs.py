@@ -4,13 +4,17 @@ State processors use the step functions of the batch jobs.  ``stream_sm2`` and `
 sort the ratings or corrections of one micro-batch and apply those of later batches as they arrive.
 ``stream_rate_cards`` and ``stream_ordered_corrections`` start from stored tables and apply events in order of
 their time: an event waits in the state store until the watermark has passed it.
+
+A call of the state store costs about as much as a hundred rows, so cards are not keys of their own: the key is one of
+``CARD_BUCKETS`` hashes, whose cards are packed into one value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import groupby, islice
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,21 +33,51 @@ def use_rocksdb(spark) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Groups that cards are dealt into by a hash; a task holds the cards and new ratings of one of them at a time.
+CARD_BUCKETS = 512
+#: Waiting ratings of a bucket are packed by day.
+SLOT_MS = 86_400_000
+WAITING_CHUNK = 100_000
+
+_CARD = np.dtype([("nobody", "i1"), ("user", "i8"), ("vocab", "i8"), ("ease", "i4"), ("interval", "i8"), ("repetitions", "i8"), ("ratings", "i8")])
+_RATING = np.dtype([("nobody", "i1"), ("user", "i8"), ("vocab", "i8"), ("micros", "i8"), ("at", "i8"), ("grade", "i8")])
+
+
+def _bucket(df: DataFrame) -> DataFrame:
+    """Cards by their longs and bucket; ``nobody`` marks the null learner."""
+    user, card = F.col("user_id").cast("long"), F.col("vocab_id").cast("long")
+    return df.withColumns({
+        "bucket": F.pmod(F.xxhash64(user, card), F.lit(CARD_BUCKETS)), "nobody": user.isNull().cast("int"),
+        "user": F.coalesce(user, F.lit(0).cast("long")), "vocab": card})
+
+
+def _unpack(packed: tuple | None) -> dict[tuple, tuple]:
+    """(nobody, user, vocab) -> (ease, interval, repetitions, ratings)."""
+    return {c[:3]: c[3:] for c in np.frombuffer(packed[0], _CARD).tolist()} if packed else {}
+
+
+def _pack(cards: dict[tuple, tuple]) -> tuple[bytes]:
+    return (np.array([(*k, *c) for k, c in cards.items()], _CARD).tobytes(),)
+
+
 class _Cards(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.card = handle.getValueState("card", "ease int, interval long, repetitions int, ratings long")
+        self.cards = handle.getValueState("cards", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        batch = sorted((r.ts, r.event_id, r.grade) for r in rows)
-        ease, interval, repetitions, ratings = self.card.get() or (START_EASE, 0, 0, 0)
-        status = "learning"
-        for _, _, grade in batch:
-            ease, interval, repetitions, status = sm2_step(grade, ease, interval, repetitions)
-        ratings += len(batch)
-        self.card.update((ease, interval, repetitions, ratings))
-        yield Row(
-            user_id=key[0], vocab_id=key[1], ease_factor=ease / 100, interval=interval, repetitions=repetitions,
-            status=status, rated_at=batch[-1][0], ratings=ratings)
+        cards = _unpack(self.cards.get())
+        # a rating without a time comes first
+        given = sorted(((r.nobody, r.user, r.vocab), r.micros is not None, r.micros or 0, r.event_id is not None, r.event_id, r.grade) for r in rows)
+        for card, ratings in groupby(given, lambda r: r[0]):
+            ease, interval, repetitions, count = cards.get(card, (START_EASE, 0, 0, 0))
+            for _, timed, micros, _, _, grade in ratings:
+                ease, interval, repetitions, status = sm2_step(grade, ease, interval, repetitions)
+                count += 1
+            cards[card] = ease, interval, repetitions, count
+            yield Row(
+                user_id=None if card[0] else card[1], vocab_id=card[2], ease_factor=ease / 100, interval=interval, repetitions=repetitions,
+                status=status, rated_micros=micros if timed else None, ratings=count)
+        self.cards.update(_pack(cards))
 
     def close(self) -> None:
         pass
@@ -51,16 +85,20 @@ class _Cards(StatefulProcessor):
 
 CARD_SCHEMA = (
     "user_id long, vocab_id long, ease_factor double, interval long, repetitions int, status string, "
-    "rated_at timestamp, ratings long"
+    "rated_micros long, ratings long"
 )
 
 
 def stream_sm2(ratings: DataFrame) -> DataFrame:
     """State of each rated card after every micro-batch (update mode)."""
     good, _ = valid_ratings(ratings)
-    states = good.groupBy("user_id", "vocab_id").transformWithState(
+    asked = _bucket(good).select("bucket", "nobody", "user", "vocab", F.unix_micros("ts").alias("micros"), "event_id", "grade")
+    states = asked.groupBy("bucket").transformWithState(
         statefulProcessor=_Cards(), outputStructType=CARD_SCHEMA, outputMode="Update", timeMode="None")
-    return states.withColumn("next_review_date", add_days("rated_at", F.col("interval")))
+    rated = states.withColumn("rated_at", F.timestamp_micros("rated_micros"))
+    return rated.select(
+        "user_id", "vocab_id", "ease_factor", "interval", "repetitions", "status", "rated_at", "ratings",
+        add_days("rated_at", F.col("interval")).alias("next_review_date"))
 
 
 def stream_study_log(ratings: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -149,25 +187,82 @@ class _InTimeOrder(StatefulProcessor):
         pass
 
 
-class _StoredCards(_InTimeOrder):
-    STATE = "ease int, interval long, repetitions int, ratings long"
-    fields = ("micros", "at", "grade")
+class _StoredCards(StatefulProcessor):
+    """Applies the ratings of a bucket's cards in order of (micros, at), each when the watermark has passed its grain of time.
 
-    def begin(self, row: Row) -> tuple:
-        return row.ease, row.interval, row.repetitions, 0
+    Ratings wait in the state store, packed by day; a timer is set for the first grain of a day that ends.  When it fires, all
+    grains that have ended are applied day by day, and each card they touch gives one row.
+    """
 
-    def apply(self, key, state, events) -> Iterator[Row]:
-        card = dict(user_id=key[0], vocab_id=key[1], ease_factor=None, interval=None, repetitions=None, status=None, rated_micros=events[-1][0])
-        if state is None:
-            yield Row(**card, ratings=None, refused=len(events))
+    def __init__(self, grain_ms: int):
+        self.grain = grain_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cards = handle.getValueState("cards", "packed binary")
+        self.waiting = handle.getMapState("waiting", "slot long", "packed binary")
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.cards.update(_pack({tuple(c[:3]): (*c[3:], 0) for c in initialState.cards}))
+
+    def _due(self, micros):
+        return (micros // 1000 // self.grain + 1) * self.grain
+
+    def _hold(self, slot: int, ratings: np.ndarray) -> None:
+        held = self.waiting.getValue((slot,))
+        first = int(self._due(ratings["micros"].min()))
+        if held is None:
+            self.handle.registerTimer(first)
+            self.waiting.updateValue((slot,), (ratings.tobytes(),))
+        else:
+            if first < self._due(np.frombuffer(held[0], _RATING)["micros"].min()):
+                self.handle.registerTimer(first)
+            self.waiting.updateValue((slot,), (bytes(held[0]) + ratings.tobytes(),))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        while chunk := list(islice(rows, WAITING_CHUNK)):
+            ratings = np.array([(r.nobody, r.user, r.vocab, r.micros, r.at, r.grade) for r in chunk], _RATING)
+            slots = ratings["micros"] // (SLOT_MS * 1000)
+            for slot in np.unique(slots).tolist():
+                self._hold(slot, ratings[slots == slot])
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        slots = sorted(s for (s,) in self.waiting.keys() if s * SLOT_MS <= now)
+        if not slots:  # an earlier timer has seen to them
             return
-        ease, interval, repetitions, ratings = state
-        for _, _, grade in events:
-            ease, interval, repetitions, status = sm2_step(grade, ease, interval, repetitions)
-        ratings += len(events)
-        self.state.update((ease, interval, repetitions, ratings))
-        card.update(ease_factor=ease / 100, interval=interval, repetitions=repetitions, status=status)
-        yield Row(**card, ratings=ratings, refused=0)
+        cards, touched, refused = _unpack(self.cards.get()), {}, {}
+        for slot in slots:
+            held = np.frombuffer(self.waiting.getValue((slot,))[0], _RATING)
+            ended = self._due(held["micros"]) <= now
+            if not ended.any():
+                continue
+            self.waiting.removeKey((slot,))
+            if not ended.all():
+                self._hold(slot, held[~ended])
+            ready = held[ended]
+            for nobody, user, vocab, micros, _, grade in ready[np.lexsort((ready["grade"], ready["at"], ready["micros"]))].tolist():
+                card = nobody, user, vocab
+                if card not in cards:
+                    refused[card] = refused.get(card, (0,))[0] + 1, micros
+                    continue
+                ease, interval, repetitions, count = cards[card]
+                ease, interval, repetitions, status = sm2_step(grade, ease, interval, repetitions)
+                cards[card] = ease, interval, repetitions, count + 1
+                touched[card] = status, micros
+        if touched:
+            self.cards.update(_pack(cards))
+        for card, (status, micros) in touched.items():
+            ease, interval, repetitions, count = cards[card]
+            yield Row(user_id=None if card[0] else card[1], vocab_id=card[2], ease_factor=ease / 100, interval=interval,
+                      repetitions=repetitions, status=status, rated_micros=micros, ratings=count, refused=0)
+        for card, (count, micros) in refused.items():
+            yield Row(user_id=None if card[0] else card[1], vocab_id=card[2], ease_factor=None, interval=None,
+                      repetitions=None, status=None, rated_micros=micros, ratings=None, refused=count)
+
+    def close(self) -> None:
+        pass
 
 
 class _StoredPages(_InTimeOrder):
@@ -193,7 +288,7 @@ class _StoredPages(_InTimeOrder):
 
 
 def stream_rate_cards(ratings: DataFrame, progress: DataFrame, watermark: str = "1 day", grain: int = 60_000) -> DataFrame:
-    """Stored cards after the ratings of each ``grain`` milliseconds of time, in order of (ts, event_id).
+    """Stored cards after the ratings that the watermark has passed, in order of (ts, event_id), by whole ``grain`` milliseconds.
 
     ``progress``: user_id, vocab_id, ease_factor, interval, repetitions, one row per card; the stream starts from it and a
     rating of another card only counts as ``refused``.  Ratings come in any order within the watermark, in whatever
@@ -202,13 +297,14 @@ def stream_rate_cards(ratings: DataFrame, progress: DataFrame, watermark: str =
     """
     timed = ratings.withWatermark("ts", watermark)
     good, _ = valid_ratings(timed)
-    asked = good.filter("ts is not null").select(
-        "user_id", "vocab_id", "ts", F.unix_micros("ts").alias("micros"), F.col("event_id").cast("long").alias("at"), F.col("grade").cast("long").alias("grade"))
-    stored = progress.select(
-        "user_id", "vocab_id", F.round(F.coalesce("ease_factor", F.lit(START_EASE / 100)) * 100).cast("int").alias("ease"),
-        F.coalesce(F.col("interval").cast("long"), F.lit(0)).alias("interval"), F.coalesce(F.col("repetitions").cast("int"), F.lit(0)).alias("repetitions"))
-    states = asked.groupBy("user_id", "vocab_id").transformWithState(
-        statefulProcessor=_StoredCards(grain), outputMode="Update", timeMode="EventTime", initialState=stored.groupBy("user_id", "vocab_id"),
+    asked = _bucket(good.filter("ts is not null")).select(
+        "bucket", "nobody", "user", "vocab", "ts", F.unix_micros("ts").alias("micros"),
+        F.coalesce(F.col("event_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.col("grade").cast("long").alias("grade"))
+    stored = _bucket(progress.filter("vocab_id is not null")).groupBy("bucket").agg(F.collect_list(F.array(*[F.col(c).cast("long") for c in (
+        "nobody", "user", "vocab")], F.round(F.coalesce("ease_factor", F.lit(START_EASE / 100)) * 100).cast("long"),
+        F.coalesce(F.col("interval").cast("long"), F.lit(0)), F.coalesce(F.col("repetitions").cast("long"), F.lit(0)))).alias("cards"))
+    states = asked.groupBy("bucket").transformWithState(
+        statefulProcessor=_StoredCards(grain), outputMode="Update", timeMode="EventTime", initialState=stored.groupBy("bucket"),
         outputStructType="user_id long, vocab_id long, ease_factor double, interval long, repetitions int, status string, rated_micros long, ratings long, refused long")
     rated = F.timestamp_micros("rated_micros")
     return states.withColumn("next_review_date", add_days(rated, F.col("interval"))).drop("rated_micros")
