@@ -48,7 +48,7 @@ def visible(key: Column | str) -> Column:
 
 
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select(
+    p = spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type", "p_size",
         F.concat_ws("-", "p_brand", F.col("p_size") % 10, F.expr("p_partkey div 1000")).alias("kana"),
     ).withColumn("kanji", F.when(F.col("p_size") % 7 != 0, F.col("p_name")))
@@ -70,7 +70,7 @@ def vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    return words_of(table(spark, sf, "part"))
+    return words_of(spread(table(spark, sf, "part")))
 
 
 def words_of(p: DataFrame) -> DataFrame:
