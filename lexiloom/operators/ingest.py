@@ -132,9 +132,8 @@ def ingest(
         rest.join(near_store, TRIPLE, "left").withColumn("near_store", F.col("fuzzy").isNotNull()))
     members = open_words.filter((F.col("surface_key") != "") & (F.col("meaning_key") != "")).select(*TRIPLE, "pos")
     edges = cut_lineage(
-        fuzzy_pairs(members.select(*TRIPLE), members.withColumnRenamed("pos", "ex_id"))
-        .join(members, TRIPLE).filter(F.col("ex_id") < F.col("pos"))
-        .select("pos", F.col("ex_id").alias("other"), "ex_reading", "distance", "similarity").distinct()
+        fuzzy_pairs(members, members.withColumnRenamed("pos", "ex_id"), chunk).filter(F.col("ex_id") < F.col("pos"))
+        .select("pos", F.col("ex_id").alias("other"), "ex_reading", "distance", "similarity")
     )
     state = _settle(
         open_words.select("pos", *TRIPLE, "store_n", "agrees_store", "near_store"), edges.select("pos", "other"))

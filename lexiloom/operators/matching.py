@@ -92,33 +92,44 @@ def _rare_tokens(df: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFr
     return out.drop("sorted")
 
 
-def fuzzy_pairs(words: DataFrame, rows: DataFrame) -> DataFrame:
+def _listed(side: DataFrame, hot: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``token``: empty in a block that is not hot; in a hot one a row for each rare token, with all of them as ``tokens``."""
+    block = ["surface_key", "variant"]
+    inside = side.join(hot, block, "left_semi")
+    tokens = _rare_tokens(inside.select(*keys, "grams").distinct(), frequency, keys).select(*keys, "tokens")
+    cold = side.join(hot, block, "left_anti").withColumns({"token": F.lit(""), "tokens": F.lit(None).cast("array<string>")})
+    return cold.unionByName(inside.join(tokens, keys).withColumn("token", F.explode("tokens")))
+
+
+def fuzzy_pairs(words: DataFrame, rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Compatible pairs with equal surface and reading distance <= 1, each once.
 
     Both sides are distinct (surface_key, reading_key, meaning_key) triples; ``rows`` also has
-    ``ex_id``.  Members of a block meet at a shared deletion variant and a shared rare token of
-    their meanings, and a pair counts only where it first does.
-    Columns: the word's triple, ex_id, ex_reading, distance, similarity.
+    ``ex_id``.  Members of a block (surface and deletion variant) meet there, in one of more than ``chunk`` rows only
+    at a shared rare token of their meanings, and a pair counts only where it first does.
+    Columns: those of ``words``, ex_id, ex_reading, distance, similarity.
     """
-    keys = ["surface_key", "reading_key", "meaning_key"]
-    words, rows = (df.withColumn("grams", key_bigrams("meaning_key")) for df in (words, rows))
-    frequency = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    words, rows = (
-        _variants(_rare_tokens(df, frequency, keys)).withColumn("token", F.explode("tokens")) for df in (words, rows))
+    keys, block = ["surface_key", "reading_key", "meaning_key"], ["surface_key", "variant"]
+    words, rows = (_variants(df.withColumn("grams", key_bigrams("meaning_key"))).drop("variants") for df in (words, rows))
+    given = [c for c in words.columns if c not in ("grams", "variant")]
+    hot = cut_lineage(rows.groupBy(*block).count().filter(F.col("count") > chunk).select(*block))
+    frequency = (
+        rows.join(hot, block, "left_semi").select(*keys, F.explode("grams").alias("gram")).distinct()
+        .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    words, rows = (_listed(df, hot, frequency, keys) for df in (words, rows))
     stored = rows.select(
-        "surface_key", "variant", "token", "ex_id", F.col("reading_key").alias("ex_reading"),
-        F.col("meaning_key").alias("ex_meaning"), F.col("grams").alias("ex_grams"),
-        F.col("variants").alias("ex_variants"), F.col("tokens").alias("ex_tokens"))
-    first = lambda x, y: F.array_min(F.array_intersect(x, y))
+        *block, "token", "ex_id", F.col("reading_key").alias("ex_reading"), F.col("meaning_key").alias("ex_meaning"),
+        F.col("grams").alias("ex_grams"), F.col("tokens").alias("ex_tokens"))
     similarity = key_similarity(F.col("meaning_key"), F.col("ex_meaning"), F.col("grams"), F.col("ex_grams"))
+    first = lambda x, y: F.array_min(F.array_intersect(x, y))
+    met_first = (F.col("variant") == first(deletion_variants("reading_key"), deletion_variants("ex_reading"))) & (
+        (F.col("token") == "") | (F.col("token") == first("tokens", "ex_tokens")))
     return (
-        words.join(stored, ["surface_key", "variant", "token"])
-        .filter((F.col("variant") == first("variants", "ex_variants")) & (F.col("token") == first("tokens", "ex_tokens")))
-        .withColumn("distance", F.levenshtein("reading_key", "ex_reading", 1))
-        .filter(F.col("distance") >= 0)
+        words.join(stored, [*block, "token"])
+        .filter(F.levenshtein("reading_key", "ex_reading", 1) >= 0)
         .withColumn("similarity", similarity)
-        .filter(F.col("similarity") >= MIN_SIMILARITY)
-        .select(*keys, "ex_id", "ex_reading", "distance", "similarity")
+        .filter((F.col("similarity") >= MIN_SIMILARITY) & met_first)
+        .select(*given, "ex_id", "ex_reading", F.levenshtein("reading_key", "ex_reading", 1).alias("distance"), "similarity")
     )
 
 
@@ -143,14 +154,10 @@ def _met_lists(incoming: DataFrame, vocab: DataFrame, chunk: int) -> DataFrame:
     )
     asked, held = (cut_lineage(_variants(df.withColumn("grams", key_bigrams("meaning_key"))).drop("variants")) for df in (words, rows))
     hot = cut_lineage(held.groupBy(*block).count().filter(F.col("count") > chunk).select(*block))
-    in_hot = [df.join(hot, block, "left_semi") for df in (asked, held)]
-    frequency = in_hot[1].select(*keys, F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-
-    def listed(side: DataFrame, hot_side: DataFrame) -> DataFrame:
-        tokens = _rare_tokens(hot_side.select(*keys, "grams").distinct(), frequency, keys).select(*keys, F.explode("tokens").alias("token"))
-        return side.join(hot, block, "left_anti").withColumn("token", F.lit("")).unionByName(hot_side.join(tokens, keys))
-
-    asked, held = listed(asked, in_hot[0]), listed(held, in_hot[1])
+    frequency = (
+        held.join(hot, block, "left_semi").select(*keys, F.explode("grams").alias("gram")).distinct()
+        .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    asked, held = (_listed(df, hot, frequency, keys).drop("tokens") for df in (asked, held))
     by = [*block, "token"]
     sizes = held.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_lists"))
     lists = (
