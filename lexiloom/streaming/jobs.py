@@ -12,6 +12,7 @@ A call of the state store costs about as much as a hundred rows, so cards are no
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import groupby, islice
 
 import numpy as np
@@ -24,6 +25,7 @@ from ..operators.ingest import IngestResult, ingest
 from ..operators.matching import incoming_keys
 from ..operators.learning import START_EASE, sm2_step, valid_ratings
 from ..operators.pages import step
+from ..session import cut_lineage
 from .snapshots import Snapshots
 
 
@@ -327,6 +329,19 @@ def stream_ordered_corrections(submissions: DataFrame, pages: DataFrame, waterma
         outputMode="Append", timeMode="EventTime", initialState=stored.groupBy("page_id"))
 
 
+@contextmanager
+def _as_batch(words: DataFrame):
+    """The micro-batch computed once, and adaptive execution for what is done with it; a stream's session has it off."""
+    conf, name = words.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    given = cut_lineage(words)
+    conf.set(name, "true")
+    try:
+        yield given
+    finally:
+        conf.set(name, before)
+
+
 def ingest_batches(
     read: Callable[[], tuple[DataFrame, DataFrame]], write: Callable[[IngestResult, int], None], **options
 ) -> Callable[[DataFrame, int], None]:
@@ -336,7 +351,8 @@ def ingest_batches(
     the batch number so that a repeated batch can be recognised.
     """
     def run(words: DataFrame, batch_id: int) -> None:
-        write(ingest(words, *read(), **options), batch_id)
+        with _as_batch(words) as given:
+            write(ingest(given, *read(), **options), batch_id)
 
     return run
 
@@ -356,14 +372,15 @@ def ingest_once(store: Snapshots, stream: str, **options) -> Callable[[DataFrame
     words, as the watermark causes at the end of a run, makes no version.
     """
     def run(words: DataFrame, batch_id: int) -> None:
-        if words.isEmpty():
-            return
+        with _as_batch(words) as given:
+            if given.isEmpty():
+                return
 
-        def change(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-            result = ingest(words, tables["vocabulary"], tables["reviews"], **options)
-            return {"vocabulary": result.vocabulary, "reviews": result.reviews}
+            def change(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+                result = ingest(given, tables["vocabulary"], tables["reviews"], **options)
+                return {"vocabulary": result.vocabulary, "reviews": result.reviews}
 
-        store.apply(stream, batch_id, change)
+            store.apply(stream, batch_id, change)
 
     return run
 
