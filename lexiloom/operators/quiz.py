@@ -23,6 +23,9 @@ EXPLANATIONS = {
 }
 TYPES = tuple(PROMPTS)
 
+#: Tasks that the learners are dealt over, for each core.
+TASKS_PER_CORE = 4
+
 
 def _drawn(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
@@ -49,18 +52,22 @@ def quiz(vocab: DataFrame, users: DataFrame, n: int = 5, seed: int = 0, level: s
     The pool is at most ``pool`` words, read once as a scalar; every learner's questions are
     then built inside a row, and the same seed gives the same quiz.  Distractors have another
     reading and never show the answer's text.
+
+    Learners are few bytes and much work each, so they are dealt over the cores.  No filter stands on a drawn array: it
+    would be drawn once more for the filter, below the caller's ``distinct`` even for each row that names a learner.
     """
     n = min(max(n, MIN_QUESTIONS), MAX_QUESTIONS)
+    cores = users.sparkSession.sparkContext.defaultParallelism
     source = vocab.filter(F.col("jlpt_level") == level) if level in ("N4", "N5") else vocab
     words = F.struct("id", F.coalesce("kanji", "kana").alias("face"), "kana", "burmese_meaning")
     listed = first_rows(source, pool).agg(F.array_sort(F.collect_list(words)).alias("pool")).scalar()
     material = F.slice(_shuffled(F.col("pool"), F.lit(seed), F.col("user_id")), 1, max(n * MATERIAL_PER_QUESTION, MIN_MATERIAL))
     usable = F.filter("material", lambda w: (w["burmese_meaning"] != "") & (w["burmese_meaning"] != w["kana"]))
     asked = (
-        users.select("user_id").withColumn("pool", listed).withColumn("material", material)
-        .withColumn("material", usable).filter(F.size("material") > 0)
+        users.select("user_id").repartition(TASKS_PER_CORE * cores).withColumn("pool", listed).withColumn("material", material)
+        .withColumn("material", usable)
         .withColumn("question", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        .withColumn("target", F.get("material", F.col("question") % F.size("material")))
+        .withColumn("target", F.get("material", F.col("question") % F.nullif(F.size("material"), F.lit(0))))
         .withColumn("type", F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("question") % len(TYPES)))
     )
     shows_meaning = F.col("type") == "jp_to_mm"
@@ -74,7 +81,9 @@ def quiz(vocab: DataFrame, users: DataFrame, n: int = 5, seed: int = 0, level: s
             F.concat("distractors", F.array("answer")),
             lambda o: F.struct(_drawn(F.lit(seed), F.col("user_id"), F.col("question"), o).alias("h"), o.alias("o")))),
         lambda s: s["o"])
-    asked = asked.withColumn("distractors", texts).filter(F.size("distractors") == DISTRACTORS).withColumn("options", options)
+    # without a target there are no distractors either
+    complete = F.when(F.size("distractors") == DISTRACTORS, options)
+    asked = asked.withColumn("distractors", texts).withColumn("options", F.explode_outer(F.array(complete))).filter("options is not null")
     values = {"word": F.col("target.face"), "kana": F.col("target.kana"), "meaning": F.col("target.burmese_meaning")}
     return asked.select(
         "user_id", F.concat(F.lit("q"), F.col("question").cast("string")).alias("question_id"), "type",
