@@ -1,9 +1,11 @@
 """Work per row is done once, for the rows and columns that need it."""
 
+import random
+
 from pyspark.sql import functions as F
-from test_matching import VOCAB
+from test_matching import VOCAB, WORDS, vocab_row, word_row
 
-from lexiloom.operators import quiz
+from lexiloom.operators import matching, quiz
 
 
 def vocabulary(spark, rows):
@@ -32,3 +34,49 @@ def test_a_quiz_without_material_has_no_questions(spark):
     users = spark.range(3).withColumnRenamed("id", "user_id")
     assert quiz.quiz(vocabulary(spark, [(i, f"k{i}", f"k{i}") for i in range(9)]), users).collect() == []
     assert quiz.quiz(vocabulary(spark, [(i, f"k{i}", "") for i in range(9)]), users).collect() == []
+
+
+def test_cold_blocks_meet_without_bigrams_and_hot_ones_in_lists(spark, monkeypatch):
+    """The same candidates whether no block, some blocks or all of them are hot; without hot ones no list of rows is made."""
+    rng = random.Random(6)
+    texts = lambda n: sorted({(rng.choice("st"), rng.choice(["abcd", "abcx", "abc", "xbcd", "abdc", "aab", "ab"]),
+                               "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))) for _ in range(n)})
+    keys = "surface_key string, reading_key string, meaning_key string"
+    words = spark.createDataFrame(texts(200), keys)
+    rows = spark.createDataFrame([(*t, 1000 - i) for i, t in enumerate(texts(250))], keys + ", id long")
+    lists, asked = matching._met_lists, []
+    monkeypatch.setattr(matching, "_met_lists", lambda *given: asked.append(1) or lists(*given))
+    found = []
+    for chunk in (10**9, 60, 1):
+        best = matching.fuzzy_candidates(words, rows, chunk)
+        if not asked:
+            assert "collect_list" not in optimized(best)
+        found.append(sorted((tuple(r) for r in best.collect()), key=str))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50 and len(asked) == 2
+    stored = [(r.surface_key, r.reading_key, r.meaning_key, r.id) for r in rows.collect()]
+    grams = lambda m: {m[i:i + 2] for i in range(len(m) - 1)}
+
+    def similarity(a, b):
+        x, y = grams(a), grams(b)
+        return 1.0 if a == b else len(x & y) / len(x | y) if x and y else 0.0
+
+    def near(a, b):
+        if a == b or len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    for surface, reading, meaning, fuzzy in found[0]:
+        score = lambda r: round(0.55 + 0.25 * (r[1] == reading) + 0.2 * similarity(meaning, r[2]) + 1e-9, 3)  # noqa: E731,B023
+        near_rows = [r for r in stored if r[0] == surface and near(r[1], reading) and similarity(meaning, r[2]) >= 0.45]
+        assert fuzzy.ex_id == min(near_rows, key=lambda r: (-score(r), r[3]))[3]
+
+
+def test_words_are_looked_up_once(spark, monkeypatch):
+    looked, meanings_agree = [], matching.meanings_agree
+    monkeypatch.setattr(matching, "meanings_agree", lambda *given: looked.append(1) or meanings_agree(*given))
+    v = spark.createDataFrame([vocab_row(i + 1, f"s{i}", f"r{i}", f"meaning {i}") for i in range(20)], VOCAB)
+    w = spark.createDataFrame([word_row(i, f"s{i}", f"r{i}x", f"meaning {i}") for i in range(20)], WORDS)
+    out = matching.decide(w, v, explained=False)
+    assert {r.kind for r in out.collect()} == {"review"}
+    assert looked == [1] and "kana" in out.columns and optimized(out).count("regexp_replace") == 0
