@@ -26,6 +26,8 @@ LESSON_PATTERN = (
     rf"(?i)(?:第[{SPACE_CLASS}]*)?(\d{{1,2}})[{SPACE_CLASS}]*課"
     rf"|(?:lesson|unit|chapter)[{SPACE_CLASS}]*(\d{{1,2}})"
 )
+# A header holds one of these, in any case.
+LESSON_MARKS = ("課", "lesson", "unit", "chapter")
 LEVEL_PATTERN = r"(?i)(?<![A-Za-z0-9_])(N[45])(?![A-Za-z0-9_])"
 LESSON_MAX = 25
 LEVELS = ("N4", "N5")
@@ -140,9 +142,15 @@ def contains_script(col: Column | str, script: str) -> Column:
 
 def detect_lesson(col: Column | str) -> Column:
     """Lesson number 1..25 of the first lesson header; null when it is out of range or absent."""
-    header = F.regexp_extract(nfkc(col), LESSON_PATTERN, 0)
+    def found(t: Column) -> Column:
+        # that a text holds no mark is seen faster than that it has no header
+        marked = let(F.lower(t), lambda low: F.contains(low, F.lit(LESSON_MARKS[0])) | F.contains(low, F.lit(LESSON_MARKS[1]))
+                     | F.contains(low, F.lit(LESSON_MARKS[2])) | F.contains(low, F.lit(LESSON_MARKS[3])))
+        return F.when(marked, F.regexp_extract(t, LESSON_PATTERN, 0))
+
+    header = let(nfkc(col), found)
     number = F.regexp_extract(header, r"\d{1,2}", 0).try_cast("int")
-    return F.when(number.between(1, LESSON_MAX), number)
+    return let(number, lambda n: F.when(n.between(1, LESSON_MAX), n))
 
 
 def detect_level(col: Column | str) -> Column:

@@ -58,7 +58,8 @@ def page_pieces(text: Column, max_chars: int) -> Column:
 
 def fill_lesson(pages: DataFrame, span: int = 4096) -> DataFrame:
     """Lesson in force on every page (doc, num, text): the last one announced so far."""
-    found = pages.withColumn("page_lesson", detect_lesson("text"))
+    # The lessons are carried and filled in from the same rows, so texts are searched once.
+    found = cut_lineage(pages.withColumn("page_lesson", detect_lesson("text")))
     return fill_forward(found, ["doc"], "num", "page_lesson", "lesson", span, ties=["text"])
 
 

@@ -11,7 +11,7 @@ from ..functions.text import clean_text, js_trim
 from .ordered import top_k
 from .folds import fold_sorted
 from .tables import upsert
-from .words import WORD_FIELDS, Scripts, checked_words, json_fields, parse_lines
+from .words import WORD_FIELDS, Scripts, checked_words, has_word, json_fields, parse_lines
 
 # Texts of the workflow.
 EXACT_REASON, NEW_REASON = "canonical key already exists", "no exact canonical match"
@@ -213,8 +213,7 @@ def reprocess(
     a valid word fails.  Returns (pages, candidates).
     """
     texts = pages.withColumn("normalized_text", clean_text(F.coalesce("raw_text", F.lit(""))))
-    words = cut_lineage(
-        parse_lines(texts.select("page_id", "batch_id", F.col("normalized_text").alias("text")), "text", scripts, cleaned=True))
+    words = parse_lines(texts.select("page_id", "batch_id", F.col("normalized_text").alias("text")), "text", scripts, cleaned=True)
     found = match_exact(words.withColumn("canonical_key", word_key()), vocab)
     fresh = found.select(
         F.concat_ws("-", "page_id", "position").alias("candidate_id"), "batch_id", "page_id",
@@ -229,12 +228,12 @@ def reprocess(
     for c in candidates.columns:
         if c not in fresh.columns:
             fresh = fresh.withColumn(c, F.lit(None).cast(candidates.schema[c].dataType))
-    count = words.groupBy("page_id").agg(F.count(F.lit(1)).alias("_words"))
-    some = F.col("_words").isNotNull()
-    pages_out = texts.join(count, "page_id", "left").withColumns({
-        "status": F.when(some, "needs_review").otherwise("failed"),
-        "error_category": F.when(~some, NO_WORDS_CATEGORY),
-    }).drop("_words")
+    # Rows of one page share what any of them has; a page without an id has no words of its own.
+    some = F.max(F.col("page_id").isNotNull() & has_word(F.col("normalized_text"), scripts)).over(Window.partitionBy("page_id"))
+    pages_out = texts.withColumn("_some", some).withColumns({
+        "status": F.when(F.col("_some"), "needs_review").otherwise("failed"),
+        "error_category": F.when(~F.col("_some"), NO_WORDS_CATEGORY),
+    }).drop("_some")
     return pages_out, kept.select(*candidates.columns).unionByName(fresh.select(*candidates.columns))
 
 

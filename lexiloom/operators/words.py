@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.identity import reading_key, with_identity
 from ..functions.text import (
     BURMESE, KANA, SPACE_CLASS, clean_optional, clean_text, contains_script, detect_lesson, detect_level,
-    parse_lesson, parse_level, simple_romaji, strip_fence,
+    let, parse_lesson, parse_level, simple_romaji, strip_fence,
 )
 from .ordered import dedupe_first
 
@@ -32,6 +32,10 @@ class Scripts:
     meaning: str = BURMESE
 
 
+def _is_word(kana: Column, meaning: Column, scripts: Scripts) -> Column:
+    return contains_script(kana, scripts.reading) & F.coalesce(contains_script(meaning, scripts.meaning), F.lit(False))
+
+
 def checked_words(
     raw: DataFrame, level: Column | str = "N5", lesson: Column | None = None, scripts: Scripts = Scripts()
 ) -> DataFrame:
@@ -52,10 +56,7 @@ def checked_words(
         "example_sentence_jp": clean_optional(field["example_sentence_jp"], MAX_CHARS["example_sentence_jp"]),
         "example_sentence_mm": clean_optional(field["example_sentence_mm"], MAX_CHARS["example_sentence_mm"]),
     })
-    valid = (
-        contains_script("kana", scripts.reading)
-        & F.coalesce(contains_script("burmese_meaning", scripts.meaning), F.lit(False))
-    )
+    valid = _is_word(F.col("kana"), F.col("burmese_meaning"), scripts)
     return out.withColumns({"romaji": F.coalesce("romaji", simple_romaji("kana")), "valid": valid})
 
 
@@ -119,6 +120,24 @@ def parse_responses(
     return dedupe_first(words, [by, "identity_key"], [F.col("position")])
 
 
+def _parts(text: Column) -> Column:
+    return F.split(text, r"[\n;]")
+
+
+def _fields(part: Column) -> Column:
+    return F.split(part, rf"[{SPACE_CLASS}]+")
+
+
+def has_word(text: Column, scripts: Scripts = Scripts()) -> Column:
+    """Whether ``parse_lines`` finds a valid word in cleaned page text; nothing is read past the first one."""
+    def is_word(fields: Column) -> Column:
+        kana = reading_key(F.coalesce(F.get(fields, F.lit(1)), F.lit("")))
+        meaning = clean_optional(F.get(fields, F.lit(2)), MAX_CHARS["burmese_meaning"])
+        return _is_word(kana, meaning, scripts)
+
+    return F.exists(_parts(text), lambda part: let(_fields(part), is_word))
+
+
 def line_records(pages: DataFrame, text: str = "text", cleaned: bool = False) -> DataFrame:
     """Records of delimited page text: one per line or ``;`` part, fields split by white space.
 
@@ -126,10 +145,9 @@ def line_records(pages: DataFrame, text: str = "text", cleaned: bool = False) ->
     """
     if not cleaned:
         pages = pages.withColumn(text, clean_text(F.coalesce(F.col(text), F.lit(""))))
-    parts = F.split(text, r"[\n;]")
+    parts = _parts(F.col(text))
     rows = pages.select(*[c for c in pages.columns if c != text], F.posexplode(parts).alias("position", "_part"))
-    fields = F.split("_part", rf"[{SPACE_CLASS}]+")
-    return rows.withColumn("_fields", fields).withColumns({
+    return rows.withColumn("_fields", _fields(F.col("_part"))).withColumns({
         "kanji": F.get("_fields", F.lit(0)), "kana": F.get("_fields", F.lit(1)),
         "burmese_meaning": F.get("_fields", F.lit(2)), "jlpt_level": F.lit("N5"),
     }).drop("_part", "_fields")

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 from test_matching import VOCAB, WORDS, vocab_row, word_row
 
-from lexiloom.operators import matching, quiz
+from lexiloom.functions import text
+from lexiloom.operators import chunking, matching, quiz
 
 
 def vocabulary(spark, rows):
@@ -42,13 +43,13 @@ def test_cold_blocks_meet_without_bigrams_and_hot_ones_in_lists(spark, monkeypat
     texts = lambda n: sorted({(rng.choice("st"), rng.choice(["abcd", "abcx", "abc", "xbcd", "abdc", "aab", "ab"]),
                                "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))) for _ in range(n)})
     keys = "surface_key string, reading_key string, meaning_key string"
-    words = spark.createDataFrame(texts(200), keys)
+    given = spark.createDataFrame(texts(200), keys)
     rows = spark.createDataFrame([(*t, 1000 - i) for i, t in enumerate(texts(250))], keys + ", id long")
     lists, asked = matching._met_lists, []
     monkeypatch.setattr(matching, "_met_lists", lambda *given: asked.append(1) or lists(*given))
     found = []
     for chunk in (10**9, 60, 1):
-        best = matching.fuzzy_candidates(words, rows, chunk)
+        best = matching.fuzzy_candidates(given, rows, chunk)
         if not asked:
             assert "collect_list" not in optimized(best)
         found.append(sorted((tuple(r) for r in best.collect()), key=str))
@@ -80,3 +81,20 @@ def test_words_are_looked_up_once(spark, monkeypatch):
     out = matching.decide(w, v, explained=False)
     assert {r.kind for r in out.collect()} == {"review"}
     assert looked == [1] and "kana" in out.columns and optimized(out).count("regexp_replace") == 0
+
+
+def test_texts_are_searched_for_a_lesson_once(spark):
+    p = spark.createDataFrame([("d", 1, "Lesson 4"), ("d", 2, "x"), ("d", 2, "a UNIT 7"), ("d", 9000, "plain"), ("e", 1, "第１２課"), ("f", 1, None)], "doc string, num long, text string")
+    out = chunking.fill_lesson(p)
+    assert "LogicalRDD" in optimized(out) and "regexp" not in optimized(out).lower()
+    assert sorted((r.doc, r.num, r.lesson) for r in out.collect() if r.lesson) == [("d", 1, 4), ("d", 2, 7), ("d", 2, 7), ("d", 9000, 7), ("e", 1, 12)]
+
+
+def test_lessons_are_found_as_by_the_pattern_alone(spark):
+    texts = ["LESSON 3", "ＬＥＳＳＯＮ３", "unİt 4", "unıt 4", "UNIT4", "Chapter　5", "第 6 課", "7課", "leſson 8", "lesson x", "", None, "community 9", "x" * 50 + "cHaPtEr 99"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    header = F.regexp_extract(text.nfkc("t"), text.LESSON_PATTERN, 0)
+    number = F.regexp_extract(header, r"\d{1,2}", 0).try_cast("int")
+    assert str(text.detect_lesson("t")).count("lesson|unit") == 1
+    rows = df.select(text.detect_lesson("t").alias("got"), F.when(number.between(1, 25), number).alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and sum(r.got is not None for r in rows) >= 7
