@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_matching import VOCAB, WORDS, vocab_row, word_row
 
 from lexiloom.functions import text
-from lexiloom.operators import chunking, matching, quiz
+from lexiloom.operators import chunking, matching, pages, quiz, words
 
 
 def vocabulary(spark, rows):
@@ -83,6 +83,21 @@ def test_words_are_looked_up_once(spark, monkeypatch):
     assert looked == [1] and "kana" in out.columns and optimized(out).count("regexp_replace") == 0
 
 
+def test_pages_are_marked_without_parsing_all_their_words(spark):
+    p = spark.createDataFrame(
+        [(1, "b", "あ はし က;x y z"), (2, "b", "no words"), (3, "b", None), (4, "b", ";\n"), (4, "b", "橋 はし တံတား"), (None, "b", "橋 はし တံတား"), (5, "b", "x y z\n橋 ハシ တံတား N4")],
+        "page_id long, batch_id string, raw_text string")
+    c = spark.createDataFrame([], "candidate_id string, batch_id string, page_id long, incoming_json string, canonical_key string, decision_kind string, status string, vocabulary_id long, reasons_json string, created_at timestamp")
+    out, fresh = pages.reprocess(p, c, spark.createDataFrame([], VOCAB))
+    assert "posexplode" not in optimized(out) and "Join" not in optimized(out)
+    marked = sorted(((r.page_id or 0), r.status, r.error_category) for r in out.collect())
+    bad = ("failed", "no_valid_candidates")
+    assert marked == [(0, *bad), (1, "needs_review", None), (2, *bad), (3, *bad), (4, "needs_review", None), (4, "needs_review", None), (5, "needs_review", None)]
+    cleaned = out.select("page_id", F.col("normalized_text").alias("text"))
+    parsed = {r.page_id for r in words.parse_lines(cleaned, cleaned=True).select("page_id").distinct().collect()}
+    assert parsed == {None, 1, 4, 5}
+
+
 def test_texts_are_searched_for_a_lesson_once(spark):
     p = spark.createDataFrame([("d", 1, "Lesson 4"), ("d", 2, "x"), ("d", 2, "a UNIT 7"), ("d", 9000, "plain"), ("e", 1, "第１２課"), ("f", 1, None)], "doc string, num long, text string")
     out = chunking.fill_lesson(p)
