@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_matching import VOCAB, WORDS, vocab_row, word_row
 
 from lexiloom.functions import text
-from lexiloom.operators import chunking, matching, pages, quiz, words
+from lexiloom.operators import chunking, library, matching, pages, quiz, words
 
 
 def vocabulary(spark, rows):
@@ -113,3 +113,17 @@ def test_lessons_are_found_as_by_the_pattern_alone(spark):
     assert str(text.detect_lesson("t")).count("lesson|unit") == 1
     rows = df.select(text.detect_lesson("t").alias("got"), F.when(number.between(1, 25), number).alias("want")).collect()
     assert [r.got for r in rows] == [r.want for r in rows] and sum(r.got is not None for r in rows) >= 7
+
+
+def test_searches_meet_no_word_that_their_filters_refuse(spark):
+    v = vocabulary(spark, [(i, f"kana{i % 3}", "m") for i in range(30)]).withColumns(
+        {"status": F.lit("all"), "lesson": F.when(F.col("id") % 2 == 0, (F.col("id") % 5).cast("int"))})
+    asked = spark.createDataFrame(
+        [(1, "kana1", "N4", None, "2"), (2, "kana1", "N5", None, None), (3, "KANA1", None, "all", "unassigned"), (4, "", None, None, "2")],
+        "search_id long, query string, level string, status string, lesson string")
+    out = library.search_many(asked, v)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert any(line.strip(" :+-").startswith("Join Inner") and "_q#" in line and "_level#" in line and " OR " not in line for line in plan.splitlines())
+    got = sorted((r.search_id, r.id) for r in out.collect())
+    assert got == sorted([(1, i) for i in range(30) if i % 3 == 1 and i % 2 == 0 and i % 5 == 2]
+                         + [(3, i) for i in range(30) if i % 3 == 1 and i % 2] + [(4, i) for i in range(30) if i % 2 == 0 and i % 5 == 2])
