@@ -1,8 +1,8 @@
 """Entity resolution of incoming words against a stored vocabulary.
 
-No step pairs all members of a group.  Exact and enrich look at most one stored row up per
+No step pairs all members of a large group.  Exact and enrich look at most one stored row up per
 word, from aggregates keyed by identity and by reading.  Review compares words only with rows
-that share the surface and a deletion variant of the reading, list by list, and keeps the best.
+that share the surface and a deletion variant of the reading, in hot blocks list by list, and keeps the best.
 """
 
 from __future__ import annotations
