@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # The white space characters of ECMAScript (Java's \s knows only ASCII ones).
@@ -11,6 +13,11 @@ SPACE_CLASS = (
 # The same characters themselves, for functions that take a set of characters.
 SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 ASCII_SPACE = r"[\t\n\x0B\f\r ]+"
+# The white space beyond ASCII that NFKC leaves as it is, and the invisible marks that cleaning takes out.
+KEPT_SPACES = ("\u1680", "\u2028", "\u2029")
+MARKS = ("\u00ad", "\u200b", "\u200c", "\u200d", "\ufeff")
+# A composed text without these, the marks and the spaces above has nothing to clean but its ends.
+UNCLEAN = ("\t", "\f", "\x0b", "\r", "  ", " \n", "\n ", "\n\n\n")
 # Script ranges of the two languages.
 BURMESE = r"[\u1000-\u109f\uaa60-\uaa7f]"
 KANA = r"[\u3041-\u3096\u30a1-\u30fa\u30fc]"
@@ -18,6 +25,7 @@ CJK = r"[\u4e00-\u9fff]"
 LATIN = r"[A-Za-z]"
 
 # Brackets that never belong to a reading.
+BRACKETS = "「」『』【】（）()［］[]〈〉<>"
 READING_BRACKETS = r"[「」『』【】（）()［］\[\]〈〉<>]"
 # Punctuation ignored when meanings are compared.
 MEANING_PUNCTUATION = r"[၊။!?！？。、,.]"
@@ -95,19 +103,47 @@ def drop_space(col: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_col(col), ASCII_SPACE, ""), rf"[\P{{ASCII}}&&[{SPACE_CLASS}]]+", "")
 
 
+def is_ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.char_length(col)
+
+
+def holds(col: Column, signs: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the signs, which is seen faster than by a pattern."""
+    return reduce(Column.__or__, [F.contains(col, F.lit(sign)) for sign in signs])
+
+
 def clean_text(col: Column | str) -> Column:
     """Page text with uniform line ends, single spaces, no invisible marks, no blank runs."""
-    c = F.regexp_replace(nfkc(col), r"[\u00ad\u200b-\u200d\ufeff]", "")
+    unclean = lambda c: holds(c, UNCLEAN) | (~is_ascii(c) & holds(c, MARKS + KEPT_SPACES))
+    return js_trim(let(nfkc(col), lambda c: F.when(unclean(c), _clean(c)).otherwise(c)))
+
+
+def _clean(col: Column) -> Column:
+    c = F.regexp_replace(col, r"[\u00ad\u200b-\u200d\ufeff]", "")
     c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"[ \t\f\x0B]+", " ")
     c = F.array_join(F.transform(F.split(c, "\n"), js_trim), "\n")
-    return js_trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(c, r"\n{3,}", "\n\n")
+
+
+def blank_separated(col: Column | str) -> Column:
+    """Cleaned text with one blank for its white space but line ends, composed again: a mark taken out may leave letters that compose."""
+    def composed(c: Column) -> Column:
+        blanks = lambda t: F.when(holds(t, KEPT_SPACES), F.regexp_replace(t, rf"[ {''.join(KEPT_SPACES)}]+", " ")).otherwise(t)
+        return F.when(is_ascii(c), c).otherwise(let(nfkc(c), blanks))
+
+    return let(_col(col), composed)
 
 
 def to_hiragana(col: Column | str) -> Column:
     return F.translate(_col(col), _KATAKANA, _HIRAGANA)
 
 
+def cut_reading(col: Column | str) -> Column:
+    """``reading_key`` of a text that is composed and holds no white space."""
+    return F.translate(_col(col), _KATAKANA + BRACKETS, _HIRAGANA)
+
+
 def fold_kana(col: Column | str) -> Column:
     """Hiragana with small letters enlarged, the form used for dictionary lookups."""
     return F.translate(to_hiragana(col), _SMALL_KANA, _FULL_KANA)
@@ -164,6 +200,11 @@ def clean_optional(col: Column | str, max_chars: int = 500) -> Column:
     return F.nullif(F.substring(c, 1, max_chars), F.lit(""))
 
 
+def cut_optional(col: Column | str, max_chars: int = 500) -> Column:
+    """``clean_optional`` of a text that is composed and holds no white space."""
+    return F.nullif(F.substring(_col(col), 1, max_chars), F.lit(""))
+
+
 def parse_lesson(col: Column | str, fallback: Column | int | None = None) -> Column:
     """Whole lesson number 1..25 from text or number, else the fallback."""
     text = js_trim(_col(col).cast("string"))

@@ -203,17 +203,31 @@ def _reason(existing: Column) -> Column:
     return F.when(existing.isNotNull(), EXACT_REASON).otherwise(NEW_REASON)
 
 
-def reprocess(
+def _cleaned(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("normalized_text", clean_text(F.coalesce("raw_text", F.lit(""))))
+
+
+def reprocess_pages(pages: DataFrame, scripts: Scripts = Scripts()) -> DataFrame:
+    """Pages with their cleaned text; one without a valid word fails."""
+    # A page without an id has no words of its own; rows of one page share what any of them has.  Their
+    # texts meet only where the ids say that some page has several rows.
+    some = F.col("page_id").isNotNull() & has_word(F.col("normalized_text"), scripts)
+    repeated = pages.filter("page_id is not null").groupBy("page_id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        some = F.max(some).over(Window.partitionBy("page_id"))
+    return _cleaned(pages).withColumn("_some", some).withColumns({
+        "status": F.when(F.col("_some"), "needs_review").otherwise("failed"),
+        "error_category": F.when(~F.col("_some"), NO_WORDS_CATEGORY),
+    }).drop("_some")
+
+
+def reprocess_candidates(
     pages: DataFrame, candidates: DataFrame, vocab: DataFrame, now: str = "2024-01-01 00:00:00",
     scripts: Scripts = Scripts(),
-) -> tuple[DataFrame, DataFrame]:
-    """Read the words of every page's current text again.
-
-    Pending candidates of the pages give way to new ones, marked exact or new.  A page without
-    a valid word fails.  Returns (pages, candidates).
-    """
-    texts = pages.withColumn("normalized_text", clean_text(F.coalesce("raw_text", F.lit(""))))
-    words = parse_lines(texts.select("page_id", "batch_id", F.col("normalized_text").alias("text")), "text", scripts, cleaned=True)
+) -> DataFrame:
+    """Candidates where the pending ones of the pages give way to new ones, marked exact or new."""
+    texts = _cleaned(pages).select("page_id", "batch_id", F.col("normalized_text").alias("text"))
+    words = parse_lines(texts, "text", scripts, cleaned=True)
     found = match_exact(words.withColumn("canonical_key", word_key()), vocab)
     fresh = found.select(
         F.concat_ws("-", "page_id", "position").alias("candidate_id"), "batch_id", "page_id",
@@ -228,13 +242,19 @@ def reprocess(
     for c in candidates.columns:
         if c not in fresh.columns:
             fresh = fresh.withColumn(c, F.lit(None).cast(candidates.schema[c].dataType))
-    # Rows of one page share what any of them has; a page without an id has no words of its own.
-    some = F.max(F.col("page_id").isNotNull() & has_word(F.col("normalized_text"), scripts)).over(Window.partitionBy("page_id"))
-    pages_out = texts.withColumn("_some", some).withColumns({
-        "status": F.when(F.col("_some"), "needs_review").otherwise("failed"),
-        "error_category": F.when(~F.col("_some"), NO_WORDS_CATEGORY),
-    }).drop("_some")
-    return pages_out, kept.select(*candidates.columns).unionByName(fresh.select(*candidates.columns))
+    return kept.select(*candidates.columns).unionByName(fresh.select(*candidates.columns))
+
+
+def reprocess(
+    pages: DataFrame, candidates: DataFrame, vocab: DataFrame, now: str = "2024-01-01 00:00:00",
+    scripts: Scripts = Scripts(),
+) -> tuple[DataFrame, DataFrame]:
+    """Read the words of every page's current text again.
+
+    Pending candidates of the pages give way to new ones, marked exact or new.  A page without
+    a valid word fails.  Returns (pages, candidates).
+    """
+    return reprocess_pages(pages, scripts), reprocess_candidates(pages, candidates, vocab, now, scripts)
 
 
 def pending_words(candidates: DataFrame, scripts: Scripts = Scripts()) -> DataFrame:

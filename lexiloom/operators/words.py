@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import reading_key, with_identity
 from ..functions.text import (
-    BURMESE, KANA, SPACE_CLASS, clean_optional, clean_text, contains_script, detect_lesson, detect_level,
-    let, parse_lesson, parse_level, simple_romaji, strip_fence,
+    BURMESE, KANA, blank_separated, clean_optional, clean_text, contains_script, cut_optional, cut_reading, detect_lesson,
+    detect_level, let, parse_lesson, parse_level, simple_romaji, strip_fence,
 )
 from .ordered import dedupe_first
 
@@ -22,6 +22,8 @@ WORD_FIELDS = (
     "kanji", "kana", "romaji", "burmese_meaning", "jlpt_level", "part_of_speech", "lesson",
     "example_sentence_jp", "example_sentence_mm",
 )
+# What parts of page text end with.
+PART_END = r"[\n;]"
 
 
 @dataclass(frozen=True)
@@ -120,32 +122,33 @@ def parse_responses(
     return dedupe_first(words, [by, "identity_key"], [F.col("position")])
 
 
-def _parts(text: Column) -> Column:
-    return F.split(text, r"[\n;]")
-
-
 def _fields(part: Column) -> Column:
-    return F.split(part, rf"[{SPACE_CLASS}]+")
+    """Surface, reading, meaning and the rest."""
+    return F.split(part, " ", 4)
 
 
 def has_word(text: Column, scripts: Scripts = Scripts()) -> Column:
     """Whether ``parse_lines`` finds a valid word in cleaned page text; nothing is read past the first one."""
-    def is_word(fields: Column) -> Column:
-        kana = reading_key(F.coalesce(F.get(fields, F.lit(1)), F.lit("")))
-        meaning = clean_optional(F.get(fields, F.lit(2)), MAX_CHARS["burmese_meaning"])
-        return _is_word(kana, meaning, scripts)
+    def is_word(part: Column) -> Column:
+        def judged(fields: Column) -> Column:
+            kana = cut_reading(F.coalesce(F.get(fields, F.lit(1)), F.lit("")))
+            return _is_word(kana, cut_optional(F.get(fields, F.lit(2)), MAX_CHARS["burmese_meaning"]), scripts)
+
+        return let(_fields(part), judged)
 
-    return F.exists(_parts(text), lambda part: let(_fields(part), is_word))
+    # The first part alone decides about most pages, without splitting the rest.
+    first = F.substring_index(F.substring_index(text, "\n", 1), ";", 1)
+    return is_word(blank_separated(first)) | F.exists(F.split(blank_separated(text), PART_END), is_word)
 
 
 def line_records(pages: DataFrame, text: str = "text", cleaned: bool = False) -> DataFrame:
-    """Records of delimited page text: one per line or ``;`` part, fields split by white space.
+    """Records of delimited page text: one per line or ``;`` part, composed fields split by white space.
 
     A part keeps its leading blank, which makes its first field empty.
     """
     if not cleaned:
         pages = pages.withColumn(text, clean_text(F.coalesce(F.col(text), F.lit(""))))
-    parts = _parts(F.col(text))
+    parts = F.split(blank_separated(text), PART_END)
     rows = pages.select(*[c for c in pages.columns if c != text], F.posexplode(parts).alias("position", "_part"))
     return rows.withColumn("_fields", _fields(F.col("_part"))).withColumns({
         "kanji": F.get("_fields", F.lit(0)), "kana": F.get("_fields", F.lit(1)),
