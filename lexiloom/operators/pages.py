@@ -194,9 +194,9 @@ def match_exact(candidates: DataFrame, vocab: DataFrame) -> DataFrame:
     return candidates.join(saved_keys(vocab), "canonical_key", "left")
 
 
-def word_key() -> Column:
-    """Canonical key of a checked word; its reading is normalised already."""
-    return join_keys(surface_key("kanji"), F.col("kana"))
+def word_key(cut: bool = False) -> Column:
+    """Canonical key of a checked word; its reading is normalised already, and its surface too if it was cut from a page."""
+    return join_keys(F.coalesce("kanji", F.lit("")) if cut else surface_key("kanji"), F.col("kana"))
 
 
 def _reason(existing: Column) -> Column:
@@ -228,7 +228,7 @@ def reprocess_candidates(
     """Candidates where the pending ones of the pages give way to new ones, marked exact or new."""
     texts = _cleaned(pages).select("page_id", "batch_id", F.col("normalized_text").alias("text"))
     words = parse_lines(texts, "text", scripts, cleaned=True)
-    found = match_exact(words.withColumn("canonical_key", word_key()), vocab)
+    found = match_exact(words.withColumn("canonical_key", word_key(cut=True)), vocab)
     fresh = found.select(
         F.concat_ws("-", "page_id", "position").alias("candidate_id"), "batch_id", "page_id",
         F.to_json(F.struct(*WORD_FIELDS)).alias("incoming_json"), "canonical_key",

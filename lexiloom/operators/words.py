@@ -39,19 +39,21 @@ def _is_word(kana: Column, meaning: Column, scripts: Scripts) -> Column:
 
 
 def checked_words(
-    raw: DataFrame, level: Column | str = "N5", lesson: Column | None = None, scripts: Scripts = Scripts()
+    raw: DataFrame, level: Column | str = "N5", lesson: Column | None = None, scripts: Scripts = Scripts(), cut: bool = False
 ) -> DataFrame:
     """Normalise the word fields of every record in place and add ``valid``.
 
-    Missing record fields count as null; other columns pass through.
+    Missing record fields count as null; other columns pass through.  ``cut``: surface, reading and meaning
+    were cut at the blanks of ``blank_separated`` text, so that they need no composing and no trimming.
     """
+    one_line, reading = (cut_optional, cut_reading) if cut else (clean_optional, reading_key)
     field = {f: F.col(f) if f in raw.columns else F.lit(None).cast("string") for f in WORD_FIELDS}
     lesson = F.lit(None).cast("int") if lesson is None else lesson
     out = raw.withColumns({
-        "kanji": clean_optional(field["kanji"], MAX_CHARS["kanji"]),
-        "kana": reading_key(F.coalesce(field["kana"], F.lit(""))),
+        "kanji": one_line(field["kanji"], MAX_CHARS["kanji"]),
+        "kana": reading(F.coalesce(field["kana"], F.lit(""))),
         "romaji": clean_optional(field["romaji"], MAX_CHARS["romaji"]),
-        "burmese_meaning": clean_optional(field["burmese_meaning"], MAX_CHARS["burmese_meaning"]),
+        "burmese_meaning": one_line(field["burmese_meaning"], MAX_CHARS["burmese_meaning"]),
         "jlpt_level": parse_level(field["jlpt_level"], level),
         "part_of_speech": clean_optional(field["part_of_speech"], MAX_CHARS["part_of_speech"]),
         "lesson": parse_lesson(field["lesson"], lesson),
@@ -160,4 +162,4 @@ def parse_lines(
     pages: DataFrame, text: str = "text", scripts: Scripts = Scripts(), cleaned: bool = False
 ) -> DataFrame:
     """Valid words of delimited page text."""
-    return checked_words(line_records(pages, text, cleaned), "N5", None, scripts).filter("valid").drop("valid")
+    return checked_words(line_records(pages, text, cleaned), "N5", None, scripts, cut=True).filter("valid").drop("valid")

@@ -80,3 +80,12 @@ def test_texts_of_pages_with_one_row_each_stay_where_they_are(spark):
         (0, "failed"), (0, "failed"), (1, "needs_review"), (2, "failed"), (3, "needs_review")]
     out, _ = reprocessed(spark, [*rows, (2, "b", "橋 はし တံတား")])
     assert sorted((r.page_id or 0, r.status) for r in out.collect())[3:5] == [(2, "needs_review"), (2, "needs_review")]
+
+
+def test_words_cut_from_a_page_are_not_composed_again(spark):
+    _, fresh = reprocessed(spark, [(1, "b", "\u200d橋 [バ\u00adシ] တံတား;は\u200d\u3099 は\u200d\u3099 က")])
+    plan = optimized(fresh.select("candidate_id", "canonical_key"))
+    above = plan.split("Generate posexplode")[0]
+    assert "Generate posexplode" in plan and "java_method" not in above and "regexp_replace" not in above
+    rows = [(r.candidate_id, r.canonical_key, r.decision_kind) for r in fresh.orderBy("candidate_id").collect()]
+    assert rows == [("1-0", "surface:橋\0reading:ばし", "new"), ("1-1", "surface:ば\0reading:ば", "new")]
